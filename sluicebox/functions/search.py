@@ -1,10 +1,10 @@
 """Place of a row's key among a sorted list of cut points.
 
-Used for buckets of a key, for jobs cut by time and for jobs cut by id. The
-search is a chain of projections, one per halving step, so it stays inside
-generated code and costs the logarithm of the list. Long lists are searched in
-two levels: a short root list in the plan, and the leaf lists in a small table
-that is joined on the root's answer.
+Used for buckets of a key, for jobs cut by time and for jobs cut by id. It is a
+binary search written as one fold over the halving steps, so its cost is the
+logarithm of the list and its plan does not grow when a filter on the answer is
+pushed down. Long lists are searched in two levels: a short root list in the
+plan, and the leaf lists in a small table that is joined on the root's answer.
 """
 
 from __future__ import annotations
@@ -15,6 +15,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from sluicebox.functions.times import exact_literal
+
 # The longest list put into the plan as literals.
 ROOT_POINTS = 255
 # The longest list allowed at all; the leaf table holds one value per point and key.
@@ -42,11 +44,11 @@ def count_points_before(
         raise ValueError(f"{len(points)} cut points; at most {MAX_POINTS} can be searched")
     types = [df.schema[k].dataType for k in keys]
     if len(points) <= root_limit:
-        return _halving(df, keys, _literals(points, types), len(points), out, inclusive)
+        found = _search(keys, _literals(points, types), len(points), inclusive)
+        return df.withColumn(out, found)
     stride = -(-len(points) // root_limit)
     root = points[stride - 1 :: stride]
     group = f"{out}_group"
-    found = _halving(df, keys, _literals(root, types), len(root), group, inclusive)
     leaf_columns = [f"{out}_leaf{i}" for i in range(len(keys))]
     leaves = []
     for g in range(len(root) + 1):
@@ -58,45 +60,35 @@ def count_points_before(
     )
     # At most MAX_POINTS values per key: a few megabytes at the worst.
     table = F.broadcast(df.sparkSession.createDataFrame(leaves, schema))
-    within = f"{out}_within"
-    joined = _halving(
-        found.join(table, group), keys, [F.col(c) for c in leaf_columns], stride, within, inclusive
-    )
-    return joined.withColumn(out, F.col(group) * F.lit(stride) + F.col(within)).drop(
-        group, within, *leaf_columns
-    )
+    at_root = df.withColumn(group, _search(keys, _literals(root, types), len(root), inclusive))
+    in_leaf = _search(keys, [F.col(c) for c in leaf_columns], stride, inclusive)
+    joined = at_root.join(table, group)
+    return joined.withColumn(out, F.col(group) * F.lit(stride) + in_leaf).drop(group, *leaf_columns)
 
 
 def _literals(points: Sequence[tuple], types: Sequence[T.DataType]) -> list[Column]:
-    arrays = []
-    for i, dtype in enumerate(types):
-        values = [F.lit(p[i]).cast(dtype) for p in points]
-        arrays.append(F.array(*values))
-    return arrays
+    return [
+        F.array(*[exact_literal(p[i]) for p in points]).cast(T.ArrayType(dtype)) for i, dtype in enumerate(types)
+    ]
 
 
-def _halving(
-    df: DataFrame,
-    keys: Sequence[str],
-    arrays: Sequence[Column],
-    size: int,
-    out: str,
-    inclusive: bool,
-) -> DataFrame:
-    df = df.withColumn(out, F.lit(0))
-    step = 1 << (size.bit_length() - 1) if size else 0
-    while step:
-        at = F.col(out) + F.lit(step - 1)
+def _search(keys: Sequence[str], arrays: Sequence[Column], size: int, inclusive: bool) -> Column:
+    if size == 0:
+        return F.lit(0)
+    steps = [1 << i for i in reversed(range(size.bit_length()))]
+
+    def advance(found: Column, step: Column) -> Column:
+        at = found + step - 1
         below = _below([F.get(a, at) for a in arrays], [F.col(k) for k in keys], inclusive)
-        df = df.withColumn(out, F.when(below, F.col(out) + F.lit(step)).otherwise(F.col(out)))
-        step //= 2
-    return df
+        return F.when(below, found + step).otherwise(found)
+
+    found = F.aggregate(F.array(*[F.lit(s) for s in steps]), F.lit(0), advance)
+    return F.coalesce(found, F.lit(0))
 
 
 def _below(point: list[Column], key: list[Column], inclusive: bool) -> Column:
     """Lexicographic compare; null (no such point, or a null key) reads as false."""
-    last = point[-1] <= key[-1] if inclusive else point[-1] < key[-1]
-    result = last
+    result = point[-1] <= key[-1] if inclusive else point[-1] < key[-1]
     for p, k in zip(reversed(point[:-1]), reversed(key[:-1])):
         result = (p < k) | ((p == k) & result)
     return result

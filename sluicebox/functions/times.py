@@ -7,9 +7,8 @@ from datetime import date, datetime
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# The two text forms of a time, milliseconds and up to microseconds.
+# Fixed value: the text form of a time with milliseconds.
 MS_PATTERN = "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'"
-MICRO_PATTERN = "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'"
 
 
 def ms_text(ts: Column) -> Column:
@@ -19,7 +18,8 @@ def ms_text(ts: Column) -> Column:
 
 def nano_text(ts: Column) -> Column:
     """RFC 3339 text with as many fraction digits as are not trailing zeros."""
-    return F.regexp_replace(F.date_format(ts, MICRO_PATTERN), r"\.?0+Z$", "Z")
+    # The plain cast has the right digits already, with a blank before the time of day.
+    return F.concat(F.overlay(ts.cast("string"), F.lit("T"), 11, 1), F.lit("Z"))
 
 
 def parse_ms_text(text: Column, strict: bool = True) -> Column:
@@ -45,10 +45,19 @@ def time_or_null(value: Column) -> Column:
     return value.try_cast("timestamp_ntz")
 
 
+def exact_literal(value: object) -> Column:
+    """A literal; a time goes in as text, so that no time zone can shift it."""
+    if isinstance(value, datetime):
+        return F.lit(value.isoformat(sep=" ")).cast("timestamp_ntz")
+    return F.lit(value)
+
+
 def time_literal(value: datetime | date | str | Column) -> Column:
     """A caller's time bound as a TIMESTAMP_NTZ column; text may end in ``Z``."""
     if isinstance(value, Column):
         return value
     if isinstance(value, str):
         value = datetime.fromisoformat(value.removesuffix("Z"))
-    return F.lit(value).cast("timestamp_ntz")
+    elif not isinstance(value, datetime):
+        value = datetime(value.year, value.month, value.day)
+    return exact_literal(value.replace(tzinfo=None))

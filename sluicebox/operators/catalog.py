@@ -12,6 +12,7 @@ from sluicebox.functions.numbers import dataset_description, dataset_label
 from sluicebox.functions.times import ms_text
 from sluicebox.operators.filters import without_names
 from sluicebox.sources.dataset import SERIES, Dataset
+from sluicebox.tables import small_table
 
 # Databases that are never listed, and the two dataset types.
 SYSTEM_DATABASES = ("admin", "local", "config")
@@ -45,7 +46,7 @@ def list_tables(spark: SparkSession, skip: Sequence[str] = SYSTEM_DATABASES) ->
         for table in spark.catalog.listTables(db.name)
         if not table.isTemporary
     ]
-    listed = spark.createDataFrame(names, "database_name string, table_name string")
+    listed = small_table(spark, names, {"database_name": "string", "table_name": "string"})
     return without_names(listed, "database_name", skip)
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sluicebox.functions.times import time_literal
+from sluicebox.tables import small_table
 
 
 def in_window(df: DataFrame, time: str, start: object = None, stop: object = None) -> DataFrame:
@@ -49,5 +50,5 @@ def without_names(df: DataFrame, column: str, names: Sequence[str]) -> DataFrame
     """Rows whose ``column`` is not one of ``names``."""
     if not names:
         return df
-    excluded = df.sparkSession.createDataFrame([(n,) for n in names], f"{column} string")
+    excluded = small_table(df.sparkSession, [(n,) for n in names], {column: "string"})
     return df.join(F.broadcast(excluded), column, "left_anti")

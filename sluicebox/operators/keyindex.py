@@ -23,9 +23,10 @@ from itertools import accumulate
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from sluicebox.functions.search import count_points_before
+from sluicebox.functions.times import exact_literal
+from sluicebox.tables import small_table
 
 ROWS_PER_BUCKET = 1_000_000
 # Bounds the sample and every per-bucket table on the driver.
@@ -62,13 +63,8 @@ class KeyIndex:
 
     def bases(self, df: DataFrame, column: str) -> DataFrame:
         """Bucket → rows before it; at most ``MAX_BUCKETS`` rows."""
-        schema = T.StructType(
-            [
-                T.StructField(BUCKET, T.IntegerType(), False),
-                T.StructField(column, T.LongType(), False),
-            ]
-        )
-        return df.sparkSession.createDataFrame(list(enumerate(self.starts)), schema)
+        rows = list(enumerate(self.starts))
+        return small_table(df.sparkSession, rows, {BUCKET: "int", column: "bigint"})
 
     def buckets_of(self, ordinals: Iterable[int]) -> list[int]:
         """The buckets that hold the given 0-based ordinals."""
@@ -95,9 +91,9 @@ class KeyIndex:
         for low, high in runs:
             part = F.lit(True)
             if low > 0:
-                part = part & (first >= F.lit(self.points[low - 1][0]).cast(dtype))
+                part = part & (first >= exact_literal(self.points[low - 1][0]).cast(dtype))
             if high < len(self.points):
-                part = part & (first <= F.lit(self.points[high][0]).cast(dtype))
+                part = part & (first <= exact_literal(self.points[high][0]).cast(dtype))
             if low == 0:
                 part = part | first.isNull()
             condition = condition | part
@@ -179,16 +175,24 @@ def rows_in_buckets(df: DataFrame, index: KeyIndex, buckets: Sequence[int]) -> D
     return index.with_bucket(near).filter(F.col(BUCKET).isin(list(buckets)))
 
 
-def ranked_keys(df: DataFrame, index: KeyIndex, ordinals: Iterable[int]) -> DataFrame:
+def ranked_keys(
+    df: DataFrame, index: KeyIndex, ordinals: Iterable[int], *, unique: bool = False
+) -> DataFrame:
     """The distinct keys in the buckets that hold ``ordinals``, with ``rows_before`` and ``rows``.
 
     A key shared by many rows is counted before the shuffle, so it is one row
-    per task and not a hot group.
+    per task and not a hot group. ``unique`` keys need no counting.
     """
     keys = list(index.keys)
     near = rows_in_buckets(df.select(*keys), index, index.buckets_of(ordinals))
+    base = F.broadcast(index.bases(df, "bucket_start"))
+    in_order = W.partitionBy(BUCKET).orderBy(*keys)
+    if unique:
+        before = F.col("bucket_start") + F.row_number().over(in_order) - 1
+        return near.join(base, BUCKET).select(
+            *keys, before.alias("rows_before"), F.lit(1).cast("bigint").alias("rows")
+        )
     tied = near.groupBy(BUCKET, *keys).agg(F.count("*").alias("rows"))
-    upto = W.partitionBy(BUCKET).orderBy(*keys).rowsBetween(W.unboundedPreceding, W.currentRow)
-    placed = tied.join(F.broadcast(index.bases(df, "bucket_start")), BUCKET)
+    upto = in_order.rowsBetween(W.unboundedPreceding, W.currentRow)
     before = F.col("bucket_start") + F.sum("rows").over(upto) - F.col("rows")
-    return placed.select(*keys, before.alias("rows_before"), "rows")
+    return tied.join(base, BUCKET).select(*keys, before.alias("rows_before"), "rows")

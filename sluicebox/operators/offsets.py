@@ -10,13 +10,14 @@ from pyspark.sql import functions as F
 
 from sluicebox.functions.numbers import offset_text
 from sluicebox.operators.keyindex import BUCKET, KeyIndex
+from sluicebox.tables import small_table
 
-OFFSETS_SCHEMA = "partition int, offset bigint"
+OFFSETS_SCHEMA = {"partition": "int", "offset": "bigint"}
 
 
 def offsets_frame(spark: SparkSession, offsets: Mapping[int, int] | None) -> DataFrame:
     """``partition, offset`` from a map; one row per partition."""
-    return spark.createDataFrame(sorted((offsets or {}).items()), OFFSETS_SCHEMA)
+    return small_table(spark, sorted((offsets or {}).items()), OFFSETS_SCHEMA)
 
 
 def with_offsets(
@@ -27,33 +28,36 @@ def with_offsets(
     Returns the rows with ``out``, and ``partition, produced``. A partition is
     not one task: each (partition, bucket) chunk is counted first by a scan of
     the needed columns, which gives the chunk's first offset, and is then
-    numbered on its own. The chunk table has at most
-    buckets × jobs-per-bucket + partitions rows.
+    numbered on its own. Partitions must be made of key ranges (as by
+    ``assign_jobs``), so that a bucket meets few of them and the chunk table
+    stays at about buckets + jobs rows.
     """
     spark = df.sparkSession
     placed = index.with_bucket(df)
-    counts = placed.groupBy("partition", BUCKET).agg(F.count("*").alias("n"))
-    # Bounded: a bucket is a key range, so it meets few jobs; see the docstring.
-    chunk_rows = [tuple(r) for r in counts.collect()]
-    chunks = spark.createDataFrame(chunk_rows, f"partition int, {BUCKET} int, n bigint")
-    before = W.partitionBy("partition").orderBy(BUCKET).rowsBetween(W.unboundedPreceding, -1)
-    chunk_base = F.col("offset") + F.coalesce(F.sum("n").over(before), F.lit(0))
-    bases = chunks.join(F.broadcast(start_offsets), "partition").select(
-        "partition", BUCKET, chunk_base.alias("_base")
-    )
+    chunks = placed.groupBy("partition", BUCKET).agg(F.count("*").alias("n"))
+    bases, produced = [], {}
+    # Bounded, see above: one row per chunk and one per partition.
+    starts = dict(start_offsets.select("partition", "offset").collect())
+    for partition, bucket, n in sorted(chunks.collect()):
+        if partition not in starts:
+            raise ValueError(f"no start offset for partition {partition}")
+        sent = produced.get(partition, 0)
+        bases.append((partition, bucket, starts[partition] + sent))
+        produced[partition] = sent + n
+    base = small_table(spark, bases, {"partition": "int", BUCKET: "int", "_base": "bigint"})
     within = W.partitionBy("partition", BUCKET).orderBy(*index.keys)
-    numbered = placed.join(F.broadcast(bases), ["partition", BUCKET]).withColumn(
+    numbered = placed.join(F.broadcast(base), ["partition", BUCKET]).withColumn(
         out, F.col("_base") + F.row_number().over(within) - 1
     )
-    produced = chunks.groupBy("partition").agg(F.sum("n").alias("produced"))
-    return numbered.drop(BUCKET, "_base"), produced
+    made = small_table(spark, sorted(produced.items()), {"partition": "int", "produced": "bigint"})
+    return numbered.drop(BUCKET, "_base"), made
 
 
 def high_watermarks(log: DataFrame, partitions: int | Sequence[int]) -> DataFrame:
     """The next free offset of each partition; 0 where the log has nothing."""
     spark = log.sparkSession
     ids = list(range(partitions)) if isinstance(partitions, int) else list(partitions)
-    known = spark.createDataFrame([(p,) for p in ids], "partition int")
+    known = small_table(spark, [(p,) for p in ids], {"partition": "int"})
     top = log.groupBy("partition").agg((F.max("offset") + 1).alias("high"))
     return known.join(top, "partition", "left").select(
         "partition", F.coalesce("high", F.lit(0)).cast("bigint").alias("offset")

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sluicebox.functions.times import cut_to_ms, ms_text, nano_text, time_or_null
+from sluicebox.functions.times import cut_to_ms, exact_literal, ms_text, nano_text, time_or_null
 from sluicebox.operators.filters import in_window
 from sluicebox.sources.dataset import Dataset
 
@@ -45,7 +45,7 @@ def half_open_count(ds: Dataset, tag: Tag = None) -> DataFrame:
     """
     rows = ds.selected(tag)
     ends = rows.agg(F.min(ds.time).alias("a"), F.max(ds.time).alias("b")).first()
-    inside = in_window(rows, ds.time, cut_to_ms(F.lit(ends["a"])), cut_to_ms(F.lit(ends["b"])))
+    inside = in_window(rows, ds.time, cut_to_ms(exact_literal(ends["a"])), cut_to_ms(exact_literal(ends["b"])))
     return inside.agg(F.count("*").alias("record_count"))
 
 
@@ -119,7 +119,7 @@ def _ends(ds: Dataset, rows: DataFrame):
 def _end_time(ds: Dataset, ends, side: str) -> Column:
     value = ends[side][ds.time] if ends["n"] else None
     dtype = ds.df.schema[ds.time].dataType
-    return time_or_null(F.lit(value).cast(dtype))
+    return time_or_null(exact_literal(value).cast(dtype))
 
 
 def _rows_at_ends(ds: Dataset, rows: DataFrame, ends) -> DataFrame:
@@ -128,7 +128,7 @@ def _rows_at_ends(ds: Dataset, rows: DataFrame, ends) -> DataFrame:
         for name in _sort_key(ds):
             dtype = ds.df.schema[name].dataType
             value = end[name] if ends["n"] else None
-            condition = condition & F.col(name).eqNullSafe(F.lit(value).cast(dtype))
+            condition = condition & F.col(name).eqNullSafe(exact_literal(value).cast(dtype))
         return condition
 
     both = at(ends["low"]) | at(ends["high"])

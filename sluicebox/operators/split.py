@@ -12,7 +12,6 @@ from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from sluicebox.functions.numbers import (
     even_share_job,
@@ -22,7 +21,7 @@ from sluicebox.functions.numbers import (
     partition_of_ordinal,
 )
 from sluicebox.functions.search import MAX_POINTS, count_points_before
-from sluicebox.functions.times import cut_to_ms
+from sluicebox.functions.times import cut_to_ms, exact_literal
 from sluicebox.operators.filters import in_window
 from sluicebox.operators.keyindex import (
     BUCKET,
@@ -31,14 +30,9 @@ from sluicebox.operators.keyindex import (
     ranked_keys,
     with_ordinal,
 )
+from sluicebox.tables import small_table
 
-TIME_PLAN_SCHEMA = T.StructType(
-    [
-        T.StructField("job_id", T.IntegerType(), False),
-        T.StructField("start_ts", T.TimestampNTZType()),
-        T.StructField("end_ts", T.TimestampNTZType()),
-    ]
-)
+TIME_PLAN_COLUMNS = {"job_id": "int", "start_ts": "timestamp_ntz", "end_ts": "timestamp_ntz"}
 
 
 def align_jobs(jobs: int, partitions: int, drop_last: bool = False) -> int:
@@ -77,7 +71,7 @@ class TimePlan:
         return [(k, s, e) for k, (s, e) in enumerate(zip(starts, ends))]
 
     def to_df(self, spark: SparkSession, partitions: int, topic: str) -> DataFrame:
-        plan = spark.createDataFrame(self.ranges(), TIME_PLAN_SCHEMA)
+        plan = small_table(spark, self.ranges(), TIME_PLAN_COLUMNS)
         return _with_target(plan, partitions, topic)
 
     def assign(self, df: DataFrame) -> DataFrame:
@@ -110,6 +104,18 @@ class OrdinalPlan:
 Plan = TimePlan | OrdinalPlan
 
 
+@dataclass(frozen=True)
+class TimeEnds:
+    rows: int
+    first: datetime | None
+    last: datetime | None
+
+
+def time_ends(df: DataFrame, time: str) -> TimeEnds:
+    """Number of rows that have a time, and the first and last time: one aggregate."""
+    return TimeEnds(*df.agg(F.count(time), F.min(time), F.max(time)).first())
+
+
 def plan_by_time(
     df: DataFrame,
     time: str,
@@ -118,39 +124,41 @@ def plan_by_time(
     total_mode: str = "full",
     keep_tail: bool = True,
     index: KeyIndex | None = None,
+    ends: TimeEnds | None = None,
 ) -> TimePlan:
     """Cut at the time of every n-th row, n being the rows per job.
 
     Rows that share a cut time all go to the earlier job, so a job may be empty
     and keeps its number. ``total_mode="half_open"`` takes the rows per job from
     the count without the last record, ``keep_tail=False`` leaves out the rows
-    after the last cut. An ``index`` on keys that begin with ``time`` is used as
-    it is.
+    after the last cut. An ``index`` on unique keys that begin with ``time``
+    and the ``ends`` are used as they are if they are known.
     """
     _check_jobs(jobs)
     if total_mode not in ("full", "half_open"):
         raise ValueError(f"total_mode is full or half_open, not {total_mode}")
     df = df.filter(F.col(time).isNotNull())
-    rows, first, last = df.agg(F.count("*"), F.min(time), F.max(time)).first()
-    total = rows
-    if total_mode == "half_open" and rows:
-        inside = in_window(df, time, cut_to_ms(F.lit(first)), cut_to_ms(F.lit(last)))
-        total = inside.count()
+    ends = ends or time_ends(df, time)
+    total = ends.rows
+    if total_mode == "half_open" and total:
+        start, stop = cut_to_ms(exact_literal(ends.first)), cut_to_ms(exact_literal(ends.last))
+        total = in_window(df, time, start, stop).count()
     per_job = max(1, total // jobs)
-    if rows // per_job > MAX_POINTS:
-        raise ValueError(f"{rows // per_job} jobs; at most {MAX_POINTS} can be planned")
-    index = index or build_index(df, [time], rows=rows)
-    cuts = _cut_times(df, time, rows, per_job, index)
-    return TimePlan(time, cuts, first, last, rows, per_job, keep_tail)
+    if ends.rows // per_job > MAX_POINTS:
+        raise ValueError(f"{ends.rows // per_job} jobs; at most {MAX_POINTS} can be planned")
+    unique = index is not None
+    index = index or build_index(df, [time], rows=ends.rows)
+    cuts = _cut_times(df, time, ends.rows, per_job, index, unique)
+    return TimePlan(time, cuts, ends.first, ends.last, ends.rows, per_job, keep_tail)
 
 
 def _cut_times(
-    df: DataFrame, time: str, rows: int, per_job: int, index: KeyIndex
+    df: DataFrame, time: str, rows: int, per_job: int, index: KeyIndex, unique: bool
 ) -> tuple[datetime, ...]:
     ends = [k * per_job - 1 for k in range(1, rows // per_job + 1)]
     if not ends:
         return ()
-    ranked = ranked_keys(df, index, ends)
+    ranked = ranked_keys(df, index, ends, unique=unique)
     upto = F.col("rows_before") + F.col("rows")
     # A time shared by many rows can be the cut of several jobs.
     low, high = int_div(F.col("rows_before"), per_job) + 1, int_div(upto, per_job)
@@ -179,7 +187,7 @@ def plan_by_ordinal(
     firsts = [o for o in firsts if 0 < o < rows]
     if not firsts:
         return OrdinalPlan(tuple(keys), rows, jobs, ())
-    ranked = ranked_keys(df, index, firsts)
+    ranked = ranked_keys(df, index, firsts, unique=True)
     ordinal = F.col("rows_before")
     opens = (ordinal > 0) & (
         even_share_job(ordinal, rows, jobs) > even_share_job(F.greatest(ordinal - 1, F.lit(0)), rows, jobs)

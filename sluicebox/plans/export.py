@@ -16,27 +16,31 @@ from pyspark.sql import types as T
 
 from sluicebox.functions.jsontext import split_rejects
 from sluicebox.functions.numbers import int_div, partition_of_ordinal
-from sluicebox.functions.times import ms_text
+from sluicebox.functions.times import exact_literal, ms_text
 from sluicebox.operators.keyindex import BUCKET, KeyIndex, build_index, with_ordinal
 from sluicebox.operators.messages import with_value
 from sluicebox.operators.offsets import (
     delivery_audit,
     high_watermarks,
     offset_summary,
+    offsets_frame,
     with_offsets,
 )
 from sluicebox.operators.profile import Tag, TimeWindow
 from sluicebox.operators.split import (
     OrdinalPlan,
     Plan,
+    TimeEnds,
     TimePlan,
     align_jobs,
     assign_jobs,
     plan_by_ordinal,
     plan_by_time,
+    time_ends,
 )
 from sluicebox.sources.dataset import SERIES, Dataset
 from sluicebox.sources.log import KafkaLog, MessageLog
+from sluicebox.tables import small_table
 
 JOBS = 48
 # Names the export adds to a row on its way to the log.
@@ -110,12 +114,20 @@ def plan_export(
         raise ValueError(f"rename these columns before an export: {clash}")
     rows = ds.selected(tag, window)
     wanted = max(1, align_jobs(jobs, partitions, drop_last))
-    index = build_index(rows, ds.order)
     if ds.kind == SERIES:
+        ends = time_ends(rows, ds.time)
+        index = build_index(rows, ds.order, rows=ends.rows)
         ranges: TimePlan | OrdinalPlan = plan_by_time(
-            rows, ds.time, wanted, total_mode=total_mode, keep_tail=keep_tail, index=index
+            rows,
+            ds.time,
+            wanted,
+            total_mode=total_mode,
+            keep_tail=keep_tail,
+            index=index,
+            ends=ends,
         )
     else:
+        index = build_index(rows, ds.order)
         ranges = plan_by_ordinal(rows, ds.order, wanted, index=index)
     return ExportPlan(ds, rows, index, ranges, partitions)
 
@@ -157,7 +169,7 @@ def _dealt_out(plan: ExportPlan, start_offsets: DataFrame) -> tuple[DataFrame, D
     placed = dealt.join(starts, "partition").withColumn("offset", offset).drop("_start", "_ordinal")
     share, extra = divmod(index.total, plan.partitions)
     made = [(p, share + (p < extra)) for p in range(plan.partitions)]
-    return placed, plan.rows.sparkSession.createDataFrame(made, "partition int, produced bigint")
+    return placed, small_table(plan.rows.sparkSession, made, {"partition": "int", "produced": "bigint"})
 
 
 def export(
@@ -246,20 +258,18 @@ def export_to_kafka(
 
 def _pinned(offsets: DataFrame) -> DataFrame:
     """The offsets as they are now: one row per partition, read once."""
-    return offsets.sparkSession.createDataFrame(offsets.collect(), offsets.schema)
+    return offsets_frame(offsets.sparkSession, dict(offsets.collect()))
 
 
 def _range_text(plan: ExportPlan, wanted: bool) -> tuple[str | None, str | None]:
     if not wanted or plan.ds.time is None:
         return "", ""
     if isinstance(plan.ranges, TimePlan):
-        ends = plan.rows.sparkSession.range(1).select(
-            F.lit(plan.ranges.first).cast("timestamp_ntz").alias("a"),
-            F.lit(plan.ranges.last).cast("timestamp_ntz").alias("b"),
-        )
+        ends = TimeEnds(plan.ranges.rows, plan.ranges.first, plan.ranges.last)
     else:
-        ends = plan.rows.agg(F.min(plan.ds.time).alias("a"), F.max(plan.ds.time).alias("b"))
-    return tuple(ends.select(ms_text(F.col("a")), ms_text(F.col("b"))).first())
+        ends = time_ends(plan.rows, plan.ds.time)
+    one = plan.rows.sparkSession.range(1)
+    return tuple(one.select(*[ms_text(exact_literal(t)) for t in (ends.first, ends.last)]).first())
 
 
 def _millis() -> int:
