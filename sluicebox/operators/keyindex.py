@@ -137,7 +137,8 @@ def _cut_points(
         return ()
     fraction = min(1.0, buckets * OVERSAMPLE / rows)
     sampled = narrow.dropna(subset=list(keys)).sample(fraction, seed=SAMPLE_SEED)
-    sample = [tuple(r) for r in sampled.orderBy(*keys).collect()]
+    # At most MAX_BUCKETS * OVERSAMPLE keys, whose order in Python is that of Spark.
+    sample = sorted(tuple(r) for r in sampled.collect())
     picked: list[tuple] = []
     for i in range(1, buckets):
         at = i * len(sample) // buckets

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from sluicebox.operators import batch, split
 from sluicebox.operators.keyindex import with_ordinal
 from sluicebox.operators.offsets import messages_per_job, messages_per_partition
+from sluicebox.operators.series import series_boundaries, with_series_ordinal
 from sluicebox.queries.registry import (
     JOBS,
     PARTITIONS,
@@ -54,6 +55,31 @@ def every_nth_boundary(spark: SparkSession, sf: str) -> DataFrame:
     return hits.select("rn", "event_id", F.col("ts").alias("end_ts"))
 
 
+_SERIES_ROWS = """
+    select event_type, event_id, ts, row_number() over (partition by event_type order by ts, event_id) as rn
+    from events
+"""
+
+
+@query(_SERIES_ROWS)
+def per_series_ordinal(spark: SparkSession, sf: str) -> DataFrame:
+    ds = events(spark, sf)
+    narrow = ds.df.select("event_type", "event_id", "ts")
+    return with_series_ordinal(narrow, ds.series_keys, ds.order)
+
+
+@query(
+    f"""
+    select event_type, rn // {BOUNDARY} - 1 as job_id,
+           lag(ts) over (partition by event_type order by rn) as start_ts, ts as end_ts
+    from ({_SERIES_ROWS}) where rn % {BOUNDARY} = 0
+    """
+)
+def per_series_boundaries(spark: SparkSession, sf: str) -> DataFrame:
+    ds = events(spark, sf)
+    return series_boundaries(ds.df, ds.series_keys, ds.time, ds.order, BOUNDARY)
+
+
 def _time_plan_sql(table: str, time: str, total: str, tail: bool) -> str:
     tail_row = f"union all select n // rpj, l from p where l > (select max(end_ts) from cuts)" if tail else ""
     return f"""

@@ -11,7 +11,9 @@ failed and repeated run leaves nothing behind. One writer per topic at a time.
 
 from __future__ import annotations
 
+import json
 import uuid
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 
 from pyspark.errors import AnalysisException
@@ -85,6 +87,11 @@ KAFKA_WRITE_OPTIONS = {
 }
 
 
+def offsets_json(topic: str, offsets: Mapping[int, int]) -> str:
+    """Offsets of a topic in the form of ``startingOffsets`` and ``endingOffsets``."""
+    return json.dumps({topic: {str(p): o for p, o in sorted(offsets.items())}})
+
+
 @dataclass(frozen=True)
 class KafkaLog:
     """A Kafka topic through Spark's connector. Not tested here: no connector, no broker."""
@@ -112,6 +119,16 @@ class KafkaLog:
         offsets = {"subscribe": topic, "startingOffsets": starting, "endingOffsets": ending}
         return spark.read.format("kafka").options(**self._options(), **offsets).load().select(*COLUMNS)
 
-    def read_stream(self, spark: SparkSession, topic: str, starting: str = "latest") -> DataFrame:
-        offsets = {"subscribe": topic, "startingOffsets": starting}
+    def read_stream(
+        self,
+        spark: SparkSession,
+        topic: str,
+        starting: str = "latest",
+        partitions: Sequence[int] | None = None,
+    ) -> DataFrame:
+        """The topic as a stream from its end offsets, or some of its partitions only."""
+        source = {"subscribe": topic}
+        if partitions is not None:
+            source = {"assign": json.dumps({topic: list(partitions)})}
+        offsets = {**source, "startingOffsets": starting}
         return spark.readStream.format("kafka").options(**self._options(), **offsets).load().select(*COLUMNS)
