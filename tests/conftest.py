@@ -18,6 +18,7 @@ def spark(tmp_path_factory):
         "local[4]",
         spark__sql__shuffle__partitions="4",
         spark__ui__enabled="false",
+        spark__sql__maxMetadataStringLength="2000",
         spark__checkpoint__dir=str(shared),
     )
     session.sparkContext.setLogLevel("ERROR")
