@@ -30,9 +30,27 @@ def json_text(df: DataFrame, fields: Mapping[str, Column] | None = None) -> Colu
     types = {f.name: f.dataType for f in df.select(*[v.alias(n) for n, v in fields.items()]).schema}
     members = [_plain(fields[n], types[n]).alias(n) for n in sorted(fields)]
     text = F.to_json(F.struct(*members), {"ignoreNullFields": "false"})
+    escaped = text
     for char, escape in ESCAPES.items():
-        text = F.replace(text, F.lit(char), F.lit(escape))
-    return text
+        escaped = F.replace(escaped, F.lit(char), F.lit(escape))
+    return F.when(_has_special(fields, types, text), escaped).otherwise(text)
+
+
+def _has_special(
+    fields: Mapping[str, Column], types: Mapping[str, T.DataType], text: Column
+) -> Column:
+    """Whether the text has a character to escape.
+
+    Only strings can hold one, so it is enough to look at the string members,
+    and at the whole text if there are members with an inner structure.
+    """
+    special = f"[{''.join(ESCAPES)}]"
+    inner = any(isinstance(t, (T.StructType, T.ArrayType, T.MapType, T.VariantType)) for t in types.values())
+    if inner or any(c in name for name in fields for c in ESCAPES):
+        return F.rlike(text, F.lit(special))
+    strings = [fields[n] for n, t in types.items() if isinstance(t, T.StringType)]
+    found = [F.coalesce(F.rlike(s, F.lit(special)), F.lit(False)) for s in strings]
+    return reduce(lambda a, b: a | b, found, F.lit(False))
 
 
 def reject_reason(df: DataFrame, json_columns: Sequence[str] = ()) -> Column:

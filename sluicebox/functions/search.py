@@ -10,15 +10,16 @@ plan, and the leaf lists in a small table that is joined on the root's answer.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from datetime import datetime
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sluicebox.functions.times import exact_literal
-
 # The longest list put into the plan as literals.
 ROOT_POINTS = 255
+# Types whose text form is exact and has no comma.
+_PLAIN = (T.IntegralType, T.DecimalType, T.DateType, T.TimestampNTZType)
 # The longest list allowed at all; the leaf table holds one value per point and key.
 MAX_POINTS = 200_000
 
@@ -67,9 +68,15 @@ def count_points_before(
 
 
 def _literals(points: Sequence[tuple], types: Sequence[T.DataType]) -> list[Column]:
-    return [
-        F.array(*[exact_literal(p[i]) for p in points]).cast(T.ArrayType(dtype)) for i, dtype in enumerate(types)
-    ]
+    return [_literal_array([p[i] for p in points], dtype) for i, dtype in enumerate(types)]
+
+
+def _literal_array(values: list, dtype: T.DataType) -> Column:
+    """An array that Spark folds to one literal; as text it is a single call, however long."""
+    if isinstance(dtype, _PLAIN):
+        texts = [v.isoformat(sep=" ") if isinstance(v, datetime) else str(v) for v in values]
+        return F.split(F.lit(",".join(texts)), ",").cast(T.ArrayType(dtype))
+    return F.array(*[F.lit(v) for v in values]).cast(T.ArrayType(dtype))
 
 
 def _search(keys: Sequence[str], arrays: Sequence[Column], size: int, inclusive: bool) -> Column:

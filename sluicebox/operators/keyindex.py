@@ -29,6 +29,9 @@ from sluicebox.functions.times import exact_literal
 from sluicebox.tables import small_table
 
 ROWS_PER_BUCKET = 1_000_000
+# Buckets that are worth having before there are that many rows: they cost nothing
+# as literals, and the finer they are, the fewer rows a cut has to look at.
+BASE_BUCKETS = 256
 # Bounds the sample and every per-bucket table on the driver.
 MAX_BUCKETS = 32_768
 # Sampled keys per bucket.
@@ -38,6 +41,8 @@ MIN_ROWS_PER_BUCKET = 2_000
 SAMPLE_SEED = 2011
 # Key ranges put into the scan filter at most; past this only the bucket test is used.
 MAX_SCAN_RANGES = 64
+# Rows from which several ranges are worth planning.
+MIN_ROWS_FOR_RANGES = 20_000_000
 
 BUCKET = "_bucket"
 
@@ -48,6 +53,11 @@ class KeyIndex:
     points: tuple[tuple, ...]
     counts: tuple[int, ...]
 
+    @property
+    def cut_keys(self) -> tuple[str, ...]:
+        """The first keys, as many as the cut points hold values for."""
+        return self.keys[: len(self.points[0])] if self.points else ()
+
     @property
     def total(self) -> int:
         return sum(self.counts)
@@ -59,7 +69,7 @@ class KeyIndex:
 
     def with_bucket(self, df: DataFrame) -> DataFrame:
         """Add the bucket of each row; a row equal to a cut point opens its bucket."""
-        return count_points_before(df, self.keys, self.points, BUCKET, inclusive=True)
+        return count_points_before(df, self.cut_keys, self.points, BUCKET, inclusive=True)
 
     def bases(self, df: DataFrame, column: str) -> DataFrame:
         """Bucket → rows before it; at most ``MAX_BUCKETS`` rows."""
@@ -85,7 +95,8 @@ class KeyIndex:
                 runs.append([b, b])
         first = F.col(self.keys[0])
         dtype = df.schema[self.keys[0]].dataType
-        if not self.points or len(runs) > MAX_SCAN_RANGES:
+        few_rows = len(runs) > 1 and self.total < MIN_ROWS_FOR_RANGES
+        if not self.points or len(runs) > MAX_SCAN_RANGES or few_rows:
             return F.lit(True)
         condition = F.lit(False)
         for low, high in runs:
@@ -109,42 +120,51 @@ def build_index(
 ) -> KeyIndex:
     """Sample the key, choose cut points and count the rows between them.
 
-    Reads the key columns only. ``rows`` spares the count when it is known.
+    Reads the key columns only, and of these only the first ones if they are
+    enough to cut evenly. ``rows`` spares the count when it is known.
     """
     keys = tuple(keys)
-    narrow = df.select(*keys)
     if rows is None:
-        rows = narrow.count()
-    wanted = _bucket_count(df, rows) if buckets is None else min(buckets, MAX_BUCKETS)
-    points = _cut_points(narrow, keys, rows, wanted)
+        rows = df.select(*keys).count()
+    wanted = _bucket_count(rows) if buckets is None else min(buckets, MAX_BUCKETS)
+    points = _cut_points(df, keys, rows, wanted)
     if not points:
         return KeyIndex(keys, (), (rows,))
     index = KeyIndex(keys, points, ())
-    counted = dict(index.with_bucket(narrow).groupBy(BUCKET).count().collect())
+    placed = index.with_bucket(df.select(*index.cut_keys))
+    counted = dict(placed.groupBy(BUCKET).count().collect())
     return KeyIndex(keys, points, tuple(counted.get(b, 0) for b in range(len(points) + 1)))
 
 
-def _bucket_count(df: DataFrame, rows: int) -> int:
+def _bucket_count(rows: int) -> int:
     by_size = -(-rows // ROWS_PER_BUCKET)
-    by_cores = min(df.sparkSession.sparkContext.defaultParallelism, rows // MIN_ROWS_PER_BUCKET)
-    return max(1, min(max(by_size, by_cores), MAX_BUCKETS))
+    small = min(BASE_BUCKETS, rows // MIN_ROWS_PER_BUCKET)
+    return max(1, min(max(by_size, small), MAX_BUCKETS))
 
 
 def _cut_points(
-    narrow: DataFrame, keys: tuple[str, ...], rows: int, buckets: int
+    df: DataFrame, keys: tuple[str, ...], rows: int, buckets: int
 ) -> tuple[tuple, ...]:
+    """Cut points of about equal distance, on as few of the first keys as will do.
+
+    A value that is a cut point twice is too frequent to be one bucket, so the
+    next key is taken in to divide it.
+    """
     if buckets <= 1 or rows == 0:
         return ()
     fraction = min(1.0, buckets * OVERSAMPLE / rows)
-    sampled = narrow.dropna(subset=list(keys)).sample(fraction, seed=SAMPLE_SEED)
-    # At most MAX_BUCKETS * OVERSAMPLE keys, whose order in Python is that of Spark.
-    sample = sorted(tuple(r) for r in sampled.collect())
     picked: list[tuple] = []
-    for i in range(1, buckets):
-        at = i * len(sample) // buckets
-        if at < len(sample) and (not picked or sample[at] != picked[-1]):
-            picked.append(sample[at])
-    return tuple(picked)
+    for width in range(1, len(keys) + 1):
+        used = list(keys[:width])
+        sampled = df.select(*used).dropna().sample(fraction, seed=SAMPLE_SEED)
+        # At most MAX_BUCKETS * OVERSAMPLE keys, whose order in Python is that of Spark.
+        sample = sorted(tuple(r) for r in sampled.collect())
+        if not sample:
+            return ()
+        picked = [sample[i * len(sample) // buckets] for i in range(1, buckets)]
+        if len(set(picked)) == len(picked):
+            break
+    return tuple(dict.fromkeys(picked))
 
 
 def with_ordinal(

@@ -35,7 +35,8 @@ def with_series_ordinal(
     placed = index.with_bucket(df)
     within = W.partitionBy(BUCKET, *series).orderBy(*order)
     numbered = placed.withColumn(out, F.row_number().over(within).cast("bigint"))
-    if not index.points:
+    if len(index.cut_keys) <= len(series):
+        # No cut falls into a series, so none goes on into another bucket.
         return numbered.drop(BUCKET)
     carried = F.broadcast(_carried(df, series, index))
     same = [numbered[BUCKET] == carried["_in"]]
@@ -55,7 +56,7 @@ def _carried(df: DataFrame, series: list[str], index: KeyIndex) -> DataFrame:
     schema = ", ".join(f"_s{i} {df.schema[s].dataType.simpleString()}" for i, s in enumerate(series))
     cut = F.broadcast(df.sparkSession.createDataFrame(cut_series, schema))
     same = [F.col(s) == F.col(f"_s{i}") for i, s in enumerate(series)]
-    spread = index.with_bucket(df.select(*index.keys).join(cut, same))
+    spread = index.with_bucket(df.select(*index.cut_keys).join(cut, same))
     names = [f"_s{i}" for i in range(len(series))]
     counts = spread.groupBy(BUCKET, *names).agg(F.count("*").alias("n"))
     earlier = W.partitionBy(*names).orderBy(BUCKET).rowsBetween(W.unboundedPreceding, -1)
