@@ -62,7 +62,7 @@ def count_points_before(
     # At most MAX_POINTS values per key: a few megabytes at the worst.
     table = F.broadcast(df.sparkSession.createDataFrame(leaves, schema))
     at_root = df.withColumn(group, _search(keys, _literals(root, types), len(root), inclusive))
-    in_leaf = _search(keys, [F.col(c) for c in leaf_columns], stride, inclusive)
+    in_leaf = _search(keys, [F.col(c) for c in leaf_columns], stride, inclusive, in_columns=True)
     joined = at_root.join(table, group)
     return joined.withColumn(out, F.col(group) * F.lit(stride) + in_leaf).drop(group, *leaf_columns)
 
@@ -79,18 +79,35 @@ def _literal_array(values: list, dtype: T.DataType) -> Column:
     return F.array(*[F.lit(v) for v in values]).cast(T.ArrayType(dtype))
 
 
-def _search(keys: Sequence[str], arrays: Sequence[Column], size: int, inclusive: bool) -> Column:
+def _search(
+    keys: Sequence[str], arrays: Sequence[Column], size: int, inclusive: bool, in_columns: bool = False
+) -> Column:
+    """The fold. ``in_columns`` tells that the arrays are columns and not literals.
+
+    The row's columns come in as the argument of an outer lambda, so that the
+    fold refers to no column: the optimizer may take a column inside a lambda
+    for one of the lambda's own variables when it infers join filters.
+    """
     if size == 0:
         return F.lit(0)
-    steps = [1 << i for i in reversed(range(size.bit_length()))]
+    steps = F.array(*[F.lit(1 << i) for i in reversed(range(size.bit_length()))])
+    carried = {f"k{i}": F.col(k) for i, k in enumerate(keys)}
+    if in_columns:
+        carried.update({f"a{i}": a for i, a in enumerate(arrays)})
+
+    def place(row: Column) -> Column:
+        lists = [row[f"a{i}"] if in_columns else a for i, a in enumerate(arrays)]
+        key = [row if len(carried) == 1 else row[f"k{i}"] for i in range(len(keys))]
+
+        def advance(found: Column, step: Column) -> Column:
+            below = _below([F.get(a, found + step - 1) for a in lists], key, inclusive)
+            return F.when(below, found + step).otherwise(found)
 
-    def advance(found: Column, step: Column) -> Column:
-        at = found + step - 1
-        below = _below([F.get(a, at) for a in arrays], [F.col(k) for k in keys], inclusive)
-        return F.when(below, found + step).otherwise(found)
+        return F.aggregate(steps, F.lit(0), advance)
 
-    found = F.aggregate(F.array(*[F.lit(s) for s in steps]), F.lit(0), advance)
-    return F.coalesce(found, F.lit(0))
+    columns = [v.alias(c) for c, v in carried.items()]
+    row = columns[0] if len(columns) == 1 else F.struct(*columns)
+    return F.coalesce(F.get(F.transform(F.array(row), place), F.lit(0)), F.lit(0))
 
 
 def _below(point: list[Column], key: list[Column], inclusive: bool) -> Column:

