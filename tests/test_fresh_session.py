@@ -16,11 +16,11 @@ from sluicebox.operators.keyindex import KeyIndex, ranked_keys
 spark = get_session("fresh", "local[2]", spark__ui__enabled="false")
 points = tuple((datetime(2024, 1, 1) + timedelta(hours=h),) for h in range(1, 60))
 index = KeyIndex(("ts",), points, (100,) * 60)
-for _ in range(14):
-    ds = read_series(spark, sys.argv[1], database="d", table="t", time="ts", keys=["event_id"])
-    ranked = ranked_keys(ds.df, index, range(50, 6000, 500)).filter(F.col("rows") > 1)
-    ranked._jdf.queryExecution().optimizedPlan()
+for _ in range(4):
     spark.range(1)
+ds = read_series(spark, sys.argv[1], database="d", table="t", time="ts", keys=["event_id"])
+ranked = ranked_keys(ds.df, index, range(50, 6000, 500)).filter(F.col("rows") > 1).select("ts")
+ranked._jdf.queryExecution().optimizedPlan()
 print("planned")
 """
 
