@@ -31,7 +31,7 @@ from sluicebox.tables import small_table
 ROWS_PER_BUCKET = 1_000_000
 # Buckets that are worth having before there are that many rows: they cost nothing
 # as literals, and the finer they are, the fewer rows a cut has to look at.
-BASE_BUCKETS = 64
+BASE_BUCKETS = 256
 # Bounds the sample and every per-bucket table on the driver.
 MAX_BUCKETS = 32_768
 # Sampled keys per bucket.
