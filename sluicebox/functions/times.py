@@ -36,8 +36,8 @@ def cut_to_ms(ts: Column) -> Column:
 
 
 def epoch_millis(ts: Column) -> Column:
-    """Milliseconds since 1970, cut and not rounded."""
-    return F.unix_millis(ts.cast("timestamp"))
+    """Milliseconds since 1970 in UTC, cut and not rounded, in any session time zone."""
+    return F.unix_millis(F.from_utc_timestamp(ts.cast("timestamp"), F.current_timezone()))
 
 
 def time_or_null(value: Column) -> Column:

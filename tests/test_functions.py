@@ -99,6 +99,22 @@ def test_time_texts(spark, time, ms, nano):
     )
 
 
+def test_times_do_not_depend_on_the_session_zone(spark):
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    time = datetime(2024, 7, 1, 12, 0, 0, 179575)
+    ts = times.exact_literal(time)
+    try:
+        spark.conf.set("spark.sql.session.timeZone", "Asia/Seoul")
+        assert value(spark, ts) == time
+        assert value(spark, times.epoch_millis(ts)) == 1719835200179
+        assert value(spark, times.ms_text(ts)) == "2024-07-01T12:00:00.179Z"
+        assert value(spark, times.nano_text(ts)) == "2024-07-01T12:00:00.179575Z"
+        parsed = times.parse_ms_text(F.lit("2024-07-01T12:00:00.179Z"))
+        assert value(spark, parsed) == time.replace(microsecond=179000)
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
+
+
 def test_bad_time_text(spark):
     assert value(spark, times.parse_ms_text(F.lit("soon"), strict=False)) is None
     with pytest.raises(PySparkException):
