@@ -28,6 +28,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def tasks_for(df: DataFrame, bytes_per_task: int = 64 << 20) -> int:
+    """Partitions for a shuffle of ``df``: by the size the planner knows, at least the session's own number."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return max(least, min(-(-size // bytes_per_task), 1_000_000))
+
+
 def map_rows(
     df: DataFrame, make: Callable[[], Callable[[dict], Iterator[tuple]]], schema: str, rows: int = 512
 ) -> DataFrame:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from sluicebox.llm import sentencepiece
+from sluicebox.llm import quality, sentencepiece, tokenfile, warc
 from sluicebox.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -23,3 +23,24 @@ def query(fn):
 def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("piece_bpe_32k.model")
     return sentencepiece.encode_documents(table(spark, sf_dir, "documents"), path, keep_ids=False)
+
+
+@query
+def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path("word_bpe_49k.json")
+    manifest = tokenfile.write_token_files(table(spark, sf_dir, "documents"), path, end_id=1)
+    return tokenfile.read_token_files(manifest, keep_ids=False)
+
+
+@query
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    records = warc.read_archives(warc.write_archives(table(spark, sf_dir, "pages"), least_bytes=0), keep_payload=False)
+    return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+@query
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return quality.with_verdict(docs, drop_text=True).select(
+        "doc_id", *quality.COUNTS, "base_failed", "kept", "quality"
+    )
