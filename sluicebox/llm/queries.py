@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from sluicebox.llm import quality, sentencepiece, tokenfile, warc
+from sluicebox.llm import quality, secretscan, sentencepiece, tokenfile, warc
 from sluicebox.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -44,3 +45,20 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.with_verdict(docs, drop_text=True).select(
         "doc_id", *quality.COUNTS, "base_failed", "kept", "quality"
     )
+
+
+@query
+def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secretscan.scan(table(spark, sf_dir, "documents"))
+
+    def of(kind: str):
+        return F.size(F.filter("base", lambda x: x["kind"] == kind)).cast("bigint").alias(f"n_{kind}")
+
+    return found.select(
+        "doc_id",
+        of("assign"),
+        of("access"),
+        of("hex"),
+        F.sha2(secretscan.joined_spans("base"), 256).alias("base_sha256"),
+        secretscan.joined_spans("spans").alias("spans"),
+    )
