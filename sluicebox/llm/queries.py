@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sluicebox.llm import quality, secretscan, sentencepiece, tokenfile, warc
+from sluicebox.llm import quality, secretscan, sentencepiece, simhash, tokenfile, warc
 from sluicebox.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -62,3 +62,9 @@ def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(secretscan.joined_spans("base"), 256).alias("base_sha256"),
         secretscan.joined_spans("spans").alias("spans"),
     )
+
+
+@query
+def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    marks = simhash.with_fingerprint(table(spark, sf_dir, "documents"), words_per_shingle=4)
+    return simhash.cluster(marks, distance=4).withColumn("fingerprint", simhash.hex_text(F.col("fingerprint")))
