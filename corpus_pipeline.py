@@ -1,22 +1,55 @@
-"""The corpus pipeline: stages over ``documents``, each written as Parquet and read again."""
+"""The corpus pipeline: stages over ``documents``, each written as Parquet and read again.
+
+Quality rules reject documents, line dedup takes repeated lines out of the texts,
+near-dedup keeps one document of each group, decontamination drops documents that
+hold a benchmark item, and the last stage encodes what is left. All stages but the
+last return the columns of ``documents``; ``n_chars`` follows the text.
+"""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from sluicebox.llm import decontaminate, linededup, quality, sentencepiece, simhash
 from sluicebox.session import scratch_dir
 
 
-def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Ids of every whole text that is left, and the text they decode to."""
-    import public_tokenizers
+def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that neither fail the base rules nor look bad to the fitted votes."""
+    return quality.with_verdict(docs).filter("kept").select(*docs.columns)
+
+
+def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document, without lines that stand, exactly or nearly, in an earlier place."""
+    out = linededup.without_repeated_lines(docs)
+    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
+
 
-    from sluicebox.llm.sentencepiece import encode_documents
+def keep_one_of_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document with the smallest id of each group of near-duplicates."""
+    return simhash.one_of_each_group(docs)
 
-    return encode_documents(docs, public_tokenizers.path("piece_bpe_32k.model"))
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no benchmark item."""
+    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    return decontaminate.without_contaminated(docs, items)
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Ids of every whole text that is left, and the text they decode to."""
+    return sentencepiece.encode_documents(docs, public_tokenizers.path("piece_bpe_32k.model"))
 
 
-STAGES = [("encode", encode)]
+STAGES = [
+    ("quality_rules", keep_good),
+    ("line_dedup", drop_repeated_lines),
+    ("simhash_near_dedup", keep_one_of_group),
+    ("decontamination", drop_contaminated),
+    ("sentencepiece", encode),
+]
 
 #: The rules' verdict comes from expectation-maximisation and the ids from a model file.
 ORACLE_SQL = None

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sluicebox.llm import quality, secretscan, sentencepiece, simhash, tokenfile, warc
+from sluicebox.llm import decontaminate, linededup, quality, secretscan, sentencepiece, simhash, tokenfile, warc
 from sluicebox.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -68,3 +68,13 @@ def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     marks = simhash.with_fingerprint(table(spark, sf_dir, "documents"), words_per_shingle=4)
     return simhash.cluster(marks, distance=4).withColumn("fingerprint", simhash.hex_text(F.col("fingerprint")))
+
+
+@query
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linededup.line_report(table(spark, sf_dir, "documents"))
+
+
+@query
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))

@@ -200,3 +200,13 @@ def cluster(fingerprints: DataFrame, distance: int, segments: int = 3) -> DataFr
 
 def hex_text(fingerprint: Column) -> Column:
     return F.lower(F.lpad(F.hex(fingerprint), 16, "0"))
+
+
+def one_of_each_group(
+    docs: DataFrame, words_per_shingle: int = 5, distance: int = 4, segments: int = 3
+) -> DataFrame:
+    """The rows of ``docs`` whose id is the smallest of their group; rows that share it with one text stay one."""
+    marks = with_fingerprint(docs, words_per_shingle)
+    keep = cluster(marks, distance, segments).filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    ids = keep.select(F.col("doc_id").alias("_id")).distinct()
+    return docs.join(ids, docs["doc_id"].eqNullSafe(ids["_id"]), "left_semi")
