@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sluicebox.llm import decontaminate, linededup, quality, secretscan, sentencepiece, simhash, tokenfile, warc
-from sluicebox.llm.common import table
+from sluicebox.llm import decontaminate, linededup, quality, secretscan, sentencepiece, simhash, tokenfile, toxicity, warc
+from sluicebox.llm.common import remainder_of_crc32, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -78,3 +78,16 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.train(docs, table(spark, sf_dir, "labels"), hold_out=2)
+    scored = toxicity.score_documents(docs, model, with_spans=False)
+    return scored.select(
+        "doc_id",
+        (remainder_of_crc32("doc_id", 4) == 2).alias("held_out"),
+        "score",
+        (F.col("score") >= toxicity.PREDICTED).cast("int").alias("predicted"),
+    )
