@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sluicebox.llm import decontaminate, linededup, quality, secretscan, sentencepiece, simhash, tokenfile, toxicity, warc
+from sluicebox.llm import decontaminate, gru, linededup, quality, secretscan, sentencepiece, simhash, tokenfile, toxicity, warc
 from sluicebox.llm.common import remainder_of_crc32, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -91,3 +91,8 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
         "score",
         (F.col("score") >= toxicity.PREDICTED).cast("int").alias("predicted"),
     )
+
+
+@query
+def op10_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return gru.score_documents(table(spark, sf_dir, "documents"))
