@@ -53,10 +53,18 @@ def _has_special(
     return reduce(lambda a, b: a | b, found, F.lit(False))
 
 
-def reject_reason(df: DataFrame, json_columns: Sequence[str] = ()) -> Column:
-    """Why a row cannot be a message, or null: a NaN or infinite number, or bad JSON text."""
+def reject_reason(
+    df: DataFrame, json_columns: Sequence[str] = (), columns: Sequence[str] | None = None
+) -> Column:
+    """Why a row cannot be a message, or null: a NaN or infinite number, or bad JSON text.
+
+    Only ``columns`` are looked at, by default all. Text in ``json_columns`` has to
+    be JSON; leave out those that are sent as plain text.
+    """
     reasons = []
     for field in df.schema.fields:
+        if columns is not None and field.name not in columns:
+            continue
         bad = _has_nonfinite(F.col(_quoted(field.name)), field.dataType)
         if bad is not None:
             reasons.append(F.when(bad, F.lit(f"number not finite: {field.name}")))

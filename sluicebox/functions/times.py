@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from datetime import date, datetime
+from datetime import UTC, date, datetime
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Fixed value: the text form of a time with milliseconds.
 MS_PATTERN = "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'"
@@ -45,6 +46,23 @@ def time_or_null(value: Column) -> Column:
     return value.try_cast("timestamp_ntz")
 
 
+def utc_time(instant: Column) -> Column:
+    """A zoned TIMESTAMP as plain UTC time, from its microseconds: no zone of session or process plays a part."""
+    seconds = (F.unix_micros(instant).cast("decimal(20,0)") / F.lit(1_000_000)).cast("decimal(18,6)")
+    start = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
+    return start + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), seconds)
+
+
+def zoned_columns(df: DataFrame) -> list[str]:
+    return [f.name for f in df.schema.fields if isinstance(f.dataType, T.TimestampType)]
+
+
+def in_utc(df: DataFrame) -> DataFrame:
+    """``df`` with zoned timestamps as plain UTC times, so that cut points round-trip exactly."""
+    zoned = zoned_columns(df)
+    return df.withColumns({c: utc_time(F.col(c)) for c in zoned}) if zoned else df
+
+
 def exact_literal(value: object) -> Column:
     """A literal; a time goes in as text, so that no time zone can shift it."""
     if isinstance(value, datetime):
@@ -53,11 +71,21 @@ def exact_literal(value: object) -> Column:
 
 
 def time_literal(value: datetime | date | str | Column) -> Column:
-    """A caller's time bound as a TIMESTAMP_NTZ column; text may end in ``Z``."""
+    """A caller's time bound as a TIMESTAMP_NTZ column; an offset (``Z``, ``+02:00``) is taken into account."""
     if isinstance(value, Column):
         return value
     if isinstance(value, str):
-        value = datetime.fromisoformat(value.removesuffix("Z"))
+        value = datetime.fromisoformat(value)
     elif not isinstance(value, datetime):
         value = datetime(value.year, value.month, value.day)
-    return exact_literal(value.replace(tzinfo=None))
+    if value.tzinfo is not None:
+        value = value.astimezone(UTC).replace(tzinfo=None)
+    return exact_literal(value)
+
+
+def instant_literal(value: datetime | date | str | Column) -> Column:
+    """A caller's time bound as a zoned TIMESTAMP, for a filter on a stored zoned column."""
+    if isinstance(value, Column):
+        return value
+    plain = time_literal(value)
+    return F.concat(plain.cast("string"), F.lit("+00:00")).cast("timestamp")

@@ -8,16 +8,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sluicebox.functions.times import time_literal
+from sluicebox.functions.times import instant_literal, time_literal
 from sluicebox.tables import small_table
 
 
 def in_window(df: DataFrame, time: str, start: object = None, stop: object = None) -> DataFrame:
-    """Rows with ``start <= time < stop``; a bound of ``None`` is open."""
+    """Rows with ``start <= time < stop``; a bound of ``None`` is open. Zoned columns compare as instants."""
+    zoned = isinstance(df.schema[time].dataType, T.TimestampType)
+    bound = instant_literal if zoned else time_literal
     if start is not None:
-        df = df.filter(F.col(time) >= time_literal(start))
+        df = df.filter(F.col(time) >= bound(start))
     if stop is not None:
-        df = df.filter(F.col(time) < time_literal(stop))
+        df = df.filter(F.col(time) < bound(stop))
     return df
 
 

@@ -25,7 +25,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from sluicebox.functions.search import count_points_before
-from sluicebox.functions.times import exact_literal
+from sluicebox.functions.times import exact_literal, in_utc
 from sluicebox.tables import small_table
 
 ROWS_PER_BUCKET = 1_000_000
@@ -39,10 +39,8 @@ OVERSAMPLE = 24
 # Below this many rows a bucket is not worth a task of its own.
 MIN_ROWS_PER_BUCKET = 2_000
 SAMPLE_SEED = 2011
-# Key ranges put into the scan filter at most; past this only the bucket test is used.
+# Key ranges put into the scan filter at most; the nearest ones are merged beyond.
 MAX_SCAN_RANGES = 64
-# Rows from which several ranges are worth planning.
-MIN_ROWS_FOR_RANGES = 20_000_000
 
 BUCKET = "_bucket"
 
@@ -71,6 +69,15 @@ class KeyIndex:
         """Add the bucket of each row; a row equal to a cut point opens its bucket."""
         return count_points_before(df, self.cut_keys, self.points, BUCKET, inclusive=True)
 
+    def tasks(self, df: DataFrame) -> int:
+        """Tasks for a shuffle by bucket: as many as the rows need, whatever the session's own number."""
+        least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        return max(-(-self.total // ROWS_PER_BUCKET), min(least, len(self.counts)), 1)
+
+    def spread(self, df: DataFrame, *keys: str) -> DataFrame:
+        """``df`` with its bucket, dealt by ``keys`` and bucket to as many tasks as there is need for."""
+        return self.with_bucket(df).repartition(self.tasks(df), *keys, BUCKET)
+
     def bases(self, df: DataFrame, column: str) -> DataFrame:
         """Bucket → rows before it; at most ``MAX_BUCKETS`` rows."""
         rows = list(enumerate(self.starts))
@@ -95,9 +102,9 @@ class KeyIndex:
                 runs.append([b, b])
         first = F.col(self.keys[0])
         dtype = df.schema[self.keys[0]].dataType
-        few_rows = len(runs) > 1 and self.total < MIN_ROWS_FOR_RANGES
-        if not self.points or len(runs) > MAX_SCAN_RANGES or few_rows:
+        if not self.points:
             return F.lit(True)
+        runs = _merged(runs, MAX_SCAN_RANGES)
         condition = F.lit(False)
         for low, high in runs:
             part = F.lit(True)
@@ -111,6 +118,21 @@ class KeyIndex:
         return condition
 
 
+def _merged(runs: list[list[int]], most: int) -> list[list[int]]:
+    """At most ``most`` runs: the smallest gaps between them are closed."""
+    if len(runs) <= most:
+        return runs
+    gaps = sorted(range(1, len(runs)), key=lambda i: runs[i][0] - runs[i - 1][1], reverse=True)
+    keep = set(gaps[: most - 1])
+    out = [list(runs[0])]
+    for i, run in enumerate(runs[1:], 1):
+        if i in keep:
+            out.append(list(run))
+        else:
+            out[-1][1] = run[1]
+    return out
+
+
 def build_index(
     df: DataFrame,
     keys: Sequence[str],
@@ -124,9 +146,12 @@ def build_index(
     enough to cut evenly. ``rows`` spares the count when it is known.
     """
     keys = tuple(keys)
+    df = in_utc(df)
+    if buckets is not None and buckets > MAX_BUCKETS:
+        raise ValueError(f"{buckets} buckets; an index holds at most {MAX_BUCKETS}")
     if rows is None:
         rows = df.select(*keys).count()
-    wanted = _bucket_count(rows) if buckets is None else min(buckets, MAX_BUCKETS)
+    wanted = _bucket_count(rows) if buckets is None else buckets
     points = _cut_points(df, keys, rows, wanted)
     if not points:
         return KeyIndex(keys, (), (rows,))
@@ -180,9 +205,10 @@ def with_ordinal(
     Equal to ``row_number() over (order by keys)`` (plus ``start - 1``), with one
     shuffle by bucket instead of one task for everything.
     """
+    df = in_utc(df)
     index = index or build_index(df, keys)
     base = f"{out}_base"
-    placed = index.with_bucket(df).join(F.broadcast(index.bases(df, base)), BUCKET)
+    placed = index.spread(df).join(F.broadcast(index.bases(df, base)), BUCKET)
     within = W.partitionBy(BUCKET).orderBy(*keys)
     numbered = placed.withColumn(out, F.col(base) + F.row_number().over(within) + F.lit(start - 1))
     return numbered.drop(BUCKET, base)
@@ -205,7 +231,7 @@ def ranked_keys(
     per task and not a hot group. ``unique`` keys need no counting.
     """
     keys = list(index.keys)
-    near = rows_in_buckets(df.select(*keys), index, index.buckets_of(ordinals))
+    near = rows_in_buckets(in_utc(df.select(*keys)), index, index.buckets_of(ordinals))
     base = F.broadcast(index.bases(df, "bucket_start"))
     in_order = W.partitionBy(BUCKET).orderBy(*keys)
     if unique:

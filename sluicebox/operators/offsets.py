@@ -21,7 +21,11 @@ def offsets_frame(spark: SparkSession, offsets: Mapping[int, int] | None) -> Dat
 
 
 def with_offsets(
-    df: DataFrame, index: KeyIndex, start_offsets: DataFrame, out: str = "offset"
+    df: DataFrame,
+    index: KeyIndex,
+    start_offsets: DataFrame,
+    out: str = "offset",
+    reason: str | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """Number the rows of each ``partition`` in key order from its start offset.
 
@@ -31,24 +35,36 @@ def with_offsets(
     numbered on its own. Partitions must be made of key ranges (as by
     ``assign_jobs``), so that a bucket meets few of them and the chunk table
     stays at about buckets + jobs rows.
+
+    Rows with a value in the column ``reason`` are counted but not numbered and
+    not returned; the second frame then also has ``planned, rejected``.
     """
     spark = df.sparkSession
     placed = index.with_bucket(df)
-    chunks = placed.groupBy("partition", BUCKET).agg(F.count("*").alias("n"))
-    bases, produced = [], {}
+    good = F.lit(True) if reason is None else F.col(reason).isNull()
+    chunks = placed.groupBy("partition", BUCKET).agg(F.count(F.when(good, 1)).alias("n"), F.count("*").alias("planned"))
+    bases, produced, planned_of = [], {}, {}
     # Bounded, see above: one row per chunk and one per partition.
     starts = dict(start_offsets.select("partition", "offset").collect())
-    for partition, bucket, n in sorted(chunks.collect()):
+    for partition, bucket, n, planned in sorted(chunks.collect()):
         if partition not in starts:
             raise ValueError(f"no start offset for partition {partition}")
         sent = produced.get(partition, 0)
         bases.append((partition, bucket, starts[partition] + sent))
         produced[partition] = sent + n
+        planned_of[partition] = planned_of.get(partition, 0) + planned
     base = small_table(spark, bases, {"partition": "int", BUCKET: "int", "_base": "bigint"})
     within = W.partitionBy("partition", BUCKET).orderBy(*index.keys)
-    numbered = placed.join(F.broadcast(base), ["partition", BUCKET]).withColumn(
+    if reason is not None:
+        placed = placed.filter(good).drop(reason)
+    dealt = placed.repartition(index.tasks(df), "partition", BUCKET)
+    numbered = dealt.join(F.broadcast(base), ["partition", BUCKET]).withColumn(
         out, F.col("_base") + F.row_number().over(within) - 1
     )
+    if reason is not None:
+        rows = [(p, planned_of[p], planned_of[p] - n, n) for p, n in sorted(produced.items())]
+        kinds = {"partition": "int", "planned": "bigint", "rejected": "bigint", "produced": "bigint"}
+        return numbered.drop(BUCKET, "_base"), small_table(spark, rows, kinds)
     made = small_table(spark, sorted(produced.items()), {"partition": "int", "produced": "bigint"})
     return numbered.drop(BUCKET, "_base"), made
 
@@ -84,9 +100,10 @@ def delivery_audit(produced: DataFrame, start: DataFrame, end: DataFrame) -> Dat
     both = growth.join(produced, "partition", "full")
     made = F.coalesce("produced", F.lit(0)).cast("bigint")
     grown = F.coalesce("offset_growth", F.lit(0)).cast("bigint")
-    return both.select(
-        "partition", made.alias("produced"), grown.alias("offset_growth"), (made == grown).alias("matches")
-    )
+    agree = made == grown
+    if "planned" in produced.columns:
+        agree = agree & (F.coalesce("planned", F.lit(0)) == made + F.coalesce("rejected", F.lit(0)))
+    return both.select("partition", made.alias("produced"), grown.alias("offset_growth"), agree.alias("matches"))
 
 
 def messages_per_job(df: DataFrame) -> DataFrame:

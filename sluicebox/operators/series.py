@@ -15,6 +15,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from sluicebox.functions.numbers import int_div
+from sluicebox.functions.times import in_utc
 from sluicebox.operators.keyindex import BUCKET, KeyIndex, build_index
 
 
@@ -31,8 +32,9 @@ def with_series_ordinal(
     Equal to ``row_number() over (partition by series order by order)``.
     """
     series, order = list(series), list(order)
+    df = in_utc(df)
     index = index or build_index(df, [*series, *order])
-    placed = index.with_bucket(df)
+    placed = index.spread(df, *series)
     within = W.partitionBy(BUCKET, *series).orderBy(*order)
     numbered = placed.withColumn(out, F.row_number().over(within).cast("bigint"))
     if len(index.cut_keys) <= len(series):

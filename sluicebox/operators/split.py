@@ -21,7 +21,7 @@ from sluicebox.functions.numbers import (
     partition_of_ordinal,
 )
 from sluicebox.functions.search import MAX_POINTS, count_points_before
-from sluicebox.functions.times import cut_to_ms, exact_literal
+from sluicebox.functions.times import cut_to_ms, exact_literal, in_utc
 from sluicebox.operators.filters import in_window
 from sluicebox.operators.keyindex import (
     BUCKET,
@@ -77,7 +77,7 @@ class TimePlan:
     def assign(self, df: DataFrame) -> DataFrame:
         """Add ``job_id``: the number of cuts before the row's time."""
         points = [(c,) for c in self.cuts]
-        timed = df.filter(F.col(self.time).isNotNull())
+        timed = in_utc(df).filter(F.col(self.time).isNotNull())
         placed = count_points_before(timed, [self.time], points, "job_id", inclusive=False)
         if not self.keep_tail:
             placed = placed.filter(F.col("job_id") < len(self.cuts))
@@ -98,7 +98,7 @@ class OrdinalPlan:
 
     def assign(self, df: DataFrame) -> DataFrame:
         """Add ``job_id``: the number of later jobs that start at or before the row."""
-        return count_points_before(df, self.keys, self.starts, "job_id", inclusive=True)
+        return count_points_before(in_utc(df), self.keys, self.starts, "job_id", inclusive=True)
 
 
 Plan = TimePlan | OrdinalPlan
@@ -113,7 +113,7 @@ class TimeEnds:
 
 def time_ends(df: DataFrame, time: str) -> TimeEnds:
     """Number of rows that have a time, and the first and last time: one aggregate."""
-    return TimeEnds(*df.agg(F.count(time), F.min(time), F.max(time)).first())
+    return TimeEnds(*in_utc(df.select(time)).agg(F.count(time), F.min(time), F.max(time)).first())
 
 
 def plan_by_time(
@@ -137,7 +137,7 @@ def plan_by_time(
     _check_jobs(jobs)
     if total_mode not in ("full", "half_open"):
         raise ValueError(f"total_mode is full or half_open, not {total_mode}")
-    df = df.filter(F.col(time).isNotNull())
+    df = in_utc(df).filter(F.col(time).isNotNull())
     ends = ends or time_ends(df, time)
     total = ends.rows
     if total_mode == "half_open" and total:
@@ -180,6 +180,7 @@ def plan_by_ordinal(
     _check_jobs(jobs)
     if jobs > MAX_POINTS:
         raise ValueError(f"{jobs} jobs; at most {MAX_POINTS} can be planned")
+    df = in_utc(df)
     index = index or build_index(df, keys, rows=rows)
     rows = index.total
     share, extra = divmod(rows, jobs)
@@ -260,6 +261,7 @@ def ordinal_slice(
     Buckets inside the slice pass as they are; only those at its two ends are
     numbered.
     """
+    df = in_utc(df)
     index = index or build_index(df, keys)
     start, stop = max(start, 0), min(stop, index.total)
     if start >= stop:

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sluicebox.functions.jsontext import split_rejects
+from sluicebox.functions.jsontext import reject_reason
 from sluicebox.functions.numbers import int_div, partition_of_ordinal
 from sluicebox.functions.times import exact_literal, ms_text
 from sluicebox.operators.keyindex import BUCKET, KeyIndex, build_index, with_ordinal
@@ -44,7 +44,7 @@ from sluicebox.tables import small_table
 
 JOBS = 48
 # Names the export adds to a row on its way to the log.
-ADDED = ("job_id", "partition", "offset", BUCKET)
+ADDED = ("job_id", "partition", "offset", "bad_reason", BUCKET)
 
 SUMMARY_SCHEMA = T.StructType(
     [
@@ -89,12 +89,19 @@ class ExportPlan:
 
 @dataclass(frozen=True)
 class ExportResult:
-    """What an export did: the summary row and the audit, both small."""
+    """What an export did: summary row, audit and accounting are small; ``rejects`` are the rows not sent.
+
+    ``accounting`` is one row ``planned, produced, rejected, without_time,
+    after_last_cut, matches``: every row the plan counted was either sent,
+    rejected for a reason, or lies behind the last cut where that is wanted.
+    """
 
     summary: DataFrame
     audit: DataFrame
     offsets: DataFrame
     run_id: str
+    rejects: DataFrame
+    accounting: DataFrame
 
 
 def plan_export(
@@ -143,22 +150,34 @@ def build_messages(
 
     ``strategy="job"`` sends each range to one partition, ``"row"`` deals the
     rows out in turn. Rows that cannot be written as JSON are left out; see
-    ``split_rejects`` for them.
+    ``rejected_rows`` for them.
     """
     if strategy not in ("job", "row"):
         raise ValueError(f"strategy is job or row, not {strategy}")
     ds = plan.ds
     if strategy == "job":
-        sent, _ = split_rejects(plan.assigned(), ds.json_columns)
-        placed, produced = with_offsets(sent, plan.index, start_offsets)
+        flagged = _flagged(plan, plan.assigned(), nested)
+        placed, produced = with_offsets(flagged, plan.index, start_offsets, reason="bad_reason")
     else:
-        placed, produced = _dealt_out(plan, start_offsets)
+        placed, produced = _dealt_out(plan, start_offsets, nested)
     return with_value(placed, ds, ["job_id", "partition", "offset"], nested), produced
 
 
-def _dealt_out(plan: ExportPlan, start_offsets: DataFrame) -> tuple[DataFrame, DataFrame]:
+def _flagged(plan: ExportPlan, rows: DataFrame, nested: bool) -> DataFrame:
+    """``rows`` with ``bad_reason``. Text is always sendable as a string, so JSON is only checked if nested."""
+    ds = plan.ds
+    reason = reject_reason(rows, ds.json_columns if nested else (), ds.shown)
+    return rows.withColumn("bad_reason", reason)
+
+
+def rejected_rows(plan: ExportPlan, nested: bool = False) -> DataFrame:
+    """The rows of a plan that cannot be messages, with job, partition and ``bad_reason``."""
+    return _flagged(plan, plan.assigned(), nested).filter(F.col("bad_reason").isNotNull())
+
+
+def _dealt_out(plan: ExportPlan, start_offsets: DataFrame, nested: bool) -> tuple[DataFrame, DataFrame]:
     """Row n goes to partition n mod p, where it is message n div p: no counting is needed."""
-    sent, _ = split_rejects(plan.ranges.assign(plan.rows), plan.ds.json_columns)
+    sent = _flagged(plan, plan.ranges.assign(plan.rows), nested).filter("bad_reason is null").drop("bad_reason")
     # The index of the plan may count rejected rows, so the sent rows get their own counts.
     index = build_index(sent, plan.ds.order)
     ordinal = F.col("_ordinal")
@@ -229,7 +248,31 @@ def export(
         ended,
         lines,
     )
-    return ExportResult(spark.createDataFrame([row], SUMMARY_SCHEMA), audit, growth, run_id)
+    rejects = rejected_rows(plan, nested)
+    accounting = _accounting(plan, produced, total, rejects, ds.without_time(tag))
+    summary = spark.createDataFrame([row], SUMMARY_SCHEMA)
+    return ExportResult(summary, audit, growth, run_id, rejects, accounting)
+
+
+def _accounting(
+    plan: ExportPlan, produced: DataFrame, sent: int, rejects: DataFrame, without_time: int
+) -> DataFrame:
+    """One row that says what became of every row the plan counted."""
+    if "rejected" in produced.columns:
+        rejected, seen = produced.agg(F.sum("rejected"), F.sum("planned")).first()
+        rejected, seen = rejected or 0, seen or 0
+    else:
+        rejected = rejects.count()
+        seen = sent + rejected
+    planned = plan.index.total
+    behind = 0
+    if isinstance(plan.ranges, TimePlan) and not plan.ranges.keep_tail:
+        time, cuts = F.col(plan.ranges.time), plan.ranges.cuts
+        behind = plan.rows.filter(time > exact_literal(cuts[-1])).count() if cuts else planned
+    matches = planned == seen + behind and seen == sent + rejected
+    kinds = dict.fromkeys(("planned", "produced", "rejected", "without_time", "after_last_cut"), "bigint")
+    row = (planned, sent, rejected, without_time, behind, matches)
+    return small_table(plan.rows.sparkSession, [row], {**kinds, "matches": "boolean"})
 
 
 def query_by_time(
@@ -248,7 +291,7 @@ def export_to_kafka(
     stretch of one partition in order and a partition is spread over many tasks.
     """
     plan = plan_export(ds, partitions, **options)
-    sent, _ = split_rejects(plan.assigned(), ds.json_columns)
+    sent = _flagged(plan, plan.assigned(), nested=False).filter("bad_reason is null").drop("bad_reason")
     order: Sequence[str] = ["partition", *ds.order]
     spread = sent.repartitionByRange(tasks, *order) if tasks else sent.repartitionByRange(*order)
     in_order = spread.sortWithinPartitions(*order)

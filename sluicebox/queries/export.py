@@ -235,3 +235,50 @@ def collect_bounded(spark: SparkSession, sf: str) -> DataFrame:
 
 def _as_text(log: DataFrame) -> DataFrame:
     return log.select("partition", "offset", F.col("value").cast("string").alias("value"))
+
+
+@query(
+    f"""
+    with {EVENT_PLACES}
+    select part as "partition", count(*) as messages,
+           count(*) filter (where event_id % 4 = 0) as plain, cast(0 as bigint) as rejected, true as matches
+    from places group by part
+    """
+)
+def export_keeps_plain_text(spark: SparkSession, sf: str) -> DataFrame:
+    """Text that is no JSON is sent as a string, and nothing is left out."""
+    ds = events(spark, sf)
+    props = F.when(F.col("event_id") % 4 == 0, F.lit("no json {")).otherwise(F.col("props"))
+    log = new_log(spark, "plain-text")
+    result = export(ds.with_df(ds.df.withColumn("props", props)), log, TOPIC, jobs=JOBS)
+    done = result.accounting.first()
+    sent = log.read(spark, TOPIC).withColumn("text", F.col("value").cast("string"))
+    return sent.groupBy("partition").agg(
+        F.count("*").alias("messages"),
+        F.count(F.when(F.col("text").contains('"props":"no json {"'), 1)).alias("plain"),
+        F.lit(done["rejected"]).cast("bigint").alias("rejected"),
+        F.lit(done["matches"]).alias("matches"),
+    )
+
+
+@query(
+    f"""
+    with {EVENT_PLACES}
+    select part as "partition", 'number not finite: value' as bad_reason, count(*) as n,
+           (select count(*) from events) as planned,
+           (select count(*) from events where event_id % 50 <> 0) as produced, true as matches
+    from places where event_id % 50 = 0 group by part
+    """
+)
+def export_rejects(spark: SparkSession, sf: str) -> DataFrame:
+    """Rows with NaN stay out, are kept with their reason, and the totals add up."""
+    ds = events(spark, sf)
+    value = F.when(F.col("event_id") % 50 == 0, F.lit(float("nan"))).otherwise(F.col("value"))
+    result = export(ds.with_df(ds.df.withColumn("value", value)), new_log(spark, "rejects"), TOPIC, jobs=JOBS)
+    done = result.accounting.first()
+    return result.rejects.groupBy("partition", "bad_reason").agg(
+        F.count("*").alias("n"),
+        F.lit(done["planned"]).cast("bigint").alias("planned"),
+        F.lit(done["produced"]).cast("bigint").alias("produced"),
+        F.lit(done["matches"]).alias("matches"),
+    )

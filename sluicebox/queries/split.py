@@ -253,3 +253,26 @@ def batch_records(spark: SparkSession, sf: str) -> DataFrame:
         F.col("last_key.event_id").alias("last_key"),
         F.concat_ws(",", text).alias("records"),
     )
+
+
+def _zoned_events(spark: SparkSession, sf: str) -> DataFrame:
+    """Events whose time is a zoned TIMESTAMP, as lakes and connectors give it."""
+    return events(spark, sf).df.select("event_id", F.to_timestamp("ts").alias("ts"))
+
+
+@query(_time_plan_sql("events", "ts", "count(*)", True))
+def zoned_time_plan(spark: SparkSession, sf: str) -> DataFrame:
+    return split.time_split_plan(_zoned_events(spark, sf), "ts", JOBS, PARTITIONS, TOPIC)
+
+
+@query(
+    """
+    select event_id, ts
+    from (select event_id, ts, row_number() over (order by ts, event_id) - 1 as o, count(*) over () as n from events)
+    where o >= n // 5 and o < 4 * n // 5
+    """
+)
+def zoned_slice(spark: SparkSession, sf: str) -> DataFrame:
+    df = _zoned_events(spark, sf)
+    n = df.count()
+    return split.ordinal_slice(df, ["ts", "event_id"], n // 5, 4 * n // 5)

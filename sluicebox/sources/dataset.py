@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import dataclass, replace
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
+from sluicebox.functions.times import in_utc
 from sluicebox.operators import filters
 
 SERIES = "series"
@@ -25,7 +25,8 @@ class Dataset:
 
     ``keys`` make the order unique: for a collection they are its id, for a
     series they break ties of ``time``. ``hidden`` columns serve the order only
-    and never reach a message. ``json_columns`` hold JSON text.
+    and never reach a message. ``json_columns`` hold JSON text. Zoned timestamps
+    of ``df`` become plain UTC times; ``stored`` is the frame as it was given.
     """
 
     df: DataFrame
@@ -37,6 +38,11 @@ class Dataset:
     hidden: tuple[str, ...] = ()
     series_keys: tuple[str, ...] = ()
     json_columns: tuple[str, ...] = ()
+    stored: DataFrame = field(init=False, repr=False, compare=False)
+
+    def __post_init__(self) -> None:
+        object.__setattr__(self, "stored", self.df)
+        object.__setattr__(self, "df", in_utc(self.df))
 
     @property
     def order(self) -> tuple[str, ...]:
@@ -63,11 +69,19 @@ class Dataset:
         if window is not None:
             if self.time is None:
                 raise ValueError(f"{self.table} has no time column to cut a window from")
-            df = filters.in_window(df, self.time, *window)
+            # On the stored column, where the scan can use it; converted afterwards.
+            df = in_utc(filters.in_window(self.stored, self.time, *window))
         if self.kind == SERIES:
             df = df.filter(F.col(self.time).isNotNull())
         return filters.tagged(df, tag, as_text=self.kind == SERIES)
 
+    def without_time(self, tag: tuple[str, object] | None = None) -> int:
+        """Records of a series that have no time and so are no part of it."""
+        if self.kind != SERIES:
+            return 0
+        timeless = self.df.filter(F.col(self.time).isNull())
+        return filters.tagged(timeless, tag).count()
+
     def with_df(self, df: DataFrame) -> Dataset:
         return replace(self, df=df)
 
@@ -88,7 +102,7 @@ def read_series(
     """A wide table with a time column, as a series."""
     df, keys, hidden = _read(spark, path, keys, format, options)
     return Dataset(
-        _in_utc(df),
+        df,
         database,
         table,
         SERIES,
@@ -118,7 +132,7 @@ def read_collection(
     if hide_keys:
         hidden = tuple({*hidden, *keys})
     return Dataset(
-        _in_utc(df),
+        df,
         database,
         table,
         COLLECTION,
@@ -155,13 +169,3 @@ def _read(
         F.col("_metadata.row_index").alias(ROW_POS),
     ]
     return df.select("*", *place), (ROW_FILE, ROW_POS), (ROW_FILE, ROW_POS)
-
-
-def _in_utc(df: DataFrame) -> DataFrame:
-    """Zoned timestamps as plain UTC times, so that cut points round-trip exactly."""
-    zoned = [f.name for f in df.schema.fields if isinstance(f.dataType, T.TimestampType)]
-    if not zoned:
-        return df
-    return df.withColumns(
-        {c: F.to_utc_timestamp(c, F.current_timezone()).cast("timestamp_ntz") for c in zoned}
-    )

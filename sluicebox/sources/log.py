@@ -59,7 +59,8 @@ class MessageLog:
         return log.withColumn("topic", F.lit(topic)).select(*COLUMNS)
 
     def read_stream(self, spark: SparkSession, topic: str, **options: str) -> DataFrame:
-        """The topic as a stream; new runs arrive as they are committed."""
+        """The topic as a stream; new runs arrive as they are committed. A topic nobody wrote to waits."""
+        _make_folder(spark, self._folder(topic))
         files = spark.readStream.schema(LOG_SCHEMA).options(**options)
         stream = files.parquet(self._folder(topic))
         return stream.withColumn("topic", F.lit(topic)).select(*COLUMNS)
@@ -79,6 +80,12 @@ class MessageLog:
         return run_id
 
 
+def _make_folder(spark: SparkSession, folder: str) -> None:
+    """Make ``folder`` where it is missing, in whatever file system it names."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(path)
+
+
 # Producer settings of a reliable export.
 KAFKA_WRITE_OPTIONS = {
     "kafka.acks": "all",

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -9,6 +10,10 @@ from pyspark.sql.streaming import StreamingQuery
 from sluicebox.operators.collect import between_offsets
 
 
+def _ddl(df: DataFrame) -> str:
+    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
+
+
 def from_offsets(stream: DataFrame, start: DataFrame) -> DataFrame:
     """Messages at or after the start offset of their partition.
 
@@ -70,7 +75,7 @@ def drain_counts(counts: DataFrame, path: str, checkpoint: str) -> DataFrame:
     """
 
     def keep(state: DataFrame, batch: int) -> None:
-        state.withColumn("batch", F.lit(batch)).write.mode("overwrite").parquet(f"{path}/run={batch}")
+        state.withColumn("batch", F.lit(batch).cast("bigint")).write.mode("overwrite").parquet(f"{path}/run={batch}")
 
     query = (
         counts.writeStream.outputMode("complete")
@@ -81,6 +86,12 @@ def drain_counts(counts: DataFrame, path: str, checkpoint: str) -> DataFrame:
     )
     query.awaitTermination()
     spark = counts.sparkSession
-    states = spark.read.parquet(path)
+    try:
+        states = spark.read.schema(f"{_ddl(counts)}, batch bigint").parquet(path)
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        # Nothing has arrived yet, so no batch was run.
+        return spark.createDataFrame([], counts.schema)
     latest = states.agg(F.max("batch").alias("batch"))
     return states.join(F.broadcast(latest), "batch").select(*counts.columns)

@@ -21,4 +21,6 @@ def small_table(spark: SparkSession, rows: Sequence[tuple], columns: Mapping[str
     arrays = [
         pa.array([row[i] for row in rows], type=_ARROW[kind]) for i, kind in enumerate(columns.values())
     ]
-    return spark.createDataFrame(pa.Table.from_arrays(arrays, names=list(columns)))
+    # Without its type a plain time would be taken for an instant, and shown in the zone of the process.
+    schema = ", ".join(f"`{name}` {kind}" for name, kind in columns.items())
+    return spark.createDataFrame(pa.Table.from_arrays(arrays, names=list(columns)), schema)

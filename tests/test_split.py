@@ -211,10 +211,10 @@ def test_no_key_needs_parquet(spark, tmp_path):
 
 
 def test_zoned_times_become_utc(spark):
-    from sluicebox.sources.dataset import _in_utc
+    from sluicebox.functions.times import in_utc
 
     df = spark.sql("select timestamp '2024-01-01 02:00:00+02:00' as ts")
-    assert _in_utc(df).first()["ts"] == at(0)
+    assert in_utc(df).first()["ts"] == at(0)
 
 
 def test_series_of_helper_hides_nothing(spark):
