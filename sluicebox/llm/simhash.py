@@ -123,7 +123,8 @@ def ball(width: int, radius: int) -> list[int]:
 
 
 def _part(fingerprint: Column, shift: int, width: int) -> Column:
-    return F.shiftrightunsigned(fingerprint, shift).bitwiseAND((1 << width) - 1)
+    moved = F.shiftrightunsigned(fingerprint, shift)
+    return moved if width == BITS else moved.bitwiseAND((1 << width) - 1)
 
 
 def near_pairs(
