@@ -22,7 +22,6 @@ table gives no files and an empty result. Other columns are not read.
 from __future__ import annotations
 
 import os
-import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -41,9 +40,9 @@ MAGIC = b"RVB1"
 HEAD = struct.Struct("<4sIQQ")
 NO_ID = -(2**63)
 BLOCK_IDS = 1 << 20
-CACHE_ENTRIES = 500_000
-#: A word's letters before a full stop or comma, or all up to the next space or line feed.
-CHUNK = re.compile(r"[^\W\d_]+(?=[.,])|[^ \n]+")
+CACHE_ENTRIES = 800_000
+#: Marks that are never joined with the letters before them.
+CLOSING = (".", ",")
 
 
 class WordEncoder:
@@ -62,17 +61,25 @@ class WordEncoder:
         self.cache: dict[str, bytes] = BoundedCache(cache_entries)
 
     def encode(self, text: str) -> np.ndarray:
-        parts = CHUNK.findall(text)
+        parts = text.replace("\n", " ").split(" ")
         found = list(map(self.cache.get, parts))
         if None in found:
             kept = dict(zip(parts, found, strict=True))
-            new = [p for p, ids in kept.items() if ids is None]
-            self.cache.make_room(len(new))
-            for part, got in zip(new, self.library.encode_batch_fast(new, add_special_tokens=False), strict=True):
-                kept[part] = self.cache[part] = np.array(got.ids, np.uint32).tobytes()
+            self.learn([p for p, ids in kept.items() if ids is None], kept)
             found = [kept[p] for p in parts]
         return np.frombuffer(b"".join(found), np.uint32)
 
+    def learn(self, new: list[str], kept: dict[str, bytes]) -> None:
+        """Ids of parts not met before, into ``kept`` and the cache; the library encodes what is left of them."""
+        cache = self.cache
+        cache.make_room(2 * len(new))
+        pieces = {p: (p[:-1], p[-1]) if p[-1:] in CLOSING and p[:-1].isalpha() else (p,) for p in new}
+        open_pieces = list(dict.fromkeys(w for words in pieces.values() for w in words if w not in cache))
+        for word, got in zip(open_pieces, self.library.encode_batch_fast(open_pieces, add_special_tokens=False), strict=True):
+            cache[word] = np.array(got.ids, np.uint32).tobytes()
+        for part, words in pieces.items():
+            kept[part] = cache[part] = b"".join([cache[w] for w in words])
+
 
 _ENCODERS: dict[str, WordEncoder] = {}
 
