@@ -29,10 +29,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def tasks_for(df: DataFrame, bytes_per_task: int = 64 << 20) -> int:
-    """Partitions for a shuffle of ``df``: by the size the planner knows, at least the session's own number."""
+    """Partitions for a shuffle of ``df``: by the size of its files, at least the session's own number.
+
+    A frame that is not read from files has no known size; the planner then
+    answers with one beyond any table, and the session's number holds.
+    """
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return max(least, min(-(-size // bytes_per_task), 1_000_000))
+    return least if size >= 1 << 53 else max(least, -(-size // bytes_per_task))
 
 
 def map_rows(

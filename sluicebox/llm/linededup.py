@@ -23,13 +23,14 @@ stay as they are in ``without_repeated_lines`` and are not read elsewhere.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sluicebox.llm.common import map_rows, written
+from sluicebox.llm.common import map_rows, tasks_for, written
 
 DISTANCE = 2
 LEAST_CHARS = 20
@@ -76,6 +77,24 @@ def places(length: int, other: int, distance: int) -> Iterator[tuple[int, int, i
             yield k, at, size
 
 
+@cache
+def cuts(length: int, distance: int, least_chars: int) -> tuple[tuple[bool, int, int, int], ...]:
+    """``filed, seed, from, to`` of all substrings that a line of ``length`` files and looks up.
+
+    Places are in bytes of four per character; the seed of a substring's hash
+    tells apart lengths of lines and segments.
+    """
+    out = [
+        (True, length * (distance + 1) + k, 4 * at, 4 * (at + size))
+        for k, (at, size) in enumerate(segments(length, distance))
+    ]
+    for other in range(max(least_chars, length - distance), length + 1):
+        out += [
+            (False, other * (distance + 1) + k, 4 * at, 4 * (at + size)) for k, at, size in places(length, other, distance)
+        ]
+    return tuple(out)
+
+
 def parity(line: str) -> int:
     """A bit for each of 64 character classes: whether the class occurs an odd number of times."""
     codes = np.frombuffer(line.encode("utf-32-le", "replace"), np.uint32) & 63
@@ -162,11 +181,9 @@ def candidates(docs: DataFrame, distance: int = DISTANCE, least_chars: int = LEA
     def make():
         import xxhash
 
+        digest = xxhash.xxh3_64_intdigest
         seen: set[int] = set()
 
-        def key(size: int, segment: int, part: str) -> int:
-            return _signed(xxhash.xxh3_64_intdigest(f"{size},{segment},{part}".encode("utf-8", "replace")))
-
         def each(row):
             for _, line in _lines(row, least_chars):
                 own = line_ids(line)[0]
@@ -176,17 +193,15 @@ def candidates(docs: DataFrame, distance: int = DISTANCE, least_chars: int = LEA
                 if len(seen) >= 500_000:
                     seen.clear()
                 seen.add(own)
-                n, odd = len(line), parity(line)
-                for k, (at, size) in enumerate(segments(n, distance)):
-                    yield key(n, k, line[at : at + size]), True, own, odd
-                for other in range(max(least_chars, n - distance), n + 1):
-                    for k, at, size in places(n, other, distance):
-                        yield key(other, k, line[at : at + size]), False, own, odd
+                odd, codes = parity(line), line.encode("utf-32-le", "replace")
+                for filed, seed, a, b in cuts(len(line), distance, least_chars):
+                    yield _signed(digest(codes[a:b], seed)), filed, own, odd
 
         return each
 
     rows = map_rows(docs.select("text"), make, "key bigint, filed boolean, id bigint, odd bigint", 8192)
-    rows = written(rows.distinct(), "line-segments")
+    # Dealt by key once: telling repeats apart and both sides of the join need no other exchange.
+    rows = rows.repartition(tasks_for(docs), "key").distinct()
     filed = rows.filter("filed").select("key", F.col("id").alias("f"), F.col("odd").alias("f_odd"))
     probes = rows.filter("not filed").select("key", F.col("id").alias("p"), F.col("odd").alias("p_odd"))
     fits = F.bit_count(F.col("f_odd").bitwiseXOR(F.col("p_odd"))) <= 2 * distance
