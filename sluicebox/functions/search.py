@@ -9,7 +9,7 @@ plan, and the leaf lists in a small table that is joined on the root's answer.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from datetime import datetime
 
 from pyspark.sql import Column, DataFrame
@@ -36,16 +36,16 @@ def count_points_before(
     """Add ``out``: how many of the ``points`` are below the row's key.
 
     ``points`` hold one value per key and are sorted as Spark sorts the keys,
-    with no nulls. With ``inclusive`` a point equal to the key counts too. A
-    row whose key is null counts as smaller than every point, as in Spark's
-    ascending order.
+    nulls first. With ``inclusive`` a point equal to the key counts too. A null
+    is smaller than every value and equal to another null, in points and rows.
     """
     root_limit = ROOT_POINTS if root_points is None else root_points
     if len(points) > MAX_POINTS:
         raise ValueError(f"{len(points)} cut points; at most {MAX_POINTS} can be searched")
     types = [df.schema[k].dataType for k in keys]
+    below = _below_or_null if any(None in p for p in points) else _below
     if len(points) <= root_limit:
-        found = _search(keys, _literals(points, types), len(points), inclusive)
+        found = _search(keys, _literals(points, types), len(points), inclusive, below)
         return df.withColumn(out, found)
     stride = -(-len(points) // root_limit)
     root = points[stride - 1 :: stride]
@@ -61,8 +61,8 @@ def count_points_before(
     )
     # At most MAX_POINTS values per key: a few megabytes at the worst.
     table = F.broadcast(df.sparkSession.createDataFrame(leaves, schema))
-    at_root = df.withColumn(group, _search(keys, _literals(root, types), len(root), inclusive))
-    in_leaf = _search(keys, [F.col(c) for c in leaf_columns], stride, inclusive, in_columns=True)
+    at_root = df.withColumn(group, _search(keys, _literals(root, types), len(root), inclusive, below))
+    in_leaf = _search(keys, [F.col(c) for c in leaf_columns], stride, inclusive, below, in_columns=True)
     joined = at_root.join(table, group)
     return joined.withColumn(out, F.col(group) * F.lit(stride) + in_leaf).drop(group, *leaf_columns)
 
@@ -73,14 +73,19 @@ def _literals(points: Sequence[tuple], types: Sequence[T.DataType]) -> list[Colu
 
 def _literal_array(values: list, dtype: T.DataType) -> Column:
     """An array that Spark folds to one literal; as text it is a single call, however long."""
-    if isinstance(dtype, _PLAIN):
+    if isinstance(dtype, _PLAIN) and None not in values:
         texts = [v.isoformat(sep=" ") if isinstance(v, datetime) else str(v) for v in values]
         return F.split(F.lit(",".join(texts)), ",").cast(T.ArrayType(dtype))
     return F.array(*[F.lit(v) for v in values]).cast(T.ArrayType(dtype))
 
 
 def _search(
-    keys: Sequence[str], arrays: Sequence[Column], size: int, inclusive: bool, in_columns: bool = False
+    keys: Sequence[str],
+    arrays: Sequence[Column],
+    size: int,
+    inclusive: bool,
+    compare: Callable[[list[Column], list[Column], bool], Column],
+    in_columns: bool = False,
 ) -> Column:
     """The fold. ``in_columns`` tells that the arrays are columns and not literals.
 
@@ -100,7 +105,10 @@ def _search(
         key = [row if len(carried) == 1 else row[f"k{i}"] for i in range(len(keys))]
 
         def advance(found: Column, step: Column) -> Column:
-            below = _below([F.get(a, found + step - 1) for a in lists], key, inclusive)
+            below = compare([F.get(a, found + step - 1) for a in lists], key, inclusive)
+            if compare is _below_or_null:
+                # A null may be a point here, so it cannot tell of a place behind the end.
+                below = (found + step <= F.size(lists[0])) & below
             return F.when(below, found + step).otherwise(found)
 
         return F.aggregate(steps, F.lit(0), advance)
@@ -116,3 +124,12 @@ def _below(point: list[Column], key: list[Column], inclusive: bool) -> Column:
     for p, k in zip(reversed(point[:-1]), reversed(key[:-1])):
         result = (p < k) | ((p == k) & result)
     return result
+
+
+def _below_or_null(point: list[Column], key: list[Column], inclusive: bool) -> Column:
+    """The same where points may hold nulls, which come first and equal each other."""
+    result = F.lit(inclusive)
+    for p, k in zip(reversed(point), reversed(key)):
+        smaller = F.coalesce(p < k, p.isNull() & k.isNotNull())
+        result = smaller | (p.eqNullSafe(k) & result)
+    return result

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -55,7 +55,8 @@ def dataset_entry(ds: Dataset) -> DataFrame:
     place = ("bucket", "measurement") if ds.kind == SERIES else ("database", "collection")
     database, table = F.lit(ds.database), F.lit(ds.table)
     first, last = (F.min(ds.time), F.max(ds.time)) if ds.time else (F.lit(None), F.lit(None))
-    profile = ds.df.agg(
+    # The rows every other profile looks at: a record of a series has a time.
+    profile = ds.selected().agg(
         F.count("*").alias("record_count"),
         first.cast("timestamp_ntz").alias("first_ts"),
         last.cast("timestamp_ntz").alias("last_ts"),
@@ -75,6 +76,23 @@ def dataset_entry(ds: Dataset) -> DataFrame:
     )
 
 
+def dataset_listing(files: DataFrame, database: str, kinds: Mapping[str, str]) -> DataFrame:
+    """Names only: one row per table of ``list_files``, without a look into any file.
+
+    ``kinds`` tells which tables are series; the others are collections.
+    """
+    series = F.col("table_name").isin([name for name, kind in kinds.items() if kind == SERIES])
+    kind = F.when(series, F.lit(SERIES)).otherwise(F.lit("collection"))
+    database = F.lit(database)
+    return files.select(
+        database.alias("database_name"),
+        "table_name",
+        dataset_label(database, F.col("table_name")).alias("dataset_name"),
+        dataset_description(kind, database, F.col("table_name")).alias("dataset_description"),
+        F.when(series, TYPE_NAMES[SERIES]).otherwise(TYPE_NAMES["collection"]).alias("dataset_type"),
+    )
+
+
 def dataset_catalog(
     datasets: Sequence[Dataset], skip: Sequence[str] = SYSTEM_DATABASES
 ) -> DataFrame:

@@ -108,11 +108,13 @@ class KeyIndex:
         condition = F.lit(False)
         for low, high in runs:
             part = F.lit(True)
-            if low > 0:
-                part = part & (first >= exact_literal(self.points[low - 1][0]).cast(dtype))
+            lower = self.points[low - 1][0] if low > 0 else None
+            if lower is not None:
+                part = part & (first >= exact_literal(lower).cast(dtype))
             if high < len(self.points):
-                part = part & (first <= exact_literal(self.points[high][0]).cast(dtype))
-            if low == 0:
+                upper = self.points[high][0]
+                part = part & (F.lit(False) if upper is None else first <= exact_literal(upper).cast(dtype))
+            if lower is None:
                 part = part | first.isNull()
             condition = condition | part
         return condition
@@ -161,6 +163,11 @@ def build_index(
     return KeyIndex(keys, points, tuple(counted.get(b, 0) for b in range(len(points) + 1)))
 
 
+def nulls_first(values: Sequence) -> tuple:
+    """A sort key for rows of values, in Spark's ascending order."""
+    return tuple((v is not None, v) for v in values)
+
+
 def _bucket_count(rows: int) -> int:
     by_size = -(-rows // ROWS_PER_BUCKET)
     small = min(BASE_BUCKETS, rows // MIN_ROWS_PER_BUCKET)
@@ -173,7 +180,7 @@ def _cut_points(
     """Cut points of about equal distance, on as few of the first keys as will do.
 
     A value that is a cut point twice is too frequent to be one bucket, so the
-    next key is taken in to divide it.
+    next key is taken in to divide it. Null is a value like any other here.
     """
     if buckets <= 1 or rows == 0:
         return ()
@@ -181,9 +188,9 @@ def _cut_points(
     picked: list[tuple] = []
     for width in range(1, len(keys) + 1):
         used = list(keys[:width])
-        sampled = df.select(*used).dropna().sample(fraction, seed=SAMPLE_SEED)
+        sampled = df.select(*used).sample(fraction, seed=SAMPLE_SEED)
         # At most MAX_BUCKETS * OVERSAMPLE keys, whose order in Python is that of Spark.
-        sample = sorted(tuple(r) for r in sampled.collect())
+        sample = sorted((tuple(r) for r in sampled.collect()), key=nulls_first)
         if not sample:
             return ()
         picked = [sample[i * len(sample) // buckets] for i in range(1, buckets)]

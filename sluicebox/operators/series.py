@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from sluicebox.functions.numbers import int_div
 from sluicebox.functions.times import in_utc
-from sluicebox.operators.keyindex import BUCKET, KeyIndex, build_index
+from sluicebox.operators.keyindex import BUCKET, KeyIndex, build_index, nulls_first
 
 
 def with_series_ordinal(
@@ -54,10 +54,10 @@ def _carried(df: DataFrame, series: list[str], index: KeyIndex) -> DataFrame:
     next. There are no more of these than cut points, and all their buckets
     together are at most twice as many.
     """
-    cut_series = sorted({point[: len(series)] for point in index.points})
+    cut_series = sorted({point[: len(series)] for point in index.points}, key=nulls_first)
     schema = ", ".join(f"_s{i} {df.schema[s].dataType.simpleString()}" for i, s in enumerate(series))
     cut = F.broadcast(df.sparkSession.createDataFrame(cut_series, schema))
-    same = [F.col(s) == F.col(f"_s{i}") for i, s in enumerate(series)]
+    same = [F.col(s).eqNullSafe(F.col(f"_s{i}")) for i, s in enumerate(series)]
     spread = index.with_bucket(df.select(*index.cut_keys).join(cut, same))
     names = [f"_s{i}" for i in range(len(series))]
     counts = spread.groupBy(BUCKET, *names).agg(F.count("*").alias("n"))

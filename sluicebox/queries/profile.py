@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from sluicebox.functions import numbers, times
 from sluicebox.operators import catalog, filters, profile
 from sluicebox.queries.registry import (
+    DATABASE,
     all_tables,
     conversations,
     documents,
@@ -16,7 +17,7 @@ from sluicebox.queries.registry import (
     orders,
     query,
 )
-from sluicebox.sources.dataset import measurement_rows
+from sluicebox.sources.dataset import SERIES, measurement_rows
 
 MS = "%Y-%m-%dT%H:%M:%S.%gZ"
 NANO = r"regexp_replace(strftime({0}, '%Y-%m-%dT%H:%M:%S.%fZ'), '\.?0+Z$', 'Z')"
@@ -50,9 +51,9 @@ def time_range_in_window(spark: SparkSession, sf: str) -> DataFrame:
     return profile.time_range(orders(spark, sf), window=("1996-02-01T00:00:00Z", "1999-07-01T00:00:00Z"))
 
 
-@query("select '' as start_str, '' as end_str from (select count(*) from documents)")
+@query("select count(*) as record_count, '' as start_str, '' as end_str from documents")
 def time_range_without_time(spark: SparkSession, sf: str) -> DataFrame:
-    return profile.time_range(documents(spark, sf))
+    return catalog.dataset_entry(documents(spark, sf)).select("record_count", "start_str", "end_str")
 
 
 @query(
@@ -258,6 +259,17 @@ def dataset_catalog(spark: SparkSession, sf: str) -> DataFrame:
     return _params_as_text(catalog.dataset_catalog(all_tables(spark, sf)))
 
 
+def _listing_sql() -> str:
+    columns = "database_name, table_name, dataset_name, dataset_description, dataset_type"
+    return f"select {columns} from ({_catalog_sql({})})"
+
+
+@query(_listing_sql())
+def dataset_listing(spark: SparkSession, sf: str) -> DataFrame:
+    files = catalog.list_files(spark, sf)
+    return catalog.dataset_listing(files, DATABASE, {"events": SERIES, "lineitem": SERIES})
+
+
 @query(_catalog_sql(PLACES))
 def catalog_exclusion(spark: SparkSession, sf: str) -> DataFrame:
     listed = catalog.dataset_catalog(all_tables(spark, sf, PLACES), skip=())

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sluicebox.operators import batch, split
-from sluicebox.operators.keyindex import with_ordinal
+from sluicebox.operators.keyindex import build_index, with_ordinal
 from sluicebox.operators.offsets import messages_per_job, messages_per_partition
 from sluicebox.operators.series import series_boundaries, with_series_ordinal
 from sluicebox.queries.registry import (
@@ -68,6 +68,28 @@ def per_series_ordinal(spark: SparkSession, sf: str) -> DataFrame:
     return with_series_ordinal(narrow, ds.series_keys, ds.order)
 
 
+@query(
+    """
+    select event_id, tag, row_number() over (partition by tag order by ts, event_id) as rn
+    from (select *, case when event_type = 'purchase' then event_type end as tag from events)
+    """
+)
+def per_series_ordinal_null_tag(spark: SparkSession, sf: str) -> DataFrame:
+    """Most records have no tag; together they are one series, spread over many buckets."""
+    ds = events(spark, sf)
+    tag = F.when(F.col("event_type") == "purchase", F.col("event_type")).alias("tag")
+    return with_series_ordinal(ds.df.select(tag, "event_id", "ts"), ["tag"], ds.order).select("event_id", "tag", "rn")
+
+
+@query("select event_id, row_number() over (order by ts, event_id) as rn from events")
+def row_ordinal_fine(spark: SparkSession, sf: str) -> DataFrame:
+    """More cut points than the root list holds, so both levels of the search are used."""
+    ds = events(spark, sf)
+    narrow = ds.df.select("event_id", "ts")
+    index = build_index(narrow, ds.order, buckets=600)
+    return with_ordinal(narrow, ds.order, index=index).select("event_id", "rn")
+
+
 @query(
     f"""
     select event_type, rn // {BOUNDARY} - 1 as job_id,

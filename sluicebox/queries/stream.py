@@ -65,6 +65,21 @@ def stream_collect_bounded(spark: SparkSession, sf: str) -> DataFrame:
     return _collected(stream, log.root)
 
 
+@query(
+    f"""
+    with {EVENT_PLACES}
+    select part as "partition", pos as "offset", {json_sql(EVENT_MEMBERS)} as value from places
+    """
+)
+def stream_before_first_export(spark: SparkSession, sf: str) -> DataFrame:
+    """The reader runs before anything was ever written, and gets all of the export afterwards."""
+    log = new_log(spark, "stream-first")
+    stream = log.read_stream(spark, TOPIC)
+    _collected(stream, log.root)
+    export(events(spark, sf), log, TOPIC, jobs=JOBS)
+    return _collected(stream, log.root)
+
+
 def _collected(stream: DataFrame, root: str) -> DataFrame:
     messages = stream.select("partition", "offset", F.col("value").cast("string").alias("value"))
     return readers.drain_to_table(messages, f"{root}-collected", f"{root}-checkpoint")

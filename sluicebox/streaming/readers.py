@@ -64,7 +64,14 @@ def drain_to_table(stream: DataFrame, path: str, checkpoint: str) -> DataFrame:
         .start()
     )
     query.awaitTermination()
-    return stream.sparkSession.read.schema(stream.schema).parquet(path)
+    spark = stream.sparkSession
+    try:
+        return spark.read.schema(stream.schema).parquet(path)
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        # Nothing has arrived yet, so nothing was written.
+        return spark.createDataFrame([], stream.schema)
 
 
 def drain_counts(counts: DataFrame, path: str, checkpoint: str) -> DataFrame:

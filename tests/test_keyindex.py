@@ -174,3 +174,39 @@ def test_filter_on_a_searched_column_keeps_the_plan_small(spark):
     index = build_index(df, ["k"], buckets=200)
     placed = index.with_bucket(df).filter(F.col(keyindex.BUCKET) < 50)
     assert len(plan_text(placed)) < 60_000
+
+
+@pytest.mark.parametrize("root", [255, 3])
+def test_search_among_points_with_nulls(spark, root):
+    rng = random.Random(3)
+    rows = [(rng.choice([None, None, None, 0, 4]), rng.choice([None, *range(6)])) for _ in range(200)]
+    order = lambda r: keyindex.nulls_first(r)
+    points = sorted(set(rows[:60]), key=order)[::2]
+    df = spark.createDataFrame(rows, "a int, b int")
+    for inclusive, find in ((True, bisect_right), (False, bisect_left)):
+        got = count_points_before(df, ["a", "b"], points, "at", inclusive=inclusive, root_points=root)
+        assert all(r["at"] == find(points, order((r["a"], r["b"])), key=order) for r in got.collect())
+
+
+def test_null_tags_are_spread_like_any_value(spark):
+    tag = F.when(F.col("id") % 5 == 0, F.concat(F.lit("t"), F.col("id") % 3)).alias("tag")
+    df = spark.range(4000).select(tag, F.col("id").alias("o")).repartition(4)
+    index = build_index(df, ["tag", "o"], buckets=20)
+    assert max(index.counts) <= 2 * 4000 / 20 and sum(index.counts) == 4000
+    got = with_series_ordinal(df, ["tag"], ["o"], index=index).collect()
+    expected = {}
+    seen = {}
+    for row in sorted(((r["tag"], r["o"]) for r in got), key=keyindex.nulls_first):
+        seen[row[0]] = seen.get(row[0], 0) + 1
+        expected[row] = seen[row[0]]
+    assert {(r["tag"], r["o"]): r["rn"] for r in got} == expected and len(got) == 4000
+
+
+def test_slices_of_a_frame_whose_key_is_mostly_null(spark):
+    tag = F.when(F.col("id") % 5 == 0, F.col("id") % 3).alias("tag")
+    df = spark.range(1000).select(tag, F.col("id").alias("o"))
+    whole = sorted(((r["tag"], r["o"]) for r in df.collect()), key=keyindex.nulls_first)
+    index = build_index(df, ["tag", "o"], buckets=15)
+    for start, stop in ((0, 1000), (0, 3), (100, 700), (799, 801), (790, 1000)):
+        got = ordinal_slice(df, ["tag", "o"], start, stop, index=index).collect()
+        assert sorted(map(tuple, got), key=keyindex.nulls_first) == whole[start:stop]

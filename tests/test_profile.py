@@ -124,3 +124,9 @@ def test_list_files_of_the_test_tables(spark, sf):
 def test_list_tables(spark):
     spark.range(1).createOrReplaceTempView("only_a_view")
     assert "only_a_view" not in {r["table_name"] for r in list_tables(spark).collect()}
+
+
+def test_catalog_counts_the_rows_of_the_detail(spark):
+    df = spark.createDataFrame([(1, at(1)), (2, at(2)), (3, None)], "id bigint, ts timestamp_ntz")
+    ds = series_of(df)
+    assert dataset_catalog([ds]).first()["record_count"] == ds.selected().count() == 2

@@ -69,3 +69,11 @@ def test_watching_counts(spark, log):
         assert sum(r["messages"] for r in spark.table("seen").collect()) == 90
     finally:
         query.stop()
+
+
+def test_a_reader_may_be_there_before_the_first_message(spark):
+    log = MessageLog(scratch_dir(spark, "stream"), 3)
+    stream = log.read_stream(spark, "t")
+    assert readers.drain_to_table(stream, f"{log.root}-o", f"{log.root}-c").count() == 0
+    export(series_of(timed(spark, range(25))), log, "t", jobs=6)
+    assert readers.drain_to_table(stream, f"{log.root}-o", f"{log.root}-c").count() == 25
