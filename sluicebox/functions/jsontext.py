@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
@@ -24,18 +25,106 @@ ESCAPES = {
 def json_text(df: DataFrame, fields: Mapping[str, Column] | None = None) -> Column:
     """One JSON object per row: keys sorted at every level, nulls kept, times as text.
 
-    ``fields`` name the members, by default all columns of the frame.
+    ``fields`` name the members, by default all columns of the frame. Fractional
+    numbers are written as in :func:`number_text`; a ``VARIANT`` keeps its own.
     """
     fields = fields or {c: F.col(_quoted(c)) for c in df.columns}
     types = {f.name: f.dataType for f in df.select(*[v.alias(n) for n, v in fields.items()]).schema}
-    members = [_plain(fields[n], types[n]).alias(n) for n in sorted(fields)]
-    text = F.to_json(F.struct(*members), {"ignoreNullFields": "false"})
+    text = _object([(n, fields[n], types[n]) for n in sorted(fields)])
     escaped = text
     for char, escape in ESCAPES.items():
         escaped = F.replace(escaped, F.lit(char), F.lit(escape))
     return F.when(_has_special(fields, types, text), escaped).otherwise(text)
 
 
+def number_text(value: Column) -> Column:
+    """A fractional number as JSON text: ``1``, ``10000000``, ``0.00001``, ``1e+21``, ``1.5e-7``.
+
+    Digits stand in full from 1e-6 up to below 1e21, without a point if whole;
+    beyond, there is an exponent with its sign. Numbers that are not finite have
+    no form in JSON and are quoted.
+    """
+    text = value.cast("string")
+    size = F.abs(value)
+    # Spark writes an exponent outside 1e-3 to 1e7; the decimal types hold every digit of the numbers in between.
+    large = F.regexp_replace(text.try_cast("decimal(38,16)").cast("string"), r"\.?0+$", "")
+    small = F.regexp_replace(text.try_cast("decimal(38,30)").cast("string"), "0+$", "")
+    power = F.regexp_replace(F.regexp_replace(text, r"\.0E|E", "e"), "e([0-9])", "e+$1")
+    return (
+        F.when(F.isnan(value) | (size == float("inf")), F.concat(F.lit('"'), text, F.lit('"')))
+        .when(text.endswith(".0"), F.regexp_replace(text, r"\.0$", ""))
+        .when(~text.contains("E"), text)
+        .when((size >= 1e7) & (size < 1e21), large)
+        .when((size < 1e-3) & (size >= 1e-6), small)
+        .otherwise(power)
+    )
+
+
+def _object(members: Sequence[tuple[str, Column, T.DataType]]) -> Column:
+    """Text of a JSON object; runs of members without fractional numbers are left to ``to_json``."""
+    if not any(_has_fraction(dtype) for _, _, dtype in members):
+        return _written([_plain(v, dtype).alias(n) for n, v, dtype in members])
+    parts, run = [], []
+    for name, value, dtype in [*members, (None, None, None)]:
+        if run and (dtype is None or _has_fraction(dtype)):
+            parts.append(_between_braces(_written(run)))
+            run = []
+        if dtype is None:
+            break
+        if _has_fraction(dtype):
+            label = F.lit(json.dumps(name, ensure_ascii=False) + ":")
+            parts.append(F.concat(label, _or_null(_value_text(value, dtype))))
+        else:
+            run.append(_plain(value, dtype).alias(name))
+    return F.concat(F.lit("{"), F.concat_ws(",", *parts), F.lit("}"))
+
+
+def _value_text(value: Column, dtype: T.DataType) -> Column:
+    """JSON text of a value, null for null; what holds no fractional number is left to ``to_json``."""
+    if isinstance(dtype, (T.DoubleType, T.FloatType)):
+        return number_text(value)
+    if not _has_fraction(dtype):
+        text = _written([_plain(value, dtype).alias("v")])
+        return F.when(value.isNotNull(), F.substr(text, F.lit(6), F.length(text) - 6))
+    if isinstance(dtype, T.StructType):
+        fields = sorted(dtype.fields, key=lambda f: f.name)
+        return F.when(value.isNotNull(), _object([(f.name, value.getField(f.name), f.dataType) for f in fields]))
+    if isinstance(dtype, T.ArrayType):
+        texts = F.transform(value, lambda x: _or_null(_value_text(x, dtype.elementType)))
+        return F.concat(F.lit("["), F.array_join(texts, ","), F.lit("]"))
+    entries = F.transform(
+        F.array_sort(F.map_entries(value), _by_key),
+        lambda e: F.concat(
+            _value_text(e["key"].cast("string"), T.StringType()),
+            F.lit(":"),
+            _or_null(_value_text(e["value"], dtype.valueType)),
+        ),
+    )
+    return F.concat(F.lit("{"), F.array_join(entries, ","), F.lit("}"))
+
+
+def _written(members: Sequence[Column]) -> Column:
+    return F.to_json(F.struct(*members), {"ignoreNullFields": "false"})
+
+
+def _between_braces(text: Column) -> Column:
+    return F.substr(text, F.lit(2), F.length(text) - 2)
+
+
+def _or_null(text: Column) -> Column:
+    return F.coalesce(text, F.lit("null"))
+
+
+def _has_fraction(dtype: T.DataType) -> bool:
+    if isinstance(dtype, T.StructType):
+        return any(_has_fraction(f.dataType) for f in dtype.fields)
+    if isinstance(dtype, T.ArrayType):
+        return _has_fraction(dtype.elementType)
+    if isinstance(dtype, T.MapType):
+        return _has_fraction(dtype.valueType)
+    return isinstance(dtype, (T.DoubleType, T.FloatType))
+
+
 def _has_special(
     fields: Mapping[str, Column], types: Mapping[str, T.DataType], text: Column
 ) -> Column:
@@ -99,7 +188,7 @@ def _plain(value: Column, dtype: T.DataType) -> Column:
         rebuilt = F.struct(*[_plain(value.getField(f.name), f.dataType).alias(f.name) for f in fields])
         return F.when(value.isNotNull(), rebuilt)
     if isinstance(dtype, T.MapType):
-        entries = F.array_sort(F.map_entries(value), lambda a, b: _by_key(a, b))
+        entries = F.array_sort(F.map_entries(value), _by_key)
         if _needs_work(dtype.valueType):
             entries = F.transform(
                 entries,

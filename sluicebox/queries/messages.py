@@ -23,6 +23,9 @@ def json_sql(members: dict[str, str]) -> str:
     return text
 
 
+# A whole number has no point in a message.
+NUMBER = "case when {0} = trunc({0}) and abs({0}) < 1e15 then to_json(cast({0} as bigint)) else to_json({0}) end"
+
 EVENT_MEMBERS = {
     "_measurement": "'events'",
     "_time": NANO.format("ts"),
@@ -30,7 +33,7 @@ EVENT_MEMBERS = {
     "event_type": "event_type",
     "props": "props",
     "user_id": "user_id",
-    "value": "value",
+    "value": NUMBER.format("value"),
 }
 ORDER_MEMBERS = {
     "_collection": "'orders'",
@@ -40,7 +43,7 @@ ORDER_MEMBERS = {
     "o_orderdate": NANO.format("o_orderdate"),
     "o_orderpriority": "o_orderpriority",
     "o_orderstatus": "o_orderstatus",
-    "o_totalprice": "o_totalprice",
+    "o_totalprice": NUMBER.format("o_totalprice"),
 }
 DOCUMENT_MEMBERS = {
     "_collection": "'documents'",
@@ -128,7 +131,7 @@ _LONG_MEMBERS = {
     "_field": '"_field"',
     "_measurement": '"_measurement"',
     "_time": NANO.format('"_time"'),
-    "_value": '"_value"',
+    "_value": NUMBER.format('"_value"'),
     "l_returnflag": "l_returnflag",
 }
 

@@ -10,7 +10,7 @@ from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from sluicebox.functions import numbers, times
-from sluicebox.functions.jsontext import json_text, split_rejects
+from sluicebox.functions.jsontext import json_text, number_text, split_rejects
 from sluicebox.operators.split import align_jobs
 
 ALIGNED = [
@@ -185,3 +185,28 @@ def test_rejects_in_structs_and_maps(spark):
     good, bad = split_rejects(df)
     assert sorted(r["id"] for r in good.collect()) == [1, 4]
     assert sorted(r["id"] for r in bad.collect()) == [2, 3]
+
+
+def test_number_text(spark):
+    forms = {
+        0.0: "0", 1.0: "1", -2.0: "-2", 0.5: "0.5", 123456.789: "123456.789", 1e7: "10000000", 12345678.25: "12345678.25",
+        -1e7: "-10000000", 1e20: "100000000000000000000", 123456789012345680000.0: "123456789012345680000", 1e21: "1e+21",
+        1.5e22: "1.5e+22", -1e300: "-1e+300", 0.001: "0.001", 0.0001: "0.0001", 0.00012345: "0.00012345", 1e-6: "0.000001",
+        -2.5e-5: "-0.000025", 1e-7: "1e-7", 1.5e-7: "1.5e-7", 3e-100: "3e-100",
+    }
+    df = spark.createDataFrame([(x,) for x in forms], "x double")
+    got = {r["x"]: r["t"] for r in df.select("x", number_text(F.col("x")).alias("t")).collect()}
+    assert got == forms
+    small = spark.createDataFrame([(0.1,), (16777216.0,)], "x float").select(number_text(F.col("x")).alias("t"))
+    assert [r["t"] for r in small.collect()] == ["0.1", "16777216"]
+
+
+def test_numbers_inside_structures(spark):
+    schema = "z string, d double, l array<double>, s struct<b:double,a:string>, m map<string,double>, e array<struct<q:float>>, a int"
+    rows = [("<", 1.0, [1e7, None, 0.5], (2.0, 'x"y'), {"k": 3.0, "b\n": None}, [(4.0,)], 1), (None,) * 7, ("", None, [], (None, None), {}, [], None)]
+    df = spark.createDataFrame(rows, schema)
+    assert [r["v"] for r in df.select(json_text(df).alias("v")).collect()] == [
+        '{"a":1,"d":1,"e":[{"q":4}],"l":[10000000,null,0.5],"m":{"b\\n":null,"k":3},"s":{"a":"x\\"y","b":2},"z":"\\u003c"}',
+        '{"a":null,"d":null,"e":null,"l":null,"m":null,"s":null,"z":null}',
+        '{"a":null,"d":null,"e":[],"l":[],"m":{},"s":{"a":null,"b":null},"z":""}',
+    ]
