@@ -36,6 +36,8 @@ DISTANCE = 2
 LEAST_CHARS = 20
 #: Candidate ids are broadcast up to this many (16 bytes each), joined by a shuffle beyond.
 BROADCAST_IDS = 1_000_000
+#: Rows of a batch that goes on to the next step.
+BATCH_ROWS = 8192
 
 
 def line_ids(line: str) -> tuple[int, int]:
@@ -95,6 +97,12 @@ def cuts(length: int, distance: int, least_chars: int) -> tuple[tuple[bool, int,
     return tuple(out)
 
 
+@cache
+def are_filed(length: int, distance: int, least_chars: int) -> np.ndarray:
+    """Which of the ``cuts`` are filed."""
+    return np.array([filed for filed, *_ in cuts(length, distance, least_chars)])
+
+
 def parity(line: str) -> int:
     """A bit for each of 64 character classes: whether the class occurs an odd number of times."""
     codes = np.frombuffer(line.encode("utf-32-le", "replace"), np.uint32) & 63
@@ -159,14 +167,49 @@ def _lines(row: dict, least_chars: int) -> Iterator[tuple[int, str]]:
 def occurrences(docs: DataFrame, least_chars: int = LEAST_CHARS) -> DataFrame:
     """``doc_id, text_hash, line_no, h1, h2`` of every line that is long enough; no text is carried."""
 
-    def make():
-        def each(row):
+    def run(batches):
+        from xxhash import xxh3_128_digest
+
+        doc_ids: list[int | None] = []
+        hashes: list[int] = []
+        numbers: list[int] = []
+        digests: list[bytes] = []
+
+        def out() -> pa.RecordBatch:
+            # A digest is big-endian, its high half first, as in line_ids.
+            halves = np.frombuffer(b"".join(digests), ">i8").astype(np.int64).reshape(-1, 2)
+            made = pa.RecordBatch.from_arrays(
+                [
+                    pa.array(doc_ids, pa.int64()),
+                    pa.array(hashes, pa.int64()),
+                    pa.array(numbers, pa.int32()),
+                    pa.array(halves[:, 0].copy()),
+                    pa.array(halves[:, 1].copy()),
+                ],
+                names=["doc_id", "text_hash", "line_no", "h1", "h2"],
+            )
+            doc_ids.clear(), hashes.clear(), numbers.clear(), digests.clear()
+            return made
+
+        for row in _rows(batches):
+            before = len(numbers)
             for number, line in _lines(row, least_chars):
-                yield (row["doc_id"], row["text_hash"], number, *line_ids(line))
+                numbers.append(number)
+                digests.append(xxh3_128_digest(line.encode("utf-8", "replace")))
+            doc_ids += [row["doc_id"]] * (len(numbers) - before)
+            hashes += [row["text_hash"]] * (len(numbers) - before)
+            if len(numbers) >= BATCH_ROWS:
+                yield out()
+        if numbers:
+            yield out()
+
+    return _keyed(docs).mapInArrow(run, "doc_id bigint, text_hash bigint, line_no int, h1 bigint, h2 bigint")
 
-        return each
 
-    return map_rows(_keyed(docs), make, "doc_id bigint, text_hash bigint, line_no int, h1 bigint, h2 bigint", 8192)
+def _rows(batches) -> Iterator[dict]:
+    for batch in batches:
+        for at in range(0, batch.num_rows, 256):
+            yield from batch.slice(at, 256).to_pylist()
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -178,13 +221,29 @@ def candidates(docs: DataFrame, distance: int = DISTANCE, least_chars: int = LEA
     if least_chars <= distance:
         raise ValueError("a line must be longer than the distance")
 
-    def make():
-        import xxhash
+    def run(batches):
+        from xxhash import xxh3_64_intdigest as digest
 
-        digest = xxhash.xxh3_64_intdigest
         seen: set[int] = set()
-
-        def each(row):
+        keys: list[int] = []
+        lines: list[tuple[int, int, np.ndarray]] = []
+
+        def out() -> pa.RecordBatch:
+            ids, odds, filed = zip(*lines, strict=True)
+            n = [len(f) for f in filed]
+            made = pa.RecordBatch.from_arrays(
+                [
+                    pa.array(np.array(keys, np.uint64).view(np.int64)),
+                    pa.array(np.concatenate(filed)),
+                    pa.array(np.repeat(np.array(ids, np.int64), n)),
+                    pa.array(np.repeat(np.array(odds, np.int64), n)),
+                ],
+                names=["key", "filed", "id", "odd"],
+            )
+            keys.clear(), lines.clear()
+            return made
+
+        for row in _rows(batches):
             for _, line in _lines(row, least_chars):
                 own = line_ids(line)[0]
                 if own in seen:
@@ -193,13 +252,15 @@ def candidates(docs: DataFrame, distance: int = DISTANCE, least_chars: int = LEA
                 if len(seen) >= 500_000:
                     seen.clear()
                 seen.add(own)
-                odd, codes = parity(line), line.encode("utf-32-le", "replace")
-                for filed, seed, a, b in cuts(len(line), distance, least_chars):
-                    yield _signed(digest(codes[a:b], seed)), filed, own, odd
-
-        return each
-
-    rows = map_rows(docs.select("text"), make, "key bigint, filed boolean, id bigint, odd bigint", 8192)
+                codes = line.encode("utf-32-le", "replace")
+                keys += [digest(codes[a:b], seed) for _, seed, a, b in cuts(len(line), distance, least_chars)]
+                lines.append((own, parity(line), are_filed(len(line), distance, least_chars)))
+                if len(keys) >= BATCH_ROWS:
+                    yield out()
+        if lines:
+            yield out()
+
+    rows = docs.select("text").mapInArrow(run, "key bigint, filed boolean, id bigint, odd bigint")
     # Dealt by key once: telling repeats apart and both sides of the join need no other exchange.
     rows = rows.repartition(tasks_for(docs), "key").distinct()
     filed = rows.filter("filed").select("key", F.col("id").alias("f"), F.col("odd").alias("f_odd"))
