@@ -27,7 +27,7 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sluicebox.llm.common import map_rows, tasks_for, written
@@ -36,6 +36,8 @@ DISTANCE = 2
 LEAST_CHARS = 20
 #: Candidate ids are broadcast up to this many (16 bytes each), joined by a shuffle beyond.
 BROADCAST_IDS = 1_000_000
+#: Lines of one side that a task compares at most with as many of the other, for one segment.
+CELL_LINES = 2048
 #: Rows of a batch that goes on to the next step.
 BATCH_ROWS = 8192
 
@@ -261,13 +263,50 @@ def candidates(docs: DataFrame, distance: int = DISTANCE, least_chars: int = LEA
             yield out()
 
     rows = docs.select("text").mapInArrow(run, "key bigint, filed boolean, id bigint, odd bigint")
-    # Dealt by key once: telling repeats apart and both sides of the join need no other exchange.
-    rows = rows.repartition(tasks_for(docs), "key").distinct()
+    return _sharing(rows.filter("key IS NOT NULL AND id IS NOT NULL"), distance, tasks_for(docs))
+
+
+def _sharing(rows: DataFrame, distance: int, tasks: int, cell: int = CELL_LINES) -> DataFrame:
+    """``a, b`` of the lines that meet in a key of ``rows`` (``key, filed, id, odd``) and fit in parity.
+
+    A key with more than ``cell`` times ``cell`` pairs is cut into a grid: each
+    side is dealt into parts of about ``cell`` lines, each part of one meets each
+    of the other in a place of its own, and places are spread over all tasks.
+    """
+    # Dealt by key once: whether a line is filed or looks up comes out of an aggregate, so no
+    # filter goes below the exchange and all that follows reads the same one.
+    rows = (
+        rows.repartition(tasks, "key")
+        .groupBy("key", "id")
+        .agg(F.max("filed").alias("filed"), F.min("filed").alias("only_filed"), F.max("odd").alias("odd"))
+    )
     filed = rows.filter("filed").select("key", F.col("id").alias("f"), F.col("odd").alias("f_odd"))
-    probes = rows.filter("not filed").select("key", F.col("id").alias("p"), F.col("odd").alias("p_odd"))
+    probes = rows.filter("not only_filed").select("key", F.col("id").alias("p"), F.col("odd").alias("p_odd"))
+    counts = rows.groupBy("key").agg(
+        F.count(F.when(F.col("filed"), 1)).alias("n_filed"),
+        F.count(F.when(~F.col("only_filed"), 1)).alias("n_probes"),
+        # Only keeps the column, and with it the exchange, as the others have it.
+        F.max("odd").alias("odd"),
+    )
+    parts = [F.ceil(F.col(n) / cell).cast("int").alias(s) for n, s in (("n_filed", "rows"), ("n_probes", "columns"))]
+    # A key is in it for thousands of rows at least, so it is small enough to broadcast.
+    hot = F.broadcast(
+        counts.filter((F.col("n_filed") * F.col("n_probes") > cell * cell) & F.col("odd").isNotNull()).select("key", *parts)
+    )
+
+    def place(side: str, own: str, other: str) -> list[Column]:
+        part = F.pmod(F.xxhash64(side), F.col(own)).cast("int").alias(f"own_{own}")
+        return [part, F.explode(F.sequence(F.lit(0), F.col(other) - 1)).alias(f"own_{other}")]
+
+    hot_filed = filed.join(hot, "key").select("key", "f", "f_odd", *place("f", "rows", "columns"))
+    hot_probes = probes.join(hot, "key").select("key", "p", "p_odd", *place("p", "columns", "rows"))
+    grid = ["key", "own_rows", "own_columns"]
+    wide = [hot_filed.repartition(tasks, *grid), hot_probes.repartition(tasks, *grid)]
+    cold = probes.join(hot, "key", "left_anti").join(filed, "key")
     fits = F.bit_count(F.col("f_odd").bitwiseXOR(F.col("p_odd"))) <= 2 * distance
     return (
-        probes.join(filed, "key")
+        cold.select("f", "f_odd", "p", "p_odd")
+        .unionByName(wide[1].join(wide[0], grid).select("f", "f_odd", "p", "p_odd"))
         .filter((F.col("f") != F.col("p")) & fits)
         .select(F.least("f", "p").alias("a"), F.greatest("f", "p").alias("b"))
         .distinct()

@@ -174,6 +174,27 @@ def test_repeated_lines_against_brute_force(spark):
         assert out[i] == "\n".join(x for k, x in enumerate(text.split("\n")) if k not in want[i])
 
 
+def test_a_segment_of_many_lines_is_cut_over_tasks_and_loses_no_pair(spark):
+    ids = range(1, 301)
+    rows = [(7, filed, i, 0) for i in ids for filed in (True, False)] + [(8, i < 3, i, 0) for i in range(1, 5)]
+    df = spark.createDataFrame(rows, "key bigint, filed boolean, id bigint, odd bigint")
+    pairs = linededup._sharing(df, 2, 4, cell=16)
+    got = [(r["a"], r["b"]) for r in pairs.collect()]
+    assert sorted(got) == [(a, b) for a in ids for b in ids if a < b]
+    plan = pairs._jdf.queryExecution().optimizedPlan().toString()
+    assert "own_rows" in plan and "own_columns" in plan
+    whole = linededup._sharing(df, 2, 4)
+    assert sorted((r["a"], r["b"]) for r in whole.collect()) == sorted(got)
+
+
+def test_lines_are_cut_into_segments_once(spark, tmp_path):
+    spark.createDataFrame([(f"line {i} of a text that is long enough",) for i in range(50)], "text string").write.parquet(f"{tmp_path}/t")
+    found = linededup.candidates(spark.read.parquet(f"{tmp_path}/t"))
+    found.collect()
+    plan = found._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert "ReusedExchange" in plan and plan.count("MapInArrow") == 1
+
+
 def test_lines_of_odd_rows(odd, none):
     rows = linededup.line_report(odd).collect()
     assert len(rows) == odd.count()
