@@ -13,7 +13,9 @@ distance on what is left between common ends.
 An occurrence of a line is removed if an equal or near line stands earlier, by
 ``doc_id``, then text hash, then line number. Nearness is not carried on: a line
 near to a removed one counts as repeated all the same. Lines with fewer than
-``least_chars`` code points are left alone: two edits say little about them.
+``least_chars`` code points are near to none: two edits say little about them.
+With ``short_equal`` those that are not blank are removed if an equal line
+stands earlier, else they are left alone.
 
 Null and empty texts have no lines to remove. Rows that repeat an id and its text
 are one document and get the same answer. A null id comes first. Extra columns
@@ -34,6 +36,8 @@ from sluicebox.llm.common import map_rows, tasks_for, written
 
 DISTANCE = 2
 LEAST_CHARS = 20
+#: A short line of nothing else is blank.
+BLANKS = " \t\n\v\f\r"
 #: Candidate ids are broadcast up to this many (16 bytes each), joined by a shuffle beyond.
 BROADCAST_IDS = 1_000_000
 #: Lines of one side that a task compares at most with as many of the other, for one segment.
@@ -160,14 +164,14 @@ def within(a: str, b: str, distance: int) -> int | None:
     return score if score <= distance else None
 
 
-def _lines(row: dict, least_chars: int) -> Iterator[tuple[int, str]]:
+def _lines(row: dict, least_chars: int, short: bool = False) -> Iterator[tuple[int, str]]:
     for number, line in enumerate((row["text"] or "").split("\n")):
-        if len(line) >= least_chars:
+        if len(line) >= least_chars or short and line.strip(BLANKS):
             yield number, line
 
 
-def occurrences(docs: DataFrame, least_chars: int = LEAST_CHARS) -> DataFrame:
-    """``doc_id, text_hash, line_no, h1, h2`` of every line that is long enough; no text is carried."""
+def occurrences(docs: DataFrame, least_chars: int = LEAST_CHARS, short_equal: bool = False) -> DataFrame:
+    """``doc_id, text_hash, line_no, h1, h2`` of every line that can be removed; no text is carried."""
 
     def run(batches):
         from xxhash import xxh3_128_digest
@@ -195,7 +199,7 @@ def occurrences(docs: DataFrame, least_chars: int = LEAST_CHARS) -> DataFrame:
 
         for row in _rows(batches):
             before = len(numbers)
-            for number, line in _lines(row, least_chars):
+            for number, line in _lines(row, least_chars, short_equal):
                 numbers.append(number)
                 digests.append(xxh3_128_digest(line.encode("utf-8", "replace")))
             doc_ids += [row["doc_id"]] * (len(numbers) - before)
@@ -347,9 +351,11 @@ def near_lines(docs: DataFrame, distance: int = DISTANCE, least_chars: int = LEA
     return map_rows(both, check, "a1 bigint, a2 bigint, b1 bigint, b2 bigint, edits int", 4096)
 
 
-def repeated_lines(docs: DataFrame, distance: int = DISTANCE, least_chars: int = LEAST_CHARS) -> DataFrame:
+def repeated_lines(
+    docs: DataFrame, distance: int = DISTANCE, least_chars: int = LEAST_CHARS, short_equal: bool = False
+) -> DataFrame:
     """``doc_id, text_hash, line_no, near``: the occurrences to remove; ``near`` if no equal line stands earlier."""
-    found = written(occurrences(docs, least_chars), "line-occurrences")
+    found = written(occurrences(docs, least_chars, short_equal), "line-occurrences")
     place = F.struct("doc_id", "text_hash", "line_no")
     firsts = written(found.groupBy("h1", "h2").agg(F.min(place).alias("first")), "line-firsts")
     links = written(near_lines(docs, distance, least_chars), "line-links")
@@ -373,8 +379,8 @@ def repeated_lines(docs: DataFrame, distance: int = DISTANCE, least_chars: int =
     )
 
 
-def _removed(docs: DataFrame, distance: int, least_chars: int) -> DataFrame:
-    repeated = repeated_lines(docs, distance, least_chars).distinct()
+def _removed(docs: DataFrame, distance: int, least_chars: int, short_equal: bool) -> DataFrame:
+    repeated = repeated_lines(docs, distance, least_chars, short_equal).distinct()
     return repeated.groupBy("doc_id", "text_hash").agg(
         F.array_sort(F.collect_list("line_no")).alias("removed"),
         F.count(F.when(F.col("near"), 1)).alias("n_near"),
@@ -395,14 +401,16 @@ def _with_removed(docs: DataFrame, removed: DataFrame) -> DataFrame:
     )
 
 
-def line_report(docs: DataFrame, distance: int = DISTANCE, least_chars: int = LEAST_CHARS) -> DataFrame:
+def line_report(
+    docs: DataFrame, distance: int = DISTANCE, least_chars: int = LEAST_CHARS, short_equal: bool = False
+) -> DataFrame:
     """``doc_id, n_lines, n_removed, n_near, removed`` (line numbers from 0) of each row, no text shuffled."""
     slim = docs.select(
         "doc_id",
         F.xxhash64("text").alias("_own"),
         F.when(F.length("text") > 0, F.size(F.split("text", "\n"))).otherwise(0).cast("bigint").alias("n_lines"),
     )
-    gone = _removed(docs, distance, least_chars)
+    gone = _removed(docs, distance, least_chars, short_equal)
     same = slim["doc_id"].cast("bigint").eqNullSafe(gone["doc_id"]) & (slim["_own"] == gone["text_hash"])
     return slim.join(gone, same, "left").select(
         slim["doc_id"],
@@ -413,11 +421,13 @@ def line_report(docs: DataFrame, distance: int = DISTANCE, least_chars: int = LE
     )
 
 
-def without_repeated_lines(docs: DataFrame, distance: int = DISTANCE, least_chars: int = LEAST_CHARS) -> DataFrame:
+def without_repeated_lines(
+    docs: DataFrame, distance: int = DISTANCE, least_chars: int = LEAST_CHARS, short_equal: bool = False
+) -> DataFrame:
     """``docs`` with the repeated lines taken out of ``text``; every row stays, maybe with an empty text."""
     columns = docs.columns
     slim = docs.select("doc_id", "text")
-    joined = _with_removed(docs, _removed(slim, distance, least_chars))
+    joined = _with_removed(docs, _removed(slim, distance, least_chars, short_equal))
     kept = F.expr(
         "array_join(transform(filter(transform(split(text, '\\n'), (x, i) -> named_struct('x', x, 'i', i)), "
         "y -> NOT array_contains(removed, y.i)), y -> y.x), '\\n')"

@@ -11,7 +11,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from sluicebox.llm import decontaminate, linededup, quality, secretscan, simhash
+from sluicebox.llm import decontaminate, linededup, quality, queries, secretscan, simhash
 from sluicebox.llm.components import components
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -195,6 +195,17 @@ def test_lines_are_cut_into_segments_once(spark, tmp_path):
     assert "ReusedExchange" in plan and plan.count("MapInArrow") == 1
 
 
+def test_equal_short_lines_are_repeats_too(spark, tmp_path):
+    long = "a line that is long enough to be near another"
+    texts = [f"Yes.\n{long}\n \n\nNo", f"Yes.\nNo!\n{long}\n\nNo\nNo", f"Yes\n{long}s\n \nNo"]
+    docs = [(i, text) for i, text in enumerate(texts)]
+    spark.createDataFrame(docs, "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    rows = {r["doc_id"]: r for r in queries.op3_line_dedup(spark, str(tmp_path)).collect()}
+    # Blank lines stay, and a short line is near to none.
+    assert {i: list(r["removed"]) for i, r in rows.items()} == {0: [], 1: [0, 2, 4, 5], 2: [1, 3]}
+    assert {i: r["n_near"] for i, r in rows.items()} == {0: 0, 1: 0, 2: 1}
+
+
 def test_lines_of_odd_rows(odd, none):
     rows = linededup.line_report(odd).collect()
     assert len(rows) == odd.count()
