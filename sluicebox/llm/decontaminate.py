@@ -43,29 +43,27 @@ UNITS = (
     "degree degrees mph kmh kph kw kwh w v hz khz mhz ghz kb mb gb tb"
 ).split()
 
-_SPACE = r"[\x20\x09-\x0D]+"
+_SPACE = r"[\x20\x09-\x0D]"
 _NAMES = r"(?<=[\p{Ll}\p{N},;:]\x20)\p{Lu}\p{Ll}+"
 _NUMBERS = r"[0-9]+(?:[.,][0-9]+)*"
 _UNITS = rf"(?i)(?<={NUMBER}\x20?)(?:{'|'.join(UNITS)})(?![\p{{L}}\p{{N}}])|(?<={NUMBER}\x20?)[%€$£°]"
 _MARKS = r"[^\p{L}\p{N}\x20\x09-\x0D‹›]+"
 
 
-def _words(text: Column) -> Column:
-    return F.filter(F.split(text, _SPACE), lambda w: w != "")
+def _template(text: Column) -> Column:
+    """The template of each piece of a text between two spaces, empty where nothing is left of it.
 
-
-def template_words(text: Column) -> Column:
-    """The words of a text's template."""
+    No replacement takes or makes a space, so the pieces stay in their places.
+    """
     named = F.regexp_replace(text, _NAMES, NAME)
     counted = F.regexp_replace(named, _NUMBERS, NUMBER)
     measured = F.regexp_replace(counted, _UNITS, UNIT)
-    return _words(F.lower(F.regexp_replace(measured, _MARKS, "")))
+    return F.split(F.lower(F.regexp_replace(measured, _MARKS, "")), _SPACE)
 
 
-def plain_words(text: Column) -> Column:
-    """The words the template's words stand for, in the same places."""
-    # A sign that counts as a unit is a word or part of one there and must not vanish here.
-    return _words(F.lower(F.regexp_replace(text, r"[^\p{L}\p{N}\x20\x09-\x0D‹›%€$£°]+", "")))
+def _plain(text: Column) -> Column:
+    """The same pieces with their names, numbers and units, signs that may count as units included."""
+    return F.split(F.lower(F.regexp_replace(text, r"[^\p{L}\p{N}\x20\x09-\x0D‹›%€$£°]+", "")), _SPACE)
 
 
 def windows(texts: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -75,14 +73,14 @@ def windows(texts: DataFrame, window: int = WINDOW) -> DataFrame:
     places (empty for the others), joined; null where there are none.
     """
     keys = [c for c in texts.columns if c != "text"]
-    made = texts.select(
-        *keys, template_words(F.col("text")).alias("t"), F.col("text").alias("text")
-    ).filter(F.size("t") > 0)
+    made = texts.select(*keys, _template(F.col("text")).alias("all"), F.col("text").alias("text"))
+    # Words that are left of nothing go from both lists together.
+    both = F.zip_with("all", _plain(F.col("text")), lambda t, p: F.when(t != "", p))
     made = made.select(
         *keys,
-        "t",
-        F.when(F.exists("t", lambda w: w.contains("›")), plain_words(F.col("text"))).alias("p"),
-    )
+        F.filter("all", lambda w: w != "").alias("t"),
+        F.when(F.exists("all", lambda w: w.contains("›")), F.filter(both, lambda w: w.isNotNull())).alias("p"),
+    ).filter(F.size("t") > 0)
     hashed = ", ".join(f"t[i + {k}]" for k in range(window))
     # In a text shorter than a window the places behind its end are null and do not change the hash.
     each = F.expr(

@@ -242,6 +242,15 @@ def test_templates_and_their_slots(spark):
     assert decontaminate.contamination(df, items.filter("false")).filter("contaminated").count() == 0
 
 
+def test_slots_stay_in_place_behind_signs_that_vanish(spark):
+    item = "We split 12 apples among 4 children so that each of the 4 children gets 3 apples today."
+    docs = [(1, "It costs $ and % or more. " + item), (2, "Pay € 5 now, not ° or £ here: " + item.replace("4", "5"))]
+    df = spark.createDataFrame(docs, "doc_id bigint, text string")
+    items = spark.createDataFrame([(11, item)], "item_id bigint, text string")
+    got = {r["doc_id"]: (list(r["items"]), r["n_changed"]) for r in decontaminate.contamination(df, items).collect()}
+    assert got == {1: ([11], 0), 2: ([11], 1)}
+
+
 def test_short_items_are_one_window(spark):
     df = spark.createDataFrame([(1, "Tiny item"), (2, "tiny item!"), (3, "a tiny item")], "doc_id bigint, text string")
     items = spark.createDataFrame([(5, "tiny item")], "item_id bigint, text string")
