@@ -5,7 +5,9 @@ placeholders, punctuation goes, letters become small. A name is a capitalised
 word behind a word that does not end a sentence; a unit is a word of a fixed list
 behind a number. Windows of ``window`` (5) template words of documents and
 benchmark items meet by hash. A window that is all placeholders tells nothing and
-is left out on both sides; a text with fewer words is one window.
+is left out on both sides; a text with fewer words is one window. With
+``short_inside`` an item of fewer words is also looked for inside longer
+documents, which then have windows of the lengths of such items as well.
 
 Matches of a document and an item that lie on one diagonal (same distance of
 places) have to agree on their slots: a value of the item must always stand for
@@ -25,6 +27,8 @@ the same answer and a null id keeps its row. Other columns are not read.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -66,8 +70,11 @@ def _plain(text: Column) -> Column:
     return F.split(F.lower(F.regexp_replace(text, r"[^\p{L}\p{N}\x20\x09-\x0D‹›%€$£°]+", "")), _SPACE)
 
 
-def windows(texts: DataFrame, window: int = WINDOW) -> DataFrame:
-    """One row per window of ``texts`` (key columns and ``text``): the keys, ``hash, at, slots``.
+def windows(texts: DataFrame, window: int = WINDOW, shorter: Sequence[int] = ()) -> DataFrame:
+    """One row per window of ``texts`` (key columns and ``text``): the keys, ``hash, at, n_words, slots``.
+
+    There are windows of ``window`` words (one of all words in a text with fewer)
+    and of each number of words in ``shorter``.
 
     ``slots`` holds, for a window with placeholders, the plain words in their
     places (empty for the others), joined; null where there are none.
@@ -81,23 +88,30 @@ def windows(texts: DataFrame, window: int = WINDOW) -> DataFrame:
         F.filter("all", lambda w: w != "").alias("t"),
         F.when(F.exists("all", lambda w: w.contains("›")), F.filter(both, lambda w: w.isNotNull())).alias("p"),
     ).filter(F.size("t") > 0)
-    hashed = ", ".join(f"t[i + {k}]" for k in range(window))
     # In a text shorter than a window the places behind its end are null and do not change the hash.
-    each = F.expr(
-        f"""transform(sequence(0, greatest(size(t) - {window}, 0)), i -> named_struct(
-              'hash', xxhash64({hashed.replace("t[", "get(t, ").replace("]", ")")}),
+    each = [_windows_of(window, f"greatest(size(t) - {window}, 0)")]
+    each += [_windows_of(n, f"size(t) - {n}") for n in shorter]
+    found = F.filter(F.concat(*each), lambda x: x["plain"])
+    return made.select(*keys, F.explode(found).alias("x")).select(*keys, "x.hash", "x.at", "x.n_words", "x.slots")
+
+
+def _windows_of(n: int, last: str) -> Column:
+    """The windows of ``n`` words from the first word to the one numbered ``last``; none if that is negative."""
+    hashed = ", ".join(f"get(t, i + {k})" for k in range(n))
+    own = f"slice(t, i + 1, {n})"
+    return F.expr(
+        f"""transform(CASE WHEN {last} >= 0 THEN sequence(0, {last}) ELSE CAST(array() AS array<int>) END, i -> named_struct(
+              'hash', xxhash64(least(size(t), {n}), {hashed}),
               'at', i,
-              'slots', CASE WHEN p IS NOT NULL AND exists(slice(t, i + 1, {window}), w -> contains(w, '›'))
-                THEN array_join(transform(slice(t, i + 1, {window}), (w, k) ->
+              'n_words', least(size(t), {n}),
+              'slots', CASE WHEN p IS NOT NULL AND exists({own}, w -> contains(w, '›'))
+                THEN array_join(transform({own}, (w, k) ->
                   CASE WHEN contains(w, '›') THEN coalesce(get(p, i + k), '') ELSE '' END), ' ') END,
-              'plain', p IS NULL OR exists(slice(t, i + 1, {window}), w -> NOT startswith(w, '‹') OR NOT endswith(w, '›'))))"""
-    )
-    return made.select(*keys, F.explode(F.filter(each, lambda x: x["plain"])).alias("x")).select(
-        *keys, "x.hash", "x.at", "x.slots"
+              'plain', p IS NULL OR exists({own}, w -> NOT startswith(w, '‹') OR NOT endswith(w, '›'))))"""
     )
 
 
-def matches(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
+def matches(docs: DataFrame, items: DataFrame, window: int = WINDOW, short_inside: bool = False) -> DataFrame:
     """``doc_id, text_hash, item_id, coverage, changed``: what each document holds of each item.
 
     ``changed`` says whether a slot has another value than in the item.
@@ -105,13 +119,16 @@ def matches(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFram
     mine = items.select(F.col("item_id"), F.coalesce("text", F.lit("")).alias("text"))
     of_items = windows(mine, window).withColumnsRenamed({"at": "item_at", "slots": "item_slots"})
     size = of_items.groupBy("item_id").agg(F.count("*").alias("n"), F.max("item_at").alias("last"))
-    n_windows = of_items.count()
+    n_windows, lengths = of_items.agg(F.count("*"), F.array_sort(F.collect_set("n_words"))).first()
+    # At most window - 1 numbers.
+    shorter = [n for n in lengths if n < window] if short_inside else []
+    of_items = of_items.drop("n_words")
     if n_windows <= BROADCAST_WINDOWS:
         of_items, size = F.broadcast(of_items), F.broadcast(size)
     texts = docs.select(
         F.col("doc_id"), F.xxhash64("text").alias("text_hash"), F.coalesce("text", F.lit("")).alias("text")
     )
-    met = windows(texts, window).join(of_items, "hash")
+    met = windows(texts, window, shorter).join(of_items, "hash")
     # Per diagonal: the item's windows found, and the pairs of slot values seen in them.
     diagonal = met.groupBy("doc_id", "text_hash", "item_id", (F.col("at") - F.col("item_at")).alias("shift")).agg(
         F.collect_set("item_at").alias("found"),
@@ -137,10 +154,14 @@ def matches(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFram
 
 
 def held_items(
-    docs: DataFrame, items: DataFrame, window: int = WINDOW, least_coverage: float = LEAST_COVERAGE
+    docs: DataFrame,
+    items: DataFrame,
+    window: int = WINDOW,
+    least_coverage: float = LEAST_COVERAGE,
+    short_inside: bool = False,
 ) -> DataFrame:
     """``doc_id, text_hash, items, n_changed`` of each document that holds an item."""
-    held = matches(docs, items, window).filter(F.col("coverage") >= least_coverage)
+    held = matches(docs, items, window, short_inside).filter(F.col("coverage") >= least_coverage)
     # At most one entry per benchmark item.
     return held.groupBy("doc_id", "text_hash").agg(
         F.array_sort(F.collect_set("item_id")).alias("items"),
@@ -149,10 +170,14 @@ def held_items(
 
 
 def contamination(
-    docs: DataFrame, items: DataFrame, window: int = WINDOW, least_coverage: float = LEAST_COVERAGE
+    docs: DataFrame,
+    items: DataFrame,
+    window: int = WINDOW,
+    least_coverage: float = LEAST_COVERAGE,
+    short_inside: bool = False,
 ) -> DataFrame:
     """``doc_id, contaminated, items, n_changed`` for each row of ``docs``."""
-    held = held_items(docs, items, window, least_coverage)
+    held = held_items(docs, items, window, least_coverage, short_inside)
     slim = docs.select("doc_id", F.xxhash64("text").alias("_own"))
     same = slim["doc_id"].eqNullSafe(held["doc_id"]) & (slim["_own"] == held["text_hash"])
     kind = items.schema["item_id"].dataType.simpleString()
@@ -165,9 +190,13 @@ def contamination(
 
 
 def without_contaminated(
-    docs: DataFrame, items: DataFrame, window: int = WINDOW, least_coverage: float = LEAST_COVERAGE
+    docs: DataFrame,
+    items: DataFrame,
+    window: int = WINDOW,
+    least_coverage: float = LEAST_COVERAGE,
+    short_inside: bool = False,
 ) -> DataFrame:
     """The rows of ``docs`` that hold no item."""
-    held = held_items(docs, items, window, least_coverage)
+    held = held_items(docs, items, window, least_coverage, short_inside)
     same = docs["doc_id"].eqNullSafe(held["doc_id"]) & (F.xxhash64(docs["text"]) == held["text_hash"])
     return docs.join(held, same, "left_anti")

@@ -258,6 +258,20 @@ def test_short_items_are_one_window(spark):
     assert got == {1: True, 2: True, 3: False}
 
 
+def test_short_items_inside_longer_documents(spark, tmp_path):
+    docs = [
+        (1, "First, tell me this. What is 17 + 25? Then go on with the rest."), (2, "So what is 3 + 4? Think."),
+        (3, "What is the sum of 17 and 25? Nobody knows."), (4, "What is 17"), (5, None), (6, "go"), (7, "Say it: yes or no, go home now."),
+    ]
+    items = [(20, "What is 17 + 25?"), (21, "Yes or no"), (22, "17 + 25"), (23, ""), (24, sentence(12)), (25, "Go")]
+    spark.createDataFrame(docs, "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(items, "item_id bigint, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    rows = queries.op8_decontamination(spark, str(tmp_path)).collect()
+    got = {r["doc_id"]: (list(r["items"]), r["n_changed"]) for r in rows}
+    # An item of placeholders only tells nothing and is in none.
+    assert got == {1: ([20, 25], 0), 2: ([20], 1), 3: ([], 0), 4: ([], 0), 5: ([], 0), 6: ([25], 0), 7: ([21, 25], 0)}
+
+
 def test_decontamination_runs_no_python(spark):
     df = spark.createDataFrame([(1, "a")], "doc_id bigint, text string")
     items = spark.createDataFrame([(5, "b")], "item_id bigint, text string")
