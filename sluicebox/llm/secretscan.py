@@ -2,9 +2,9 @@
 
 Fixed patterns give the base spans: assignments to a secret's name, access keys
 and long hex strings. The battery adds spans of kind ``random``: every run of 16
-or more letters, digits, ``+/_-`` (and up to two ``=`` behind it) that has a digit
-and a letter is tried against "drawn evenly from its encoding". The encoding is
-the smallest of hex, base 32, base 36, base 62 and base 64 that holds the run.
+or more letters, digits, ``+/_-`` (and up to two ``=`` behind it) is tried against
+"drawn evenly from its encoding", with or without a digit or a letter. The encoding
+is the smallest of hex, base 32, base 36, base 62 and base 64 that holds the run.
 
 Four p-values are combined by Fisher's rule: chi-squared over the alphabet's
 symbols, chi-squared over its classes (digits, small, capital, marks), the runs
@@ -215,7 +215,7 @@ def band_of(n: str) -> str:
 
 
 def candidates(text: str) -> Column:
-    """``start, stop, run`` of each run with a digit and a letter."""
+    """``start, stop, run`` of each run."""
     p = _quoted(RUN)
     return F.expr(
         f"""CASE WHEN {text} RLIKE {p} THEN filter(aggregate(
@@ -223,7 +223,7 @@ def candidates(text: str) -> Column:
           named_struct('at', 0, 'out', CAST(array() AS array<struct<start:int,stop:int,run:string>>)),
           (acc, x) -> named_struct(
             'at', acc.at + length(x.gap) + coalesce(length(x.hit), 0),
-            'out', CASE WHEN x.hit RLIKE '[0-9]' AND x.hit RLIKE '[A-Za-z]' THEN concat(acc.out, array(named_struct(
+            'out', CASE WHEN x.hit IS NOT NULL THEN concat(acc.out, array(named_struct(
                 'start', acc.at + length(x.gap), 'stop', acc.at + length(x.gap) + length(x.hit), 'run', x.hit)))
                 ELSE acc.out END),
           acc -> acc.out), x -> true)
