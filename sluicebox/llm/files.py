@@ -31,6 +31,11 @@ def open_for_reading(uri: str):
     return system.open_input_file(path)
 
 
+def remove(uri: str) -> None:
+    system, path = place(uri)
+    system.delete_file(path)
+
+
 def attempt_name(folder: str, partition: int, suffix: str) -> str:
     """A name no other attempt uses: a task that runs again leaves the first file out of the manifest."""
     return f"{folder}/part-{partition:06d}-{uuid.uuid4().hex[:12]}{suffix}"
