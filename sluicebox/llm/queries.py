@@ -8,11 +8,29 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sluicebox.llm import decontaminate, gru, linededup, quality, secretscan, sentencepiece, simhash, tokenfile, toxicity, warc
+from sluicebox.llm import (
+    decontaminate,
+    gru,
+    linededup,
+    oracles,
+    prefixtrie,
+    quality,
+    secretscan,
+    sentencepiece,
+    simhash,
+    tokencount,
+    tokenfile,
+    toxicity,
+    vectorcode,
+    warc,
+)
 from sluicebox.llm.common import remainder_of_crc32, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op11_prefix_trie": oracles.PREFIX_TRIE,
+    "op13_vector_codes": oracles.VECTOR_CODES,
+}
 
 
 def query(fn):
@@ -97,3 +115,19 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op10_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gru.score_documents(table(spark, sf_dir, "documents"))
+
+
+@query
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefixtrie.trie_nodes(table(spark, sf_dir, "conversations"))
+
+
+@query
+def op12_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    return tokencount.count_tokens(table(spark, sf_dir, "documents"), path)
+
+
+@query
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectorcode.code_report(table(spark, sf_dir, "embeddings"))
