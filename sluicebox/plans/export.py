@@ -21,7 +21,6 @@ from sluicebox.operators.keyindex import BUCKET, KeyIndex, build_index, with_ord
 from sluicebox.operators.messages import with_value
 from sluicebox.operators.offsets import (
     delivery_audit,
-    high_watermarks,
     offset_summary,
     offsets_frame,
     with_offsets,
@@ -209,7 +208,9 @@ def export(
     """Send a dataset to a topic of a parquet message log.
 
     The summary of a series gives its time range; that of a collection leaves it
-    empty, unless ``with_range`` asks for it (see :func:`query_by_time`).
+    empty, unless ``with_range`` asks for it (see :func:`query_by_time`). If another
+    export to the topic is committed meanwhile, this one is refused
+    (``ConcurrentWrite``) and none of its messages is visible.
     """
     spark = ds.df.sparkSession
     began = _millis()
@@ -223,10 +224,12 @@ def export(
         total_mode=total_mode,
         keep_tail=keep_tail,
     )
-    before = _pinned(high_watermarks(log.read(spark, topic), log.partitions))
+    base = log.snapshot(spark, topic)
+    before = offsets_frame(spark, base.starts(log.partitions))
     messages, produced = build_messages(plan, before, strategy=strategy, nested=nested)
-    run_id = log.write(messages, topic)
-    after = _pinned(high_watermarks(log.read(spark, topic), log.partitions))
+    run_id = log.write(messages, topic, base=base)
+    # As of this run's own version: later runs of others do not count.
+    after = log.high_watermarks(spark, topic, base.version + 1)
     growth = offset_summary(before, after)
     audit = delivery_audit(produced, before, after)
     ended = _millis()
@@ -299,11 +302,6 @@ def export_to_kafka(
     return plan
 
 
-def _pinned(offsets: DataFrame) -> DataFrame:
-    """The offsets as they are now: one row per partition, read once."""
-    return offsets_frame(offsets.sparkSession, dict(offsets.collect()))
-
-
 def _range_text(plan: ExportPlan, wanted: bool) -> tuple[str | None, str | None]:
     if not wanted or plan.ds.time is None:
         return "", ""

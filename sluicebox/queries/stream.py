@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sluicebox.operators.offsets import high_watermarks
 from sluicebox.plans.export import export
 from sluicebox.queries.export import EVENT_PLACES, new_log
 from sluicebox.queries.messages import EVENT_MEMBERS, json_sql
@@ -38,14 +37,12 @@ _SECOND_RUN = f"""
 
 @query(_SECOND_RUN)
 def stream_from_end(spark: SparkSession, sf: str) -> DataFrame:
-    """Start at the end offsets of the first export; only the second one arrives."""
+    """Start at the end offsets of the first export; only the second one is read."""
     log = new_log(spark, "stream-from-end")
     export(events(spark, sf), log, TOPIC, jobs=JOBS)
-    first = log.read(spark, TOPIC)
-    ends = spark.createDataFrame(high_watermarks(first, log.partitions).collect())
+    ends = log.snapshot(spark, TOPIC).starts(log.partitions)
     export(events(spark, sf), log, TOPIC, jobs=JOBS)
-    stream = readers.from_offsets(log.read_stream(spark, TOPIC), ends)
-    return _collected(stream, log.root)
+    return _collected(log.read_stream(spark, TOPIC, starting=ends), log.root)
 
 
 @query(
@@ -80,6 +77,17 @@ def stream_before_first_export(spark: SparkSession, sf: str) -> DataFrame:
     return _collected(stream, log.root)
 
 
+@query(_SECOND_RUN)
+def log_between_offsets(spark: SparkSession, sf: str) -> DataFrame:
+    """The second export alone, by its offsets; files of the first are not opened."""
+    log = new_log(spark, "between")
+    export(events(spark, sf), log, TOPIC, jobs=JOBS)
+    starts = log.snapshot(spark, TOPIC).starts(log.partitions)
+    export(events(spark, sf), log, TOPIC, jobs=JOBS)
+    found = log.read_between(spark, TOPIC, starts, "latest")
+    return found.select("partition", "offset", F.col("value").cast("string").alias("value"))
+
+
 def _collected(stream: DataFrame, root: str) -> DataFrame:
     messages = stream.select("partition", "offset", F.col("value").cast("string").alias("value"))
     return readers.drain_to_table(messages, f"{root}-collected", f"{root}-checkpoint")
