@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -21,6 +21,9 @@ ESCAPES = {
     "\u2029": r"\u2029",
 }
 
+# The smallest double with all its digits.
+LEAST_NORMAL = 2.0**-1022
+
 
 def json_text(df: DataFrame, fields: Mapping[str, Column] | None = None) -> Column:
     """One JSON object per row: keys sorted at every level, nulls kept, times as text.
@@ -44,7 +47,14 @@ def number_text(value: Column) -> Column:
     beyond, there is an exponent with its sign. Numbers that are not finite have
     no form in JSON and are quoted.
     """
+    # What is looked up for long numbers stands once in the plan, however often its text is used.
     text = value.cast("string")
+    return F.when(_may_be_long(value, text), _with(shortest_text(value), lambda t: _in_full(t, value))).otherwise(
+        _in_full(text, value)
+    )
+
+
+def _in_full(text: Column, value: Column) -> Column:
     size = F.abs(value)
     # Spark writes an exponent outside 1e-3 to 1e7; the decimal types hold every digit of the numbers in between.
     large = F.regexp_replace(text.try_cast("decimal(38,16)").cast("string"), r"\.?0+$", "")
@@ -60,6 +70,82 @@ def number_text(value: Column) -> Column:
     )
 
 
+def _may_be_long(value: Column, text: Column) -> Column:
+    """Whether a number may have more digits than it needs: over 15, or one with few digits to itself."""
+    return (F.length(text) > 16) | ((value != 0) & (F.abs(value) < LEAST_NORMAL))
+
+
+def shortest_text(value: Column) -> Column:
+    """A fractional number as Spark writes it, with as few digits as read back as the same number.
+
+    Older Java runtimes write some numbers with digits that are not needed. A
+    number of up to 15 digits is always the shortest, so only longer ones are looked
+    at: of the numbers with 15, 16 and 17 digits about the one written, those with
+    the fewest digits that read back are taken, and of several the nearest. Numbers
+    below the smallest normal one have fewer digits to themselves and are all looked at.
+    """
+    text = value.cast("string")
+    digits = F.regexp_replace(text, r"E.*|^-?0*\.?0*|[-.]", "")
+    parts = F.struct(
+        value.cast("double").alias("value"),
+        text.alias("text"),
+        # At most 18 digits are written.
+        digits.try_cast("bigint").alias("whole"),
+        F.length(digits).alias("n"),
+        F.length(F.regexp_extract(text, r"\.([0-9]+)", 1)).alias("scale"),
+        F.regexp_extract(text, "E.*", 0).alias("power"),
+    )
+    return F.when(_may_be_long(value, text), _with(parts, _shortest_of)).otherwise(text)
+
+
+def _with(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is worked out once, however often it occurs there."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _shortest_of(parts: Column) -> Column:
+    whole, scale = parts["whole"], parts["scale"]
+
+    def written(number: Column) -> Column:
+        text = number.cast("string")
+        padded = F.lpad(text, F.greatest(scale + 1, F.length(text)), F.lit("0"))
+        mantissa = F.regexp_replace(padded, F.concat(F.lit("^([0-9]+)([0-9]{"), scale, F.lit("})$")), F.lit("$1.$2"))
+        short = F.regexp_replace(F.regexp_replace(mantissa, "0+$", ""), r"\.$", ".0")
+        sign = F.when(parts["value"] < 0, F.lit("-")).otherwise(F.lit(""))
+        # A number rounded up to the next power of ten.
+        raised = F.concat(F.lit("1.0E"), (F.substr(parts["power"], F.lit(2)).try_cast("int") + 1).cast("string"))
+        return F.concat(
+            sign, F.when(short.startswith("10.") & (parts["power"] != ""), raised).otherwise(F.concat(short, parts["power"]))
+        )
+
+    size = F.abs(parts["value"])
+    power = F.coalesce(F.regexp_extract(parts["power"], "E(.*)", 1).try_cast("int"), F.lit(0)) - scale
+    # A number from 2^53 on is whole; in two halves it fits a decimal with all its digits.
+    upper = F.floor(size / 2.0**40)
+    lower = (size - upper.cast("double") * 2.0**40).cast("bigint")
+    exact = upper.cast("decimal(19,0)") * F.lit(2**40).cast("decimal(13,0)") + lower
+    known = (size >= 2.0**53) & (size < 1e30) & (power >= 0)
+
+    def distance(number: Column) -> Column:
+        at = F.concat(number.cast("string"), F.repeat(F.lit("0"), power)).try_cast("decimal(38,0)")
+        apart = F.when(known, F.abs(exact - at)).otherwise(F.abs(whole - number))
+        return F.struct(apart.cast("decimal(38,0)").alias("apart"), number.alias("number"))
+
+    def near(wanted: Column) -> Column:
+        """The nearest of the numbers with so many digits that read back; null if none does."""
+        unit = F.pow(F.lit(10.0), parts["n"] - wanted).cast("bigint")
+        low = whole - whole % unit
+        fits = F.filter(
+            F.array(low - unit, low, low + unit), lambda c: written(c).try_cast("double") == parts["value"]
+        )
+        return F.array_min(F.transform(fits, distance))["number"]
+
+    least = F.when(size < LEAST_NORMAL, F.lit(1)).otherwise(F.lit(15))
+    lengths = F.filter(F.sequence(least, F.lit(17)), lambda wanted: wanted <= parts["n"])
+    found = F.filter(F.transform(lengths, near), lambda c: c.isNotNull())
+    return F.coalesce(written(F.get(found, F.lit(0))), parts["text"])
+
+
 def _object(members: Sequence[tuple[str, Column, T.DataType]]) -> Column:
     """Text of a JSON object; runs of members without fractional numbers are left to ``to_json``."""
     if not any(_has_fraction(dtype) for _, _, dtype in members):

@@ -1,6 +1,10 @@
 from __future__ import annotations
 
 import json
+import math
+import random
+import struct
+import sys
 from datetime import datetime
 
 import pytest
@@ -210,3 +214,38 @@ def test_numbers_inside_structures(spark):
         '{"a":null,"d":null,"e":null,"l":null,"m":null,"s":null,"z":null}',
         '{"a":null,"d":null,"e":[],"l":[],"m":{},"s":{"a":null,"b":null},"z":""}',
     ]
+
+
+def _encoded(x: float) -> str:
+    """The shortest digits that read back, in full from 1e-6 to below 1e21, else with an exponent."""
+    mantissa, _, power = repr(abs(x)).partition("e")
+    whole, _, rest = mantissa.partition(".")
+    places = int(power or 0) - len(rest)
+    digits = (whole + rest).lstrip("0")
+    places += len(digits) - len(digits.rstrip("0"))
+    digits = digits.rstrip("0") or "0"
+    sign = "-" if math.copysign(1, x) < 0 else ""
+    if x == 0:
+        return sign + "0"
+    first = len(digits) + places - 1
+    if not 1e-6 <= abs(x) < 1e21:
+        return f"{sign}{digits[0]}{'.' + digits[1:] if digits[1:] else ''}e{first:+d}"
+    if places >= 0:
+        return sign + digits + "0" * places
+    if first >= 0:
+        return f"{sign}{digits[: first + 1]}.{digits[first + 1 :]}"
+    return f"{sign}0.{'0' * (-first - 1)}{digits}"
+
+
+def test_numbers_have_the_shortest_digits_that_read_back(spark):
+    rng = random.Random(4)
+    numbers = [struct.unpack("<d", rng.randbytes(8))[0] for _ in range(15_000)]
+    numbers += [rng.uniform(-1, 1) * 10 ** rng.randint(-8, 24) for _ in range(20_000)]
+    numbers += [float(rng.randint(10**15, 10**18)) for _ in range(5_000)] + [k * 0.1 for k in range(1_000)]
+    numbers += [5e-324, 1e-323, 1.5e-323, 2.3e-310, 1e23, 2e-3, 1e22, 2.0**53 + 2, 2.0**63, sys.float_info.max]
+    numbers += [0.0, -0.0, 1e21, 1e-7, 1e-6, 123456789012345680.0, -161304845894623140.0]
+    numbers = [x for x in numbers if math.isfinite(x)]
+    assert len(numbers) > 40_000
+    df = spark.createDataFrame(list(enumerate(numbers)), "i int, x double")
+    got = df.select("i", number_text(F.col("x")).alias("t")).collect()
+    assert [(r["t"], numbers[r["i"]]) for r in got if r["t"] != _encoded(numbers[r["i"]])] == []
