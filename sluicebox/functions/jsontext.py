@@ -49,7 +49,7 @@ def number_text(value: Column) -> Column:
     """
     # What is looked up for long numbers stands once in the plan, however often its text is used.
     text = value.cast("string")
-    return F.when(_may_be_long(value, text), _with(shortest_text(value), lambda t: _in_full(t, value))).otherwise(
+    return F.when(_may_be_long(value, text), once(shortest_text(value), lambda t: _in_full(t, value))).otherwise(
         _in_full(text, value)
     )
 
@@ -95,10 +95,10 @@ def shortest_text(value: Column) -> Column:
         F.length(F.regexp_extract(text, r"\.([0-9]+)", 1)).alias("scale"),
         F.regexp_extract(text, "E.*", 0).alias("power"),
     )
-    return F.when(_may_be_long(value, text), _with(parts, _shortest_of)).otherwise(text)
+    return F.when(_may_be_long(value, text), once(parts, _shortest_of)).otherwise(text)
 
 
-def _with(value: Column, use: Callable[[Column], Column]) -> Column:
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
     """``use`` of a value that is worked out once, however often it occurs there."""
     return F.get(F.transform(F.array(value), use), F.lit(0))
 

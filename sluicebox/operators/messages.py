@@ -7,11 +7,13 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sluicebox.functions.documents import document_text
 from sluicebox.functions.jsontext import json_text
 from sluicebox.sources.dataset import SERIES, Dataset
 
-# Fixed value: the label that document messages carry.
+# The label that document messages carry, and the member they lose.
 SOURCE_LABEL = "mongodb"
+ID_MEMBER = "_id"
 
 
 def message_fields(ds: Dataset, nested: bool = False) -> dict[str, Column]:
@@ -29,17 +31,22 @@ def message_fields(ds: Dataset, nested: bool = False) -> dict[str, Column]:
         fields["_time"] = fields.pop(ds.time)
         fields["_measurement"] = F.lit(ds.table)
     else:
-        fields["_source"] = F.lit(SOURCE_LABEL)
-        fields["_collection"] = F.lit(ds.table)
-        fields["_database"] = F.lit(ds.database)
+        fields.update({name: F.lit(label) for name, label in _labels(ds).items()})
     return fields
 
 
+def _labels(ds: Dataset) -> dict[str, str]:
+    return {"_source": SOURCE_LABEL, "_collection": ds.table, "_database": ds.database}
+
+
 def with_value(
     df: DataFrame, ds: Dataset, extra: Sequence[str] = (), nested: bool = False
 ) -> DataFrame:
     """The ``extra`` columns and ``value``, the JSON text of each row."""
-    value = json_text(df, message_fields(ds, nested))
+    if ds.document is not None:
+        value = document_text(F.col(ds.document), _labels(ds), drop=(ID_MEMBER,))
+    else:
+        value = json_text(df, message_fields(ds, nested))
     return df.select(*extra, value.alias("value"))
 
 

@@ -8,8 +8,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from sluicebox.functions.documents import members, value_text
 from sluicebox.functions.times import cut_to_ms, exact_literal, ms_text, nano_text, time_or_null
 from sluicebox.operators.filters import in_window
+from sluicebox.operators.messages import ID_MEMBER
 from sluicebox.sources.dataset import Dataset
 
 Tag = tuple[str, object] | None
@@ -81,16 +83,31 @@ def dataset_detail(ds: Dataset, tag: Tag = None, window: TimeWindow = None) -> D
     """One row: range, names, count, sorted columns, and the first and last record.
 
     ``data`` holds two rows of values as text, in the order of ``columns``. A
-    dataset without rows gives count 0 and nulls.
+    dataset without rows gives count 0 and nulls. Documents without a schema have
+    the columns of the first one, without its id; what the last one lacks is null.
     """
     rows = ds.selected(tag, window)
     ends = _ends(ds, rows)
-    names = ds.shown
-    values = F.array(*[_as_text(c, ds.df.schema[c].dataType) for c in names])
     at_ends = _rows_at_ends(ds, rows, ends)
-    data = at_ends.agg(
-        F.sort_array(F.collect_list(F.struct("position", values.alias("v")))).alias("pairs")
-    )
+    if ds.document is not None:
+        # Two documents at most.
+        pairs = at_ends.agg(F.sort_array(F.collect_list(F.struct("position", ds.document))).alias("p"))
+        first = members(F.get("p", F.lit(0))[ds.document])
+        columns = F.array_sort(F.filter(F.map_keys(first), lambda k: k != ID_MEMBER))
+        names = F.coalesce(columns, F.array().cast("array<string>"))
+
+        def values_of(pair: Column) -> Column:
+            own = members(pair[ds.document])
+            texts = F.transform(columns, lambda k: _member_text(F.try_element_at(own, k)))
+            return F.struct(pair["position"].alias("position"), texts.alias("v"))
+
+        data = pairs.select(names.alias("names"), F.transform("p", values_of).alias("pairs"))
+    else:
+        values = F.array(*[_as_text(c, ds.df.schema[c].dataType) for c in ds.shown])
+        data = at_ends.agg(
+            F.lit(ds.shown).cast("array<string>").alias("names"),
+            F.sort_array(F.collect_list(F.struct("position", values.alias("v")))).alias("pairs"),
+        )
     has_time = ds.time is not None
     first_ts, last_ts = (_end_time(ds, ends, "low"), _end_time(ds, ends, "high")) if has_time else (None, None)
     return data.select(
@@ -99,7 +116,7 @@ def dataset_detail(ds: Dataset, tag: Tag = None, window: TimeWindow = None) -> D
         F.lit(ds.database).alias("bucket"),
         F.lit(ds.table).alias("measurement"),
         F.lit(ends["n"]).cast("bigint").alias("count"),
-        F.array_sort(F.array(*[F.lit(c) for c in names])).alias("columns"),
+        F.array_sort("names").alias("columns"),
         F.transform("pairs", lambda p: p["v"]).alias("data"),
     )
 
@@ -140,6 +157,12 @@ def _rows_at_ends(ds: Dataset, rows: DataFrame, ends) -> DataFrame:
     return found
 
 
+def _member_text(value: Column) -> Column:
+    """A member's value as text: a string without quotes, null for a null, JSON for all else."""
+    text = value_text(value)
+    return F.when(text.startswith('"'), value.try_cast("string")).when(text != "null", text)
+
+
 def _as_text(name: str, dtype: T.DataType) -> Column:
     column = F.col(name)
     if isinstance(dtype, (T.TimestampType, T.TimestampNTZType)):

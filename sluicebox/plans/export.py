@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from sluicebox.functions.documents import document_reason
 from sluicebox.functions.jsontext import reject_reason
 from sluicebox.functions.numbers import int_div, partition_of_ordinal
 from sluicebox.functions.times import exact_literal, ms_text
@@ -165,7 +166,10 @@ def build_messages(
 def _flagged(plan: ExportPlan, rows: DataFrame, nested: bool) -> DataFrame:
     """``rows`` with ``bad_reason``. Text is always sendable as a string, so JSON is only checked if nested."""
     ds = plan.ds
-    reason = reject_reason(rows, ds.json_columns if nested else (), ds.shown)
+    if ds.document is not None:
+        reason = document_reason(F.col(ds.document), ds.document)
+    else:
+        reason = reject_reason(rows, ds.json_columns if nested else (), ds.shown)
     return rows.withColumn("bad_reason", reason)
 
 

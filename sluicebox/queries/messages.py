@@ -8,7 +8,15 @@ from pyspark.sql import functions as F
 from sluicebox.functions.jsontext import json_text, split_rejects
 from sluicebox.operators.messages import document_messages, with_value
 from sluicebox.queries.profile import NANO
-from sluicebox.queries.registry import conversations, documents, events, lineitem, orders, query
+from sluicebox.queries.registry import (
+    conversations,
+    documents,
+    event_documents,
+    events,
+    lineitem,
+    orders,
+    query,
+)
 from sluicebox.sources.dataset import long_form
 
 FIELDS = ["l_discount", "l_extendedprice", "l_quantity", "l_tax"]
@@ -104,6 +112,28 @@ def conversation_messages(spark: SparkSession, sf: str) -> DataFrame:
     return with_value(ds.df, ds, ["conv_id", "turn"])
 
 
+def _mixed(*members: tuple[str, str]) -> str:
+    return json_sql({"_collection": "'mixed'", "_database": "'warehouse'", "_source": "'mongodb'", **dict(members)})
+
+
+# A message has the members of its own document only; a null that is there stays.
+MIXED = f"""
+    case event_id % 4
+         when 0 then {_mixed(("props", "cast(props as json)"), ("t", NANO.format("ts")))}
+         when 1 then {_mixed(("t", NANO.format("ts")), ("user_id", "user_id"), ("value", NUMBER.format("value")))}
+         when 2 then {_mixed(("note", "null"), ("t", "17"))}
+         else {_mixed(
+             ("deep", """cast('{"a":"<x>","z":[1.5,2000,"1.0E5"]}' as json)"""),
+             ("t", NANO.format("ts")), ("tag", "event_type"))} end
+"""
+
+
+@query(f"select event_id, {MIXED} as value from events")
+def schemaless_messages(spark: SparkSession, sf: str) -> DataFrame:
+    ds = event_documents(spark, sf)
+    return with_value(ds.df, ds, ["event_id"])
+
+
 _LONG = """
     select * from (unpivot (select l_shipdate as "_time", 'lineitem' as "_measurement", l_returnflag,
                                    l_discount, l_extendedprice, l_quantity, l_tax from lineitem)

@@ -12,6 +12,7 @@ from sluicebox.queries.registry import (
     all_tables,
     conversations,
     documents,
+    event_documents,
     events,
     lineitem,
     orders,
@@ -167,6 +168,36 @@ def dataset_detail_without_time(spark: SparkSession, sf: str) -> DataFrame:
     return _flat(profile.dataset_detail(documents(spark, sf)))
 
 
+@query(
+    f"""
+    select cast(null as varchar) as "start", {NANO.format("max(ts) filter (event_id % 4 <> 2)")} as "end",
+           'warehouse' as bucket, 'mixed' as measurement, count(*) as "count", '_source,note,t' as columns,
+           cast(to_json([['own', null, '17'], [null, null, {NANO.format("max(ts) filter (event_id % 4 <> 2)")}]])
+                as varchar) as data
+    from events
+    """
+)
+def schemaless_detail(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents without a time come first, so the columns are theirs; the last document lacks most of them."""
+    return _flat(profile.dataset_detail(event_documents(spark, sf)))
+
+
+@query(
+    f"""
+    with e as (select min(ts) as a, max(ts) as b, count(*) as n from events
+               where event_id % 4 = 3 and event_type = 'view')
+    select {NANO.format("a")} as "start", {NANO.format("b")} as "end", 'warehouse' as bucket,
+           'mixed' as measurement, n as "count", 'deep,t,tag' as columns,
+           cast(to_json([['{{"a":"<x>","z":[1.5,2000,"1.0E5"]}}', {NANO.format("a")}, 'view'],
+                         ['{{"a":"<x>","z":[1.5,2000,"1.0E5"]}}', {NANO.format("b")}, 'view']]) as varchar) as data
+    from e
+    """
+)
+def schemaless_detail_tagged(spark: SparkSession, sf: str) -> DataFrame:
+    """The tag is a member that other documents do not have."""
+    return _flat(profile.dataset_detail(event_documents(spark, sf), tag=("tag", "view")))
+
+
 @query(
     """
     (select 'first' as position, * from events order by ts, event_id limit 1)

@@ -5,8 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from sluicebox.sources.dataset import Dataset, read_collection, read_series
+from sluicebox.functions.times import nano_text
+from sluicebox.sources.dataset import Dataset, documents_of, read_collection, read_series
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -68,6 +70,22 @@ def orders(spark: SparkSession, sf: str, hide_keys: bool = False) -> Dataset:
     )
 
 
+def event_documents(spark: SparkSession, sf: str) -> Dataset:
+    """Events as documents whose keys differ from row to row."""
+    kind = F.col("event_id") % 4
+    time = nano_text(F.col("ts"))
+    own = (
+        F.when(kind == 0, F.concat(F.lit('"props": '), "props"))
+        .when(kind == 1, F.concat(F.lit('"value": '), F.col("value").cast("string"), F.lit(', "user_id": '), "user_id"))
+        .when(kind == 2, F.lit('"_source": "own", "note": null, "t": 17'))
+        .otherwise(F.concat(F.lit('"tag": "'), "event_type", F.lit('", "deep": {"z": [1.50, 2e3, "1.0E5"], "a": "<x>"}')))
+    )
+    stamp = F.when(kind == 2, F.lit("")).otherwise(F.concat(F.lit(', "t": "'), time, F.lit('"')))
+    text = F.concat(F.lit('{"_id": "e'), "event_id", F.lit('"'), stamp, F.lit(", "), own, F.lit("}"))
+    df = spark.read.parquet(f"{sf}/events.parquet").select("event_id", text.alias("doc"))
+    return documents_of(df, database=DATABASE, table="mixed", document="doc", keys=["event_id"], time_member="t")
+
+
 def documents(spark: SparkSession, sf: str) -> Dataset:
     return read_collection(
         spark,

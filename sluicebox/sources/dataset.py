@@ -8,6 +8,7 @@ from dataclasses import dataclass, field, replace
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sluicebox.functions.documents import has_member, member_time
 from sluicebox.functions.times import in_utc
 from sluicebox.operators import filters
 
@@ -17,6 +18,8 @@ COLLECTION = "collection"
 # Physical place of a row in its file: the tie-break of tables without a unique key.
 ROW_FILE = "_row_file"
 ROW_POS = "_row_pos"
+# The time of a document, taken out of its text.
+DOCUMENT_TIME = "_document_time"
 
 
 @dataclass(frozen=True)
@@ -25,7 +28,9 @@ class Dataset:
 
     ``keys`` make the order unique: for a collection they are its id, for a
     series they break ties of ``time``. ``hidden`` columns serve the order only
-    and never reach a message. ``json_columns`` hold JSON text. Zoned timestamps
+    and never reach a message. ``json_columns`` hold JSON text. A collection whose
+    documents differ in their keys has them as text in the column ``document``; then
+    tags and messages are about the members of the documents. Zoned timestamps
     of ``df`` become plain UTC times; ``stored`` is the frame as it was given.
     """
 
@@ -38,6 +43,7 @@ class Dataset:
     hidden: tuple[str, ...] = ()
     series_keys: tuple[str, ...] = ()
     json_columns: tuple[str, ...] = ()
+    document: str | None = None
     stored: DataFrame = field(init=False, repr=False, compare=False)
 
     def __post_init__(self) -> None:
@@ -73,6 +79,8 @@ class Dataset:
             df = in_utc(filters.in_window(self.stored, self.time, *window))
         if self.kind == SERIES:
             df = df.filter(F.col(self.time).isNotNull())
+        if self.document is not None and tag and tag[0] and tag[1] not in (None, ""):
+            return df.filter(has_member(F.col(self.document), tag[0], str(tag[1])))
         return filters.tagged(df, tag, as_text=self.kind == SERIES)
 
     def without_time(self, tag: tuple[str, object] | None = None) -> int:
@@ -144,6 +152,28 @@ def read_collection(
     )
 
 
+def documents_of(
+    df: DataFrame,
+    *,
+    database: str,
+    table: str,
+    document: str,
+    keys: Sequence[str],
+    time_member: str | None = None,
+) -> Dataset:
+    """A collection of JSON texts with key sets of their own, in the order of the columns ``keys``.
+
+    ``time_member`` names the member that holds a document's time.
+    """
+    picked = df.select(*keys, document)
+    hidden = tuple(keys)
+    if time_member is not None:
+        picked = picked.withColumn(DOCUMENT_TIME, member_time(F.col(document), time_member))
+        hidden = (*hidden, DOCUMENT_TIME)
+    time = DOCUMENT_TIME if time_member is not None else None
+    return Dataset(picked, database, table, COLLECTION, time, tuple(keys), hidden, document=document)
+
+
 def measurement_rows(df: DataFrame, column: str, name: str) -> DataFrame:
     """Rows of one measurement out of a table that holds several."""
     return df.filter(F.col(column) == F.lit(name)).drop(column)
