@@ -47,34 +47,15 @@ def number_text(value: Column) -> Column:
     beyond, there is an exponent with its sign. Numbers that are not finite have
     no form in JSON and are quoted.
     """
-    # What is looked up for long numbers stands once in the plan, however often its text is used.
-    text = value.cast("string")
-    return F.when(_may_be_long(value, text), once(shortest_text(value), lambda t: _in_full(t, value))).otherwise(
-        _in_full(text, value)
+    text, size = value.cast("string"), F.abs(value)
+    # Most numbers stand as Spark writes them; the rest goes through one SQL lambda.
+    plain = (F.length(text) <= 16) & (size < 1e7) & ((size >= 1e-3) | (size == 0))
+    whole = F.substr(text, F.lit(1), F.length(text) - 2)
+    return F.when(plain, F.when(text.endswith(".0"), whole).otherwise(text)).otherwise(
+        F.get(F.call_function("transform", F.array(value), F.expr(_NUMBER)), F.lit(0))
     )
 
 
-def _in_full(text: Column, value: Column) -> Column:
-    size = F.abs(value)
-    # Spark writes an exponent outside 1e-3 to 1e7; the decimal types hold every digit of the numbers in between.
-    large = F.regexp_replace(text.try_cast("decimal(38,16)").cast("string"), r"\.?0+$", "")
-    small = F.regexp_replace(text.try_cast("decimal(38,30)").cast("string"), "0+$", "")
-    power = F.regexp_replace(F.regexp_replace(text, r"\.0E|E", "e"), "e([0-9])", "e+$1")
-    return (
-        F.when(F.isnan(value) | (size == float("inf")), F.concat(F.lit('"'), text, F.lit('"')))
-        .when(text.endswith(".0"), F.regexp_replace(text, r"\.0$", ""))
-        .when(~text.contains("E"), text)
-        .when((size >= 1e7) & (size < 1e21), large)
-        .when((size < 1e-3) & (size >= 1e-6), small)
-        .otherwise(power)
-    )
-
-
-def _may_be_long(value: Column, text: Column) -> Column:
-    """Whether a number may have more digits than it needs: over 15, or one with few digits to itself."""
-    return (F.length(text) > 16) | ((value != 0) & (F.abs(value) < LEAST_NORMAL))
-
-
 def shortest_text(value: Column) -> Column:
     """A fractional number as Spark writes it, with as few digits as read back as the same number.
 
@@ -84,18 +65,7 @@ def shortest_text(value: Column) -> Column:
     the fewest digits that read back are taken, and of several the nearest. Numbers
     below the smallest normal one have fewer digits to themselves and are all looked at.
     """
-    text = value.cast("string")
-    digits = F.regexp_replace(text, r"E.*|^-?0*\.?0*|[-.]", "")
-    parts = F.struct(
-        value.cast("double").alias("value"),
-        text.alias("text"),
-        # At most 18 digits are written.
-        digits.try_cast("bigint").alias("whole"),
-        F.length(digits).alias("n"),
-        F.length(F.regexp_extract(text, r"\.([0-9]+)", 1)).alias("scale"),
-        F.regexp_extract(text, "E.*", 0).alias("power"),
-    )
-    return F.when(_may_be_long(value, text), once(parts, _shortest_of)).otherwise(text)
+    return F.get(F.call_function("transform", F.array(value), F.expr(f"v -> {_SHORTEST}")), F.lit(0))
 
 
 def once(value: Column, use: Callable[[Column], Column]) -> Column:
@@ -103,47 +73,78 @@ def once(value: Column, use: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
-def _shortest_of(parts: Column) -> Column:
-    whole, scale = parts["whole"], parts["scale"]
+def _let(name: str, value: str, body: str) -> str:
+    """SQL of ``body`` in which ``name`` is a value that is worked out once."""
+    return f"get(transform(array({value}), {name} -> {body}), 0)"
 
-    def written(number: Column) -> Column:
-        text = number.cast("string")
-        padded = F.lpad(text, F.greatest(scale + 1, F.length(text)), F.lit("0"))
-        mantissa = F.regexp_replace(padded, F.concat(F.lit("^([0-9]+)([0-9]{"), scale, F.lit("})$")), F.lit("$1.$2"))
-        short = F.regexp_replace(F.regexp_replace(mantissa, "0+$", ""), r"\.$", ".0")
-        sign = F.when(parts["value"] < 0, F.lit("-")).otherwise(F.lit(""))
-        # A number rounded up to the next power of ten.
-        raised = F.concat(F.lit("1.0E"), (F.substr(parts["power"], F.lit(2)).try_cast("int") + 1).cast("string"))
-        return F.concat(
-            sign, F.when(short.startswith("10.") & (parts["power"] != ""), raised).otherwise(F.concat(short, parts["power"]))
-        )
 
-    size = F.abs(parts["value"])
-    power = F.coalesce(F.regexp_extract(parts["power"], "E(.*)", 1).try_cast("int"), F.lit(0)) - scale
-    # A number from 2^53 on is whole; in two halves it fits a decimal with all its digits.
-    upper = F.floor(size / 2.0**40)
-    lower = (size - upper.cast("double") * 2.0**40).cast("bigint")
-    exact = upper.cast("decimal(19,0)") * F.lit(2**40).cast("decimal(13,0)") + lower
-    known = (size >= 2.0**53) & (size < 1e30) & (power >= 0)
-
-    def distance(number: Column) -> Column:
-        at = F.concat(number.cast("string"), F.repeat(F.lit("0"), power)).try_cast("decimal(38,0)")
-        apart = F.when(known, F.abs(exact - at)).otherwise(F.abs(whole - number))
-        return F.struct(apart.cast("decimal(38,0)").alias("apart"), number.alias("number"))
-
-    def near(wanted: Column) -> Column:
-        """The nearest of the numbers with so many digits that read back; null if none does."""
-        unit = F.pow(F.lit(10.0), parts["n"] - wanted).cast("bigint")
-        low = whole - whole % unit
-        fits = F.filter(
-            F.array(low - unit, low, low + unit), lambda c: written(c).try_cast("double") == parts["value"]
-        )
-        return F.array_min(F.transform(fits, distance))["number"]
+def _shortest_sql() -> str:
+    """SQL of the shortest text of a number ``v``. As text it is one call, not hundreds.
 
-    least = F.when(size < LEAST_NORMAL, F.lit(1)).otherwise(F.lit(15))
-    lengths = F.filter(F.sequence(least, F.lit(17)), lambda wanted: wanted <= parts["n"])
-    found = F.filter(F.transform(lengths, near), lambda c: c.isNotNull())
-    return F.coalesce(written(F.get(found, F.lit(0))), parts["text"])
+    ``m`` are the digits without sign and point, ``n`` how many, ``scale`` of them
+    behind the point, ``power`` the written exponent and ``place`` that of the last digit.
+    """
+    parts = _let(
+        "t",
+        "cast(v as string)",
+        _let(
+            "d",
+            r"regexp_replace(t, 'E.*|^-?0*\\.?0*|[-.]', '')",
+            r"""named_struct('text', t, 'm', try_cast(d as bigint), 'n', length(d),
+                'scale', length(regexp_extract(t, '\\.([0-9]+)', 1)), 'power', regexp_extract(t, 'E.*', 0),
+                'place', coalesce(try_cast(regexp_extract(t, 'E(.*)', 1) as int), 0)
+                         - length(regexp_extract(t, '\\.([0-9]+)', 1)))""",
+        ),
+    )
+
+    def written(number: str) -> str:
+        padded = f"lpad(cast({number} as string), greatest(p.scale + 1, length(cast({number} as string))), '0')"
+        short = _let(
+            "q",
+            padded,
+            r"""regexp_replace(rtrim('0', concat(substr(q, 1, length(q) - p.scale), '.',
+                substr(q, length(q) - p.scale + 1))), '\\.$', '.0')""",
+        )
+        # A number that is rounded up to the next power of ten has another exponent.
+        raised = "concat('1.0E', cast(try_cast(substr(p.power, 2) as int) + 1 as string))"
+        text = _let("s", short, f"if(startswith(s, '10.') and p.power <> '', {raised}, concat(s, p.power))")
+        return f"concat(if(v < 0, '-', ''), {text})"
+
+    # From 2^53 on a number is whole; in two halves it fits a decimal with all its digits.
+    exact = """cast(floor(abs(v) / 1099511627776D) as decimal(19,0)) * cast(1099511627776L as decimal(13,0))
+        + cast(abs(v) - cast(floor(abs(v) / 1099511627776D) as double) * 1099511627776D as bigint)"""
+    known = "abs(v) >= 9007199254740992D and abs(v) < 1e30D and p.place >= 0"
+    apart = f"""cast(if({known}, abs({exact} - try_cast(concat(cast(c as string), repeat('0', p.place)) as decimal(38,0))),
+        abs(p.m - c)) as decimal(38,0))"""
+    near = _let(
+        "u",
+        "cast(pow(10D, p.n - wanted) as bigint)",
+        f"""array_min(transform(filter(array(p.m - p.m % u - u, p.m - p.m % u, p.m - p.m % u + u),
+            c -> try_cast({written("c")} as double) = v), c -> named_struct('apart', {apart}, 'number', c))).number""",
+    )
+    lengths = f"filter(sequence(if(abs(v) < {LEAST_NORMAL!r}D, 1, 15), 17), wanted -> wanted <= p.n)"
+    best = _let(
+        "best", f"get(filter(transform({lengths}, wanted -> {near}), c -> c is not null), 0)",
+        f"coalesce({written('best')}, p.text)",
+    )
+    may_be_long = f"length(cast(v as string)) > 16 or (v <> 0 and abs(v) < {LEAST_NORMAL!r}D)"
+    return f"if({may_be_long}, {_let('p', parts, best)}, cast(v as string))"
+
+
+_SHORTEST = _shortest_sql()
+# Spark writes an exponent outside 1e-3 to 1e7; the decimal types hold every digit of the numbers in between.
+_NUMBER = "v -> " + _let(
+    "x",
+    _SHORTEST,
+    r"""case when isnan(v) or abs(v) = double('infinity') then concat('"', x, '"')
+        when endswith(x, '.0') then substr(x, 1, length(x) - 2)
+        when not contains(x, 'E') then x
+        when abs(v) >= 1e7D and abs(v) < 1e21D
+            then regexp_replace(cast(try_cast(x as decimal(38,16)) as string), '\\.?0+$', '')
+        when abs(v) < 1e-3D and abs(v) >= 1e-6D
+            then regexp_replace(cast(try_cast(x as decimal(38,30)) as string), '0+$', '')
+        else regexp_replace(regexp_replace(x, '\\.0E|E', 'e'), 'e([0-9])', 'e+$1') end""",
+)
 
 
 def _object(members: Sequence[tuple[str, Column, T.DataType]]) -> Column:
