@@ -72,7 +72,9 @@ class KeyIndex:
     def tasks(self, df: DataFrame) -> int:
         """Tasks for a shuffle by bucket: as many as the rows need, whatever the session's own number."""
         least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        return max(-(-self.total // ROWS_PER_BUCKET), min(least, len(self.counts)), 1)
+        by_size = -(-self.total // ROWS_PER_BUCKET)
+        # Tasks beyond the number of buckets would have nothing to do.
+        return max(min(max(by_size, least), len(self.counts)), 1)
 
     def spread(self, df: DataFrame, *keys: str) -> DataFrame:
         """``df`` with its bucket, dealt by ``keys`` and bucket to as many tasks as there is need for."""
@@ -153,7 +155,7 @@ def build_index(
         raise ValueError(f"{buckets} buckets; an index holds at most {MAX_BUCKETS}")
     if rows is None:
         rows = df.select(*keys).count()
-    wanted = _bucket_count(rows) if buckets is None else buckets
+    wanted = bucket_count(rows) if buckets is None else buckets
     points = _cut_points(df, keys, rows, wanted)
     if not points:
         return KeyIndex(keys, (), (rows,))
@@ -168,7 +170,7 @@ def nulls_first(values: Sequence) -> tuple:
     return tuple((v is not None, v) for v in values)
 
 
-def _bucket_count(rows: int) -> int:
+def bucket_count(rows: int) -> int:
     by_size = -(-rows // ROWS_PER_BUCKET)
     small = min(BASE_BUCKETS, rows // MIN_ROWS_PER_BUCKET)
     return max(1, min(max(by_size, small), MAX_BUCKETS))

@@ -26,6 +26,7 @@ def with_offsets(
     start_offsets: DataFrame,
     out: str = "offset",
     reason: str | None = None,
+    chunks: Sequence[tuple[int, int, int, int]] | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """Number the rows of each ``partition`` in key order from its start offset.
 
@@ -36,17 +37,21 @@ def with_offsets(
     ``assign_jobs``), so that a bucket meets few of them and the chunk table
     stays at about buckets + jobs rows.
 
+    ``chunks`` (``partition, bucket, sent, planned``) spare that scan where they are known.
+
     Rows with a value in the column ``reason`` are counted but not numbered and
     not returned; the second frame then also has ``planned, rejected``.
     """
     spark = df.sparkSession
     placed = index.with_bucket(df)
     good = F.lit(True) if reason is None else F.col(reason).isNull()
-    chunks = placed.groupBy("partition", BUCKET).agg(F.count(F.when(good, 1)).alias("n"), F.count("*").alias("planned"))
+    if chunks is None:
+        counted = placed.groupBy("partition", BUCKET)
+        chunks = counted.agg(F.count(F.when(good, 1)).alias("n"), F.count("*").alias("planned")).collect()
     bases, produced, planned_of = [], {}, {}
     # Bounded, see above: one row per chunk and one per partition.
     starts = dict(start_offsets.select("partition", "offset").collect())
-    for partition, bucket, n, planned in sorted(chunks.collect()):
+    for partition, bucket, n, planned in sorted(map(tuple, chunks)):
         if partition not in starts:
             raise ValueError(f"no start offset for partition {partition}")
         sent = produced.get(partition, 0)

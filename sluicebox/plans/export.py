@@ -10,7 +10,7 @@ import time as clock
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -27,8 +27,8 @@ from sluicebox.operators.offsets import (
     with_offsets,
 )
 from sluicebox.operators.profile import Tag, TimeWindow
+from sluicebox.operators.sketch import cuts_by_sketch, time_sketch
 from sluicebox.operators.split import (
-    OrdinalPlan,
     Plan,
     TimeEnds,
     TimePlan,
@@ -73,6 +73,11 @@ class ExportPlan:
     index: KeyIndex
     ranges: Plan
     partitions: int
+    #: ``partition, bucket, sent, planned`` where the planning has counted them, and what for.
+    chunks: tuple[tuple[int, int, int, int], ...] | None = None
+    nested: bool = False
+    #: Records without a time that the selection would otherwise have, where the planning has seen them.
+    without_time: int | None = None
 
     @property
     def jobs(self) -> int:
@@ -114,17 +119,35 @@ def plan_export(
     window: TimeWindow = None,
     total_mode: str = "full",
     keep_tail: bool = True,
+    nested: bool = False,
 ) -> ExportPlan:
-    """Cut a dataset into ranges: a series by time, a collection by ordinal of its id."""
+    """Cut a dataset into ranges: a series by time, a collection by ordinal of its id.
+
+    A series is planned by a sketch of its time if that will do, which reads it
+    twice; else by its key index. ``nested`` is that of the messages to be made.
+    """
     clash = sorted(set(ds.df.columns) & set(ADDED))
     if clash:
         raise ValueError(f"rename these columns before an export: {clash}")
     rows = ds.selected(tag, window)
     wanted = max(1, align_jobs(jobs, partitions, drop_last))
     if ds.kind == SERIES:
-        ends = time_ends(rows, ds.time)
+        # A window leaves out what has no time; without one the same scan counts it.
+        sketch = time_sketch(rows if window is not None else ds.selected(tag, timeless=True), ds.time)
+        without_time = None if window is not None else sketch.without_time
+        per_job = max(1, sketch.rows // wanted)
+        by_sketch = None
+        if total_mode == "full":
+            by_sketch = cuts_by_sketch(
+                rows, ds.time, ds.order, per_job, sketch, _reason(ds, rows, nested).isNull()
+            )
+        if by_sketch is not None:
+            cut = TimePlan(ds.time, by_sketch.cuts, sketch.first, sketch.last, sketch.rows, per_job, keep_tail)
+            chunks = _by_partition(by_sketch.chunks, len(by_sketch.cuts), keep_tail, partitions)
+            return ExportPlan(ds, rows, by_sketch.index, cut, partitions, chunks, nested, without_time)
+        ends = TimeEnds(sketch.rows, sketch.first, sketch.last)
         index = build_index(rows, ds.order, rows=ends.rows)
-        ranges: TimePlan | OrdinalPlan = plan_by_time(
+        ranges = plan_by_time(
             rows,
             ds.time,
             wanted,
@@ -133,10 +156,20 @@ def plan_export(
             index=index,
             ends=ends,
         )
-    else:
-        index = build_index(rows, ds.order)
-        ranges = plan_by_ordinal(rows, ds.order, wanted, index=index)
-    return ExportPlan(ds, rows, index, ranges, partitions)
+        return ExportPlan(ds, rows, index, ranges, partitions, without_time=without_time)
+    index = build_index(rows, ds.order)
+    return ExportPlan(ds, rows, index, plan_by_ordinal(rows, ds.order, wanted, index=index), partitions)
+
+
+def _by_partition(chunks, cuts: int, keep_tail: bool, partitions: int) -> tuple[tuple[int, int, int, int], ...]:
+    """Counts per job and bucket as counts per partition and bucket."""
+    sums: dict[tuple[int, int], list[int]] = {}
+    for job, bucket, sent, planned in chunks:
+        if job < cuts or keep_tail:
+            own = sums.setdefault((job % partitions, bucket), [0, 0])
+            own[0] += sent
+            own[1] += planned
+    return tuple((*key, *counts) for key, counts in sorted(sums.items()))
 
 
 def build_messages(
@@ -157,7 +190,8 @@ def build_messages(
     ds = plan.ds
     if strategy == "job":
         flagged = _flagged(plan, plan.assigned(), nested)
-        placed, produced = with_offsets(flagged, plan.index, start_offsets, reason="bad_reason")
+        chunks = plan.chunks if nested == plan.nested else None
+        placed, produced = with_offsets(flagged, plan.index, start_offsets, reason="bad_reason", chunks=chunks)
     else:
         placed, produced = _dealt_out(plan, start_offsets, nested)
     return with_value(placed, ds, ["job_id", "partition", "offset"], nested), produced
@@ -165,12 +199,13 @@ def build_messages(
 
 def _flagged(plan: ExportPlan, rows: DataFrame, nested: bool) -> DataFrame:
     """``rows`` with ``bad_reason``. Text is always sendable as a string, so JSON is only checked if nested."""
-    ds = plan.ds
+    return rows.withColumn("bad_reason", _reason(plan.ds, rows, nested))
+
+
+def _reason(ds: Dataset, rows: DataFrame, nested: bool) -> Column:
     if ds.document is not None:
-        reason = document_reason(F.col(ds.document), ds.document)
-    else:
-        reason = reject_reason(rows, ds.json_columns if nested else (), ds.shown)
-    return rows.withColumn("bad_reason", reason)
+        return document_reason(F.col(ds.document), ds.document)
+    return reject_reason(rows, ds.json_columns if nested else (), ds.shown)
 
 
 def rejected_rows(plan: ExportPlan, nested: bool = False) -> DataFrame:
@@ -227,6 +262,7 @@ def export(
         window=window,
         total_mode=total_mode,
         keep_tail=keep_tail,
+        nested=nested,
     )
     base = log.snapshot(spark, topic)
     before = offsets_frame(spark, base.starts(log.partitions))
@@ -256,7 +292,8 @@ def export(
         lines,
     )
     rejects = rejected_rows(plan, nested)
-    accounting = _accounting(plan, produced, total, rejects, ds.without_time(tag))
+    without_time = ds.without_time(tag) if plan.without_time is None else plan.without_time
+    accounting = _accounting(plan, produced, total, rejects, without_time)
     summary = spark.createDataFrame([row], SUMMARY_SCHEMA)
     return ExportResult(summary, audit, growth, run_id, rejects, accounting)
 

@@ -66,10 +66,13 @@ class Dataset:
         self,
         tag: tuple[str, object] | None = None,
         window: tuple[object, object] | None = None,
+        *,
+        timeless: bool = False,
     ) -> DataFrame:
         """The rows with the tag value and inside the half-open time window.
 
-        A record of a series has a time; rows without one are not part of it.
+        A record of a series has a time; rows without one are not part of it and
+        only come along if ``timeless`` asks for them.
         """
         df = self.df
         if window is not None:
@@ -77,7 +80,7 @@ class Dataset:
                 raise ValueError(f"{self.table} has no time column to cut a window from")
             # On the stored column, where the scan can use it; converted afterwards.
             df = in_utc(filters.in_window(self.stored, self.time, *window))
-        if self.kind == SERIES:
+        if self.kind == SERIES and not timeless:
             df = df.filter(F.col(self.time).isNotNull())
         if self.document is not None and tag and tag[0] and tag[1] not in (None, ""):
             return df.filter(has_member(F.col(self.document), tag[0], str(tag[1])))
