@@ -38,6 +38,8 @@ MAX_BUCKETS = 32_768
 OVERSAMPLE = 24
 # Below this many rows a bucket is not worth a task of its own.
 MIN_ROWS_PER_BUCKET = 2_000
+# For looking up ordinals that lie far apart: buckets between two of them, and the least rows of one.
+FINE_PER_ORDINAL, FINE_ROWS = 16, 500
 SAMPLE_SEED = 2011
 # Key ranges put into the scan filter at most; the nearest ones are merged beyond.
 MAX_SCAN_RANGES = 64
@@ -65,9 +67,12 @@ class KeyIndex:
         """Rows before each bucket."""
         return [0, *accumulate(self.counts)][:-1]
 
-    def with_bucket(self, df: DataFrame) -> DataFrame:
-        """Add the bucket of each row; a row equal to a cut point opens its bucket."""
-        return count_points_before(df, self.cut_keys, self.points, BUCKET, inclusive=True)
+    def with_bucket(self, df: DataFrame, compiled: bool = False) -> DataFrame:
+        """Add the bucket of each row; a row equal to a cut point opens its bucket.
+
+        ``compiled`` is for a bucket that no filter looks at.
+        """
+        return count_points_before(df, self.cut_keys, self.points, BUCKET, inclusive=True, compiled=compiled)
 
     def tasks(self, df: DataFrame) -> int:
         """Tasks for a shuffle by bucket: as many as the rows need, whatever the session's own number."""
@@ -78,7 +83,7 @@ class KeyIndex:
 
     def spread(self, df: DataFrame, *keys: str) -> DataFrame:
         """``df`` with its bucket, dealt by ``keys`` and bucket to as many tasks as there is need for."""
-        return self.with_bucket(df).repartition(self.tasks(df), *keys, BUCKET)
+        return self.with_bucket(df, compiled=True).repartition(self.tasks(df), *keys, BUCKET)
 
     def bases(self, df: DataFrame, column: str) -> DataFrame:
         """Bucket → rows before it; at most ``MAX_BUCKETS`` rows."""
@@ -160,11 +165,16 @@ def build_index(
     if not points:
         return KeyIndex(keys, (), (rows,))
     index = KeyIndex(keys, points, ())
-    placed = index.with_bucket(df.select(*index.cut_keys))
+    placed = index.with_bucket(df.select(*index.cut_keys), compiled=True)
     counted = dict(placed.groupBy(BUCKET).count().collect())
     return KeyIndex(keys, points, tuple(counted.get(b, 0) for b in range(len(points) + 1)))
 
 
+def cut_index(df: DataFrame, keys: Sequence[str], rows: int, buckets: int) -> KeyIndex:
+    """The cut points alone, for a caller that counts in its own way; the index has no counts."""
+    return KeyIndex(tuple(keys), _cut_points(in_utc(df), tuple(keys), rows, buckets), ())
+
+
 def nulls_first(values: Sequence) -> tuple:
     """A sort key for rows of values, in Spark's ascending order."""
     return tuple((v is not None, v) for v in values)
@@ -176,6 +186,12 @@ def bucket_count(rows: int) -> int:
     return max(1, min(max(by_size, small), MAX_BUCKETS))
 
 
+def fine_buckets(rows: int, apart: int) -> int:
+    """Buckets for looking up ordinals that lie ``apart`` rows apart: a fraction of that each, where it pays."""
+    wanted = FINE_PER_ORDINAL * rows // apart if apart > MIN_ROWS_PER_BUCKET else 0
+    return max(1, min(max(bucket_count(rows), wanted), max(1, rows // FINE_ROWS), MAX_BUCKETS))
+
+
 def _cut_points(
     df: DataFrame, keys: tuple[str, ...], rows: int, buckets: int
 ) -> tuple[tuple, ...]:
@@ -252,3 +268,22 @@ def ranked_keys(
     upto = in_order.rowsBetween(W.unboundedPreceding, W.currentRow)
     before = F.col("bucket_start") + F.sum("rows").over(upto) - F.col("rows")
     return tied.join(base, BUCKET).select(*keys, before.alias("rows_before"), "rows")
+
+
+def aligned_index(df: DataFrame, index: KeyIndex, multiple: int, buckets: int) -> KeyIndex:
+    """An index of about ``buckets`` buckets that all but the last hold a multiple of ``multiple`` rows.
+
+    Its cut points are whole keys, found in the few buckets of ``index`` that hold
+    them; ``keys`` must be unique.
+    """
+    groups = -(-index.total // multiple)
+    buckets = max(1, min(buckets, groups))
+    starts = sorted({(k * groups // buckets) * multiple for k in range(1, buckets)} - {0})
+    if not starts:
+        return KeyIndex(index.keys, (), (index.total,))
+    ranked = ranked_keys(df, index, starts, unique=True).filter(F.col("rows_before").isin(starts))
+    # One row per bucket.
+    found = {r["rows_before"]: tuple(r)[: len(index.keys)] for r in ranked.collect()}
+    edges = [0, *starts, index.total]
+    counts = tuple(b - a for a, b in zip(edges, edges[1:], strict=False))
+    return KeyIndex(index.keys, tuple(found[s] for s in starts), counts)

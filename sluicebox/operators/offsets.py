@@ -43,7 +43,7 @@ def with_offsets(
     not returned; the second frame then also has ``planned, rejected``.
     """
     spark = df.sparkSession
-    placed = index.with_bucket(df)
+    placed = index.with_bucket(df, compiled=True)
     good = F.lit(True) if reason is None else F.col(reason).isNull()
     if chunks is None:
         counted = placed.groupBy("partition", BUCKET)

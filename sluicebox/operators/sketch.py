@@ -112,7 +112,8 @@ def cuts_by_sketch(
         b for b in range(len(points) + 1) if any(b and points[b - 1] < high and points[b - 1] >= low for low, high in brackets)
     ]
     index = KeyIndex(keys, tuple((p,) for p in points), ())
-    placed = index.with_bucket(in_utc(df).filter(F.col(time).isNotNull()).select(time, good.alias("good")))
+    picked = in_utc(df).filter(F.col(time).isNotNull()).select(time, good.alias("good"))
+    placed = index.with_bucket(picked, compiled=True)
     cell = F.when(F.col(BUCKET).isin(narrow), F.col(time))
     counted = placed.groupBy(BUCKET, cell.alias("t")).agg(
         F.count("*").alias("planned"), F.count(F.when(F.col("good"), 1)).alias("sent")

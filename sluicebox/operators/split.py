@@ -25,9 +25,12 @@ from sluicebox.functions.times import cut_to_ms, exact_literal, in_utc
 from sluicebox.operators.filters import in_window
 from sluicebox.operators.keyindex import (
     BUCKET,
+    MAX_BUCKETS,
     KeyIndex,
     build_index,
+    fine_buckets,
     ranked_keys,
+    rows_in_buckets,
     with_ordinal,
 )
 from sluicebox.tables import small_table
@@ -78,7 +81,10 @@ class TimePlan:
         """Add ``job_id``: the number of cuts before the row's time."""
         points = [(c,) for c in self.cuts]
         timed = in_utc(df).filter(F.col(self.time).isNotNull())
-        placed = count_points_before(timed, [self.time], points, "job_id", inclusive=False)
+        # Rows after the last cut are taken out by a filter on the job.
+        placed = count_points_before(
+            timed, [self.time], points, "job_id", inclusive=False, compiled=self.keep_tail
+        )
         if not self.keep_tail:
             placed = placed.filter(F.col("job_id") < len(self.cuts))
         return placed
@@ -98,7 +104,7 @@ class OrdinalPlan:
 
     def assign(self, df: DataFrame) -> DataFrame:
         """Add ``job_id``: the number of later jobs that start at or before the row."""
-        return count_points_before(in_utc(df), self.keys, self.starts, "job_id", inclusive=True)
+        return count_points_before(in_utc(df), self.keys, self.starts, "job_id", inclusive=True, compiled=True)
 
 
 Plan = TimePlan | OrdinalPlan
@@ -243,10 +249,21 @@ def round_robin(
 
 
 def every_nth(df: DataFrame, keys: Sequence[str], n: int, out: str = "rn") -> DataFrame:
-    """Every n-th row in the order of ``keys``, with its 1-based number."""
+    """Every n-th row in the order of ``keys``, with its 1-based number.
+
+    Only the buckets that hold one are numbered. Buckets are chosen small beside
+    ``n``, so that for a large ``n`` these are few; other rows are not shuffled.
+    """
     if n < 1:
         raise ValueError("n must be at least 1")
-    return with_ordinal(df, keys, out=out).filter(F.col(out) % n == 0)
+    df = in_utc(df)
+    index = build_index(df, keys, buckets=fine_buckets(df.select(*keys).count(), n))
+    wanted = [k * n - 1 for k in range(1, index.total // n + 1)] if n > index.total // MAX_BUCKETS else None
+    held = index.buckets_of(wanted) if wanted is not None else range(len(index.counts))
+    if not held:
+        return df.withColumn(out, F.lit(0).cast("bigint")).filter(F.lit(False))
+    near = df if len(held) == len(index.counts) else rows_in_buckets(df, index, held).drop(BUCKET)
+    return with_ordinal(near, keys, out=out, index=index).filter(F.col(out) % n == 0)
 
 
 def ordinal_slice(

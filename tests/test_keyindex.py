@@ -8,12 +8,13 @@ from decimal import Decimal
 import pytest
 from pyspark.sql import functions as F
 
+from sluicebox import batch_records
 from sluicebox.functions.search import MAX_POINTS, count_points_before
-from sluicebox.operators import keyindex
-from sluicebox.operators.keyindex import build_index, ranked_keys, with_ordinal
+from sluicebox.operators import keyindex, series, split
+from sluicebox.operators.keyindex import aligned_index, build_index, ranked_keys, with_ordinal
 from sluicebox.operators.series import series_boundaries, with_series_ordinal
 from sluicebox.operators.split import every_nth, ordinal_slice
-from tests.conftest import plan_text
+from tests.conftest import plan_text, timed
 
 
 @pytest.fixture(autouse=True)
@@ -210,3 +211,86 @@ def test_slices_of_a_frame_whose_key_is_mostly_null(spark):
     for start, stop in ((0, 1000), (0, 3), (100, 700), (799, 801), (790, 1000)):
         got = ordinal_slice(df, ["tag", "o"], start, stop, index=index).collect()
         assert sorted(map(tuple, got), key=keyindex.nulls_first) == whole[start:stop]
+
+
+def exchanges(df):
+    return plan_text(df).count("Exchange hashpartitioning") + plan_text(df).count("Exchange rangepartitioning")
+
+
+def test_batches_need_one_exchange(spark):
+    df = spark.range(5000).select((F.col("id") * 7 % 5000).alias("k"), F.col("id").alias("v"))
+    batches = batch_records(df, ["k"], 9, index=build_index(df, ["k"], buckets=16))
+    assert exchanges(batches) == 1
+    got = batches.orderBy("batch_id").collect()
+    assert [r["batch_id"] for r in got] == list(range(556)) and got[-1]["n"] == 5
+    assert [r["k"] for b in got for r in b["records"]] == list(range(5000))
+
+
+@pytest.mark.parametrize(("rows", "size", "buckets"), [(1, 1, 4), (10, 3, 4), (10, 100, 4), (1000, 1, 8), (1000, 7, 1), (0, 5, 3)])
+def test_aligned_buckets_hold_whole_batches(spark, rows, size, buckets):
+    df = spark.range(rows).select(F.col("id").alias("k"))
+    index = aligned_index(df, build_index(df, ["k"], buckets=5), size, buckets)
+    assert index.total == rows and all(n % size == 0 for n in index.counts[:-1])
+    assert len(index.counts) <= buckets and len(index.points) == len(index.counts) - 1
+
+
+@pytest.mark.parametrize("n", [1, 3, 700, 2400, 9999, 10000, 10001])
+def test_every_nth_at_any_distance(spark, n, monkeypatch):
+    monkeypatch.setattr(keyindex, "MIN_ROWS_PER_BUCKET", 500)
+    df = spark.range(10_000).select((F.col("id") * 77 % 10_000).alias("k"), F.lit("x").alias("v"))
+    got = every_nth(df, ["k"], n).orderBy("rn").collect()
+    assert [(r["k"], r["v"], r["rn"]) for r in got] == [(r - 1, "x", r) for r in range(n, 10_001, n)]
+
+
+def test_only_buckets_with_a_boundary_are_numbered(spark, monkeypatch):
+    monkeypatch.setattr(keyindex, "MIN_ROWS_PER_BUCKET", 500)
+    seen = []
+    real = split.with_ordinal
+    monkeypatch.setattr(split, "with_ordinal", lambda df, *a, **k: seen.append(df.count()) or real(df, *a, **k))
+    assert every_nth(spark.range(40_000), ["id"], 10_000).count() == 4
+    assert seen[0] < 5_000
+
+
+@pytest.mark.parametrize("n", [2, 50, 600, 5000])
+def test_boundaries_of_a_hot_series_and_of_small_ones(spark, monkeypatch, n):
+    monkeypatch.setattr(keyindex, "MIN_ROWS_PER_BUCKET", 40)
+    df = timed(spark, range(6000)).withColumn("s", F.when(F.col("id") % 3 > 0, F.lit("hot")).when(F.col("id") % 6 == 0, None).otherwise(F.pmod("id", F.lit(40)).cast("string")))
+    got = {(r["s"], r["job_id"]): (r["start_ts"], r["end_ts"]) for r in series_boundaries(df, ["s"], "ts", ["ts", "id"], n).collect()}
+    want = {}
+    by = {}
+    for r in df.orderBy("ts").collect():
+        by.setdefault(r["s"], []).append(r["ts"])
+    for s, times in by.items():
+        cuts = times[n - 1 :: n]
+        want.update({(s, k): (cuts[k - 1] if k else None, t) for k, t in enumerate(cuts)})
+    assert got == want
+
+
+def test_pairs_beyond_the_broadcast(spark, monkeypatch):
+    df = timed(spark, range(300)).withColumn("s", F.col("id") % 2)
+    want = series_boundaries(df, ["s"], "ts", ["ts", "id"], 20).collect()
+    monkeypatch.setattr(series, "BROADCAST_PAIRS", 0)
+    assert sorted(series_boundaries(df, ["s"], "ts", ["ts", "id"], 20).collect()) == sorted(want)
+
+
+@pytest.mark.parametrize("inclusive", [True, False])
+@pytest.mark.parametrize("n", [1, 2, 3, 15, 16, 17, 255, 1000, 1023, 1024, 2000])
+def test_trees_find_what_the_fold_finds(spark, n, inclusive):
+    rng = random.Random(n)
+    points = sorted({(rng.randrange(5 * n),) for _ in range(n)})
+    values = [rng.randrange(-2, 5 * n + 2) for _ in range(200)] + [p for p, in points[:50]] + [None]
+    df = spark.createDataFrame([(v,) for v in values], "k int")
+    got = count_points_before(df, ["k"], points, "b", inclusive=inclusive, compiled=True).collect()
+    find = bisect_right if inclusive else bisect_left
+    flat = [p for p, in points]
+    assert [r["b"] for r in got] == [0 if v is None else find(flat, v) for v in values]
+
+
+@pytest.mark.parametrize("n", [1, 7, 40, 63, 200])
+def test_trees_over_two_keys(spark, n):
+    rng = random.Random(n)
+    points = sorted({(rng.randrange(9), rng.randrange(40)) for _ in range(n)})
+    values = [(rng.randrange(-1, 10), rng.randrange(-1, 41)) for _ in range(300)] + points
+    df = spark.createDataFrame(values, "a int, b int")
+    got = count_points_before(df, ["a", "b"], points, "n", inclusive=True, compiled=True).collect()
+    assert [r["n"] for r in got] == [bisect_right(points, v) for v in values]
