@@ -25,7 +25,7 @@ stay as they are in ``without_repeated_lines`` and are not read elsewhere.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import cache
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -36,12 +36,19 @@ from sluicebox.llm.common import map_rows, tasks_for, written
 
 DISTANCE = 2
 LEAST_CHARS = 20
+#: Stands for a null id, before all others.
+NO_ID = -(1 << 63)
 #: A short line of nothing else is blank.
 BLANKS = " \t\n\v\f\r"
 #: Candidate ids are broadcast up to this many (16 bytes each), joined by a shuffle beyond.
 BROADCAST_IDS = 1_000_000
 #: Lines of one side that a task compares at most with as many of the other, for one segment.
 CELL_LINES = 2048
+#: Lengths of lines whose cuts a worker remembers.
+CACHED_LENGTHS = 4096
+#: Rounds against the earliest open line of a segment go on while the open pairs are more than
+#: this many per row, and while a round settles at least one of so many open lines.
+PAIRS_PER_ROW, LEAST_SETTLED = 8, 16
 #: Rows of a batch that goes on to the next step.
 BATCH_ROWS = 8192
 
@@ -85,25 +92,24 @@ def places(length: int, other: int, distance: int) -> Iterator[tuple[int, int, i
             yield k, at, size
 
 
-@cache
+@lru_cache(maxsize=CACHED_LENGTHS)
 def cuts(length: int, distance: int, least_chars: int) -> tuple[tuple[bool, int, int, int], ...]:
-    """``filed, seed, from, to`` of all substrings that a line of ``length`` files and looks up.
+    """``filed, seed, from, to`` of all substrings that a line of ``length`` files or looks up, each once.
 
     Places are in bytes of four per character; the seed of a substring's hash
-    tells apart lengths of lines and segments.
+    tells apart lengths of lines and segments. What a line files it looks up too,
+    among lines of its own length.
     """
-    out = [
-        (True, length * (distance + 1) + k, 4 * at, 4 * (at + size))
-        for k, (at, size) in enumerate(segments(length, distance))
-    ]
-    for other in range(max(least_chars, length - distance), length + 1):
-        out += [
-            (False, other * (distance + 1) + k, 4 * at, 4 * (at + size)) for k, at, size in places(length, other, distance)
-        ]
-    return tuple(out)
-
-
-@cache
+    own = {(length * (distance + 1) + k, 4 * at, 4 * (at + size)) for k, (at, size) in enumerate(segments(length, distance))}
+    tried = {
+        (other * (distance + 1) + k, 4 * at, 4 * (at + size))
+        for other in range(max(least_chars, length - distance), length + 1)
+        for k, at, size in places(length, other, distance)
+    }
+    return tuple((cut in own, *cut) for cut in sorted(own | tried))
+
+
+@lru_cache(maxsize=CACHED_LENGTHS)
 def are_filed(length: int, distance: int, least_chars: int) -> np.ndarray:
     """Which of the ``cuts`` are filed."""
     return np.array([filed for filed, *_ in cuts(length, distance, least_chars)])
@@ -222,105 +228,142 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("bigint"), F.xxhash64("text").alias("text_hash"), "text")
 
 
-def candidates(docs: DataFrame, distance: int = DISTANCE, least_chars: int = LEAST_CHARS) -> DataFrame:
-    """``a, b`` (first halves of line ids, ``a < b``): lines that share a segment and fit in parity."""
+def segment_rows(docs: DataFrame, distance: int = DISTANCE, least_chars: int = LEAST_CHARS) -> DataFrame:
+    """``key, filed, id, odd, doc`` of each line and each of its cuts.
+
+    ``id`` is the first half of the line's hash, ``odd`` its parity and ``doc`` the
+    smallest id of a document that has it (null: below all).
+    """
     if least_chars <= distance:
         raise ValueError("a line must be longer than the distance")
 
     def run(batches):
         from xxhash import xxh3_64_intdigest as digest
 
-        seen: set[int] = set()
+        seen: dict[int, int] = {}
         keys: list[int] = []
-        lines: list[tuple[int, int, np.ndarray]] = []
+        lines: list[tuple[int, int, int, np.ndarray]] = []
 
         def out() -> pa.RecordBatch:
-            ids, odds, filed = zip(*lines, strict=True)
+            ids, odds, doc_ids, filed = zip(*lines, strict=True)
             n = [len(f) for f in filed]
             made = pa.RecordBatch.from_arrays(
                 [
                     pa.array(np.array(keys, np.uint64).view(np.int64)),
                     pa.array(np.concatenate(filed)),
-                    pa.array(np.repeat(np.array(ids, np.int64), n)),
-                    pa.array(np.repeat(np.array(odds, np.int64), n)),
+                    *[pa.array(np.repeat(np.array(v, np.int64), n)) for v in (ids, odds, doc_ids)],
                 ],
-                names=["key", "filed", "id", "odd"],
+                names=["key", "filed", "id", "odd", "doc"],
             )
             keys.clear(), lines.clear()
             return made
 
         for row in _rows(batches):
+            doc = NO_ID if row["doc_id"] is None else row["doc_id"]
             for _, line in _lines(row, least_chars):
                 own = line_ids(line)[0]
-                if own in seen:
+                if seen.get(own, doc + 1) <= doc:
                     continue
                 # Only spares work: repeats from other tasks are grouped away below.
-                if len(seen) >= 500_000:
+                if len(seen) >= 200_000:
                     seen.clear()
-                seen.add(own)
+                seen[own] = doc
                 codes = line.encode("utf-32-le", "replace")
                 keys += [digest(codes[a:b], seed) for _, seed, a, b in cuts(len(line), distance, least_chars)]
-                lines.append((own, parity(line), are_filed(len(line), distance, least_chars)))
+                lines.append((own, parity(line), doc, are_filed(len(line), distance, least_chars)))
                 if len(keys) >= BATCH_ROWS:
                     yield out()
         if lines:
             yield out()
 
-    rows = docs.select("text").mapInArrow(run, "key bigint, filed boolean, id bigint, odd bigint")
-    return _sharing(rows.filter("key IS NOT NULL AND id IS NOT NULL"), distance, tasks_for(docs))
+    slim = docs.select(F.col("doc_id").cast("bigint"), "text")
+    return slim.mapInArrow(run, "key bigint, filed boolean, id bigint, odd bigint, doc bigint")
 
 
-def _sharing(rows: DataFrame, distance: int, tasks: int, cell: int = CELL_LINES) -> DataFrame:
-    """``a, b`` of the lines that meet in a key of ``rows`` (``key, filed, id, odd``) and fit in parity.
+def shared_keys(rows: DataFrame, tasks: int) -> DataFrame:
+    """``key, filed, id, odd, doc, first, first_odd, only``: lines of ``segment_rows`` that meet others in a key.
 
-    A key with more than ``cell`` times ``cell`` pairs is cut into a grid: each
-    side is dealt into parts of about ``cell`` lines, each part of one meets each
-    of the other in a place of its own, and places are spread over all tasks.
+    ``first`` is the earliest line that is filed there; ``only`` if every pair of
+    the key is a pair with it, as it is the only one filed or has one partner.
     """
-    # Dealt by key once: whether a line is filed or looks up comes out of an aggregate, so no
-    # filter goes below the exchange and all that follows reads the same one.
+    # Dealt by key once; all that follows reads the same exchange. The filter stays above it.
     rows = (
         rows.repartition(tasks, "key")
         .groupBy("key", "id")
-        .agg(F.max("filed").alias("filed"), F.min("filed").alias("only_filed"), F.max("odd").alias("odd"))
+        .agg(F.max("filed").alias("filed"), F.max("odd").alias("odd"), F.min("doc").alias("doc"))
     )
-    filed = rows.filter("filed").select("key", F.col("id").alias("f"), F.col("odd").alias("f_odd"))
-    probes = rows.filter("not only_filed").select("key", F.col("id").alias("p"), F.col("odd").alias("p_odd"))
-    counts = rows.groupBy("key").agg(
+    by_key = rows.groupBy("key").agg(
+        F.min(F.when(F.col("filed"), F.struct("doc", "id", "odd"))).alias("e"),
         F.count(F.when(F.col("filed"), 1)).alias("n_filed"),
-        F.count(F.when(~F.col("only_filed"), 1)).alias("n_probes"),
-        # Only keeps the column, and with it the exchange, as the others have it.
-        F.max("odd").alias("odd"),
+        F.count("*").alias("n"),
     )
-    parts = [F.ceil(F.col(n) / cell).cast("int").alias(s) for n, s in (("n_filed", "rows"), ("n_probes", "columns"))]
-    # A key is in it for thousands of rows at least, so it is small enough to broadcast.
-    hot = F.broadcast(
-        counts.filter((F.col("n_filed") * F.col("n_probes") > cell * cell) & F.col("odd").isNotNull()).select("key", *parts)
+    several = by_key.filter("n > 1 AND n_filed > 0").select(
+        "key", F.col("e.id").alias("first"), F.col("e.odd").alias("first_odd"), ((F.col("n_filed") == 1) | (F.col("n") == 2)).alias("only")
     )
+    return rows.join(several, "key")
+
+
+def _fits(a: str, b: str, distance: int) -> Column:
+    return F.bit_count(F.col(a).bitwiseXOR(F.col(b))) <= 2 * distance
+
+
+def _pairs(a: Column, b: Column) -> list[Column]:
+    return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
+
+
+def with_first(shared: DataFrame, distance: int) -> DataFrame:
+    """``a, b`` (``a < b``): each line with the first one of each of its keys."""
+    fit = shared.filter((F.col("id") != F.col("first")) & _fits("odd", "first_odd", distance))
+    return fit.select(*_pairs(F.col("id"), F.col("first"))).distinct()
+
+
+def open_pairs(shared: DataFrame, open_lines: DataFrame, distance: int, tasks: int, cell: int = CELL_LINES) -> DataFrame:
+    """``a, b``: each of ``open_lines`` (``id``) with the lines of its keys that may stand earlier, without the firsts.
+
+    A key with more than ``cell`` times ``cell`` pairs is cut into a grid: each
+    side is dealt into parts of about ``cell`` lines, each part of one meets each
+    of the other in a place of its own, and places are spread over all tasks.
+    """
+    rest = shared.filter((F.col("id") != F.col("first")) & ~F.col("only"))
+    others = rest.select("key", *[F.col(c).alias(f"f_{c}") for c in ("id", "odd", "doc", "filed")])
+    asking = rest.join(open_lines, "id", "left_semi")
+    counts = (
+        rest.groupBy("key").agg(F.count("*").alias("n_rows"))
+        .join(asking.groupBy("key").agg(F.count("*").alias("n_open")), "key")
+    )
+    parts = [F.ceil(F.col(n) / cell).cast("int").alias(s) for n, s in (("n_rows", "rows"), ("n_open", "columns"))]
+    hot = counts.filter(F.col("n_rows") * F.col("n_open") > cell * cell).select("key", *parts)
+    asking = asking.select("key", *[F.col(c).alias(f"p_{c}") for c in ("id", "odd", "doc", "filed")])
 
     def place(side: str, own: str, other: str) -> list[Column]:
         part = F.pmod(F.xxhash64(side), F.col(own)).cast("int").alias(f"own_{own}")
-        return [part, F.explode(F.sequence(F.lit(0), F.col(other) - 1)).alias(f"own_{other}")]
+        return ["*", part, F.explode(F.sequence(F.lit(0), F.col(other) - 1)).alias(f"own_{other}")]
 
-    hot_filed = filed.join(hot, "key").select("key", "f", "f_odd", *place("f", "rows", "columns"))
-    hot_probes = probes.join(hot, "key").select("key", "p", "p_odd", *place("p", "columns", "rows"))
     grid = ["key", "own_rows", "own_columns"]
-    wide = [hot_filed.repartition(tasks, *grid), hot_probes.repartition(tasks, *grid)]
-    cold = probes.join(hot, "key", "left_anti").join(filed, "key")
-    fits = F.bit_count(F.col("f_odd").bitwiseXOR(F.col("p_odd"))) <= 2 * distance
-    return (
-        cold.select("f", "f_odd", "p", "p_odd")
-        .unionByName(wide[1].join(wide[0], grid).select("f", "f_odd", "p", "p_odd"))
-        .filter((F.col("f") != F.col("p")) & fits)
-        .select(F.least("f", "p").alias("a"), F.greatest("f", "p").alias("b"))
-        .distinct()
+    wide = others.join(hot, "key").select(*place("f_id", "rows", "columns")).drop("rows", "columns")
+    tall = asking.join(hot, "key").select(*place("p_id", "columns", "rows")).drop("rows", "columns")
+    hot_pairs = tall.repartition(tasks, *grid).join(wide.repartition(tasks, *grid), grid).drop(*grid)
+    cold_pairs = asking.join(hot, "key", "left_anti").join(others, "key").drop("key")
+    wanted = (F.col("f_id") != F.col("p_id")) & (F.col("f_doc") <= F.col("p_doc")) & (F.col("f_filed") | F.col("p_filed"))
+    both = cold_pairs.unionByName(hot_pairs).filter(wanted & _fits("f_odd", "p_odd", distance))
+    return both.select(*_pairs(F.col("f_id"), F.col("p_id"))).distinct()
+
+
+def next_round(shared: DataFrame, open_lines: DataFrame) -> DataFrame:
+    """The open lines of ``shared``, each key with the earliest open line that was not its first before."""
+    rest = shared.filter((F.col("id") != F.col("first")) & ~F.col("only")).join(open_lines, "id", "left_semi")
+    rest = rest.drop("first", "first_odd", "only")
+    by_key = rest.groupBy("key").agg(
+        F.min(F.when(F.col("filed"), F.struct("doc", "id", "odd"))).alias("e"), F.count("*").alias("n")
+    )
+    several = by_key.filter("n > 1 AND e IS NOT NULL").select(
+        "key", F.col("e.id").alias("first"), F.col("e.odd").alias("first_odd"), F.lit(False).alias("only")
     )
+    return rest.join(several, "key")
 
 
-def near_lines(docs: DataFrame, distance: int = DISTANCE, least_chars: int = LEAST_CHARS) -> DataFrame:
-    """``a1, a2, b1, b2, edits``: every pair of distinct lines at most ``distance`` edits apart."""
-    pairs = written(candidates(docs, distance, least_chars), "line-candidates")
-    wanted = pairs.select(F.col("a").alias("h1")).union(pairs.select(F.col("b"))).distinct()
+def _texts(docs: DataFrame, wanted: DataFrame, firsts: DataFrame, least_chars: int) -> DataFrame:
+    """``h1, h2, line, first`` of the lines whose ``h1`` is in ``wanted``."""
     small = wanted.count() <= BROADCAST_IDS
 
     def make():
@@ -332,23 +375,68 @@ def near_lines(docs: DataFrame, distance: int = DISTANCE, least_chars: int = LEA
         return each
 
     lines = map_rows(docs.select("text"), make, "h1 bigint, h2 bigint, line string", 1024)
-    lines = lines.join(F.broadcast(wanted) if small else wanted, "h1", "left_semi")
-    lines = written(lines.dropDuplicates(["h1", "h2"]), "candidate-lines")
+    lines = lines.join(F.broadcast(wanted) if small else wanted, "h1", "left_semi").dropDuplicates(["h1", "h2"])
+    return written(lines.join(firsts, ["h1", "h2"]), "candidate-lines")
+
+
+def _late(pairs: DataFrame, lines: DataFrame, distance: int) -> DataFrame:
+    """``h1, h2``: the later line of each of ``pairs`` that is at most ``distance`` edits long."""
 
     def side(name: str) -> DataFrame:
-        return lines.select(F.col("h1").alias(name), F.col("h2").alias(f"{name}2"), F.col("line").alias(f"{name}_line"))
+        return lines.select(*[F.col(c).alias(n) for c, n in (("h1", name), ("h2", f"{name}2"))], *[
+            F.col(c).alias(f"{name}_{c}") for c in ("line", "first")
+        ])
 
     both = pairs.join(side("a"), "a").join(side("b"), "b")
+    both = both.withColumn("later", F.col("a_first") > F.col("b_first")).drop("a_first", "b_first")
 
     def check():
         def each(row):
-            edits = within(row["a_line"], row["b_line"], distance)
-            if edits is not None:
-                yield row["a"], row["a2"], row["b"], row["b2"], edits
+            if within(row["a_line"], row["b_line"], distance) is not None:
+                yield (row["a"], row["a2"]) if row["later"] else (row["b"], row["b2"])
 
         return each
 
-    return map_rows(both, check, "a1 bigint, a2 bigint, b1 bigint, b2 bigint, edits int", 4096)
+    return map_rows(both, check, "h1 bigint, h2 bigint", 4096).distinct()
+
+
+def late_lines(
+    docs: DataFrame, firsts: DataFrame, distance: int = DISTANCE, least_chars: int = LEAST_CHARS, cell: int = CELL_LINES
+) -> DataFrame:
+    """``h1, h2`` of every line with a near one whose ``first`` place is earlier.
+
+    A line only has to know whether there is one. So it is compared with the
+    earliest line of each of its keys first, which is one pair per row and settles
+    most of a group of near lines; further rounds do so among the lines that are
+    open still, while that settles many. The last round asks for the open lines
+    alone, against all earlier lines of their keys, open or not: nothing is lost.
+    """
+    tasks = tasks_for(docs)
+    shared = written(shared_keys(segment_rows(docs, distance, least_chars), tasks), "line-keys")
+    pairs = written(with_first(shared, distance), "line-pairs")
+    rest = shared.filter("NOT only")
+    wanted = pairs.select(F.col("a").alias("h1")).union(pairs.select("b")).union(rest.select("id")).distinct()
+    lines = _texts(docs, wanted, firsts, least_chars)
+    late = written(_late(pairs, lines, distance), "line-late")
+    every, asked, before = late, shared, None
+    rows = rest.count()
+    while True:
+        open_lines = rest.select("id").distinct().join(every.select(F.col("h1").alias("id")), "id", "left_anti")
+        open_lines = written(open_lines, "line-open")
+        n_open = open_lines.count()
+        if n_open == 0:
+            return every
+        per_key = rest.groupBy("key").agg(F.count("*").alias("n"))
+        open_per_key = rest.join(open_lines, "id", "left_semi").groupBy("key").agg(F.count("*").alias("m"))
+        left = per_key.join(open_per_key, "key").agg(F.sum(F.col("n").cast("double") * F.col("m"))).first()[0] or 0
+        if left <= PAIRS_PER_ROW * rows or before is not None and (before - n_open) * LEAST_SETTLED < before:
+            break
+        before = n_open
+        asked = written(next_round(asked, open_lines), "line-keys")
+        late = written(_late(with_first(asked, distance), lines, distance), "line-late")
+        every = every.union(late).distinct()
+    last = written(open_pairs(shared, open_lines, distance, tasks, cell), "line-pairs")
+    return every.union(_late(last, lines, distance)).distinct()
 
 
 def repeated_lines(
@@ -358,20 +446,7 @@ def repeated_lines(
     found = written(occurrences(docs, least_chars, short_equal), "line-occurrences")
     place = F.struct("doc_id", "text_hash", "line_no")
     firsts = written(found.groupBy("h1", "h2").agg(F.min(place).alias("first")), "line-firsts")
-    links = written(near_lines(docs, distance, least_chars), "line-links")
-    both = links.select("a1", "a2", "b1", "b2").unionByName(
-        links.select(F.col("b1").alias("a1"), F.col("b2").alias("a2"), F.col("a1").alias("b1"), F.col("a2").alias("b2"))
-    )
-    mine = firsts.select(F.col("h1").alias("a1"), F.col("h2").alias("a2"), F.col("first").alias("mine"))
-    other = firsts.select(F.col("h1").alias("b1"), F.col("h2").alias("b2"), F.col("first").alias("other"))
-    late = (
-        both.join(mine, ["a1", "a2"])
-        .join(other, ["b1", "b2"])
-        .groupBy("a1", "a2", "mine")
-        .agg(F.min("other").alias("other"))
-        .filter("other < mine")
-        .select(F.col("a1").alias("h1"), F.col("a2").alias("h2"), F.lit(True).alias("late"))
-    )
+    late = written(late_lines(docs, firsts, distance, least_chars), "line-late").withColumn("late", F.lit(True))
     state = firsts.join(late, ["h1", "h2"], "left")
     joined = found.join(state, ["h1", "h2"]).withColumn("is_first", place.eqNullSafe(F.col("first")))
     return joined.filter("late or not is_first").select(
@@ -387,20 +462,6 @@ def _removed(docs: DataFrame, distance: int, least_chars: int, short_equal: bool
     )
 
 
-def _with_removed(docs: DataFrame, removed: DataFrame) -> DataFrame:
-    """``docs`` (with ``doc_id`` and ``text``) with the columns of ``removed``, empty where there are none."""
-    gone = removed.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), "removed", "n_near")
-    # A null text has the hash of nothing; both keys may be null, so equality is null-safe.
-    same = docs["doc_id"].cast("bigint").eqNullSafe(gone["_id"]) & (F.xxhash64(docs["text"]) == gone["_hash"])
-    joined = docs.join(gone, same, "left").drop("_id", "_hash")
-    return joined.withColumns(
-        {
-            "removed": F.coalesce("removed", F.array().cast("array<int>")),
-            "n_near": F.coalesce("n_near", F.lit(0).cast("bigint")),
-        }
-    )
-
-
 def line_report(
     docs: DataFrame, distance: int = DISTANCE, least_chars: int = LEAST_CHARS, short_equal: bool = False
 ) -> DataFrame:
@@ -425,11 +486,19 @@ def without_repeated_lines(
     docs: DataFrame, distance: int = DISTANCE, least_chars: int = LEAST_CHARS, short_equal: bool = False
 ) -> DataFrame:
     """``docs`` with the repeated lines taken out of ``text``; every row stays, maybe with an empty text."""
-    columns = docs.columns
-    slim = docs.select("doc_id", "text")
-    joined = _with_removed(docs, _removed(slim, distance, least_chars, short_equal))
+    # The row travels as one value, so no column of it can be taken for another.
+    rows = docs.select(
+        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"),
+        F.col("doc_id").cast("bigint").alias("own_id"),
+        F.xxhash64("text").alias("own_hash"),
+    )
+    gone = _removed(docs.select("doc_id", "text"), distance, least_chars, short_equal)
+    # A null text has the hash of nothing; both keys may be null, so equality is null-safe.
+    same = F.col("own_id").eqNullSafe(F.col("doc_id")) & (F.col("own_hash") == F.col("text_hash"))
+    joined = rows.join(gone.select("doc_id", "text_hash", "removed"), same, "left")
     kept = F.expr(
-        "array_join(transform(filter(transform(split(text, '\\n'), (x, i) -> named_struct('x', x, 'i', i)), "
+        "array_join(transform(filter(transform(split(row.text, '\\n'), (x, i) -> named_struct('x', x, 'i', i)), "
         "y -> NOT array_contains(removed, y.i)), y -> y.x), '\\n')"
     )
-    return joined.withColumn("text", F.when(F.size("removed") > 0, kept).otherwise(F.col("text"))).select(*columns)
+    text = F.when(F.size("removed") > 0, kept).otherwise(F.col("row.text"))
+    return joined.select(*[(text if c.lower() == "text" else F.col(f"row.`{c}`")).alias(c) for c in docs.columns])

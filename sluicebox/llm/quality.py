@@ -12,7 +12,8 @@ in repeated windows of 8 words.
 
 Null and empty texts have no words: all measures 0, ``base_failed`` true. Repeated
 rows are judged alike, each in its own row. An empty table gives an empty result.
-Other columns of the input are kept where ``with_verdict`` is used.
+Other columns of the input are kept by ``with_verdict``, which refuses names of its
+own counts and verdicts; ``only_kept`` takes columns of any name.
 """
 
 from __future__ import annotations
@@ -216,3 +217,10 @@ def with_verdict(
         .withColumn("base_failed", failed)
         .withColumn("kept", ~F.col("base_failed") & (F.col("quality") >= least_probability))
     )
+
+
+def only_kept(docs: DataFrame, least_probability: float = 0.5) -> DataFrame:
+    """The rows of ``docs`` that are kept, with its columns, whatever their names."""
+    places = [f"c{i}" for i in range(len(docs.columns))]
+    judged = with_verdict(docs.toDF(*places), least_probability, places[docs.columns.index("text")])
+    return judged.filter("kept").select(*places).toDF(*docs.columns)

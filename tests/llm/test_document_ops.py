@@ -176,25 +176,64 @@ def test_repeated_lines_against_brute_force(spark):
 
 def test_a_segment_of_many_lines_is_cut_over_tasks_and_loses_no_pair(spark):
     ids = range(1, 301)
-    rows = [(7, filed, i, 0) for i in ids for filed in (True, False)] + [(8, i < 3, i, 0) for i in range(1, 5)]
-    df = spark.createDataFrame(rows, "key bigint, filed boolean, id bigint, odd bigint")
-    pairs = linededup._sharing(df, 2, 4, cell=16)
-    got = [(r["a"], r["b"]) for r in pairs.collect()]
-    assert sorted(got) == [(a, b) for a in ids for b in ids if a < b]
-    plan = pairs._jdf.queryExecution().optimizedPlan().toString()
-    assert "own_rows" in plan and "own_columns" in plan
-    whole = linededup._sharing(df, 2, 4)
-    assert sorted((r["a"], r["b"]) for r in whole.collect()) == sorted(got)
+    rows = [(7, True, i, 0, 1000 - i) for i in ids] + [(8, i < 3, i, 0, 1000 - i) for i in range(301, 305)]
+    df = spark.createDataFrame(rows, "key bigint, filed boolean, id bigint, odd bigint, doc bigint")
+    shared = linededup.shared_keys(df, 4)
+    assert {(r["key"], r["first"], r["only"]) for r in shared.collect()} == {(7, 300, False)}
+    firsts = {(r["a"], r["b"]) for r in linededup.with_first(shared, 2).collect()}
+    assert firsts == {(i, 300) for i in range(1, 300)}
+    asking = spark.createDataFrame([(i,) for i in ids if i % 2], "id bigint")
+    # An open line asks for what may stand earlier: here the lines of higher ids.
+    want = sorted((a, b) for a in ids for b in ids if a < b < 300 and a % 2)
+    for cell in (16, 2048):
+        pairs = linededup.open_pairs(shared, asking, 2, 4, cell)
+        assert sorted((r["a"], r["b"]) for r in pairs.collect()) == want
+
+
+def test_pairs_of_a_group_of_near_lines_are_in_proportion(spark, monkeypatch, tmp_path):
+    base = "a line of a page that many pages have, with a word or two of their own"
+    made = []
+    monkeypatch.setattr(linededup, "_late", lambda pairs, *rest, own=linededup._late: made.append(pairs.count()) or own(pairs, *rest))
+    for n in (200, 400):
+        lines = [base] + [base[: i % 70] + chr(0x4E00 + i) + base[i % 70 + 1 :] for i in range(n)]
+        path = f"{tmp_path}/{n}"
+        spark.createDataFrame(list(enumerate(lines)), "doc_id bigint, text string").write.parquet(path)
+        made.clear()
+        report = {r["doc_id"]: r["n_near"] for r in linededup.line_report(spark.read.parquet(path)).collect()}
+        assert report == {i: int(i > 0) for i in range(n + 1)}
+        assert sum(made) <= 3 * n
 
 
 def test_lines_are_cut_into_segments_once(spark, tmp_path):
-    spark.createDataFrame([(f"line {i} of a text that is long enough",) for i in range(50)], "text string").write.parquet(f"{tmp_path}/t")
-    found = linededup.candidates(spark.read.parquet(f"{tmp_path}/t"))
+    spark.createDataFrame([(i, f"line {i} of a text that is long enough") for i in range(50)], "doc_id bigint, text string").write.parquet(f"{tmp_path}/t")
+    found = linededup.shared_keys(linededup.segment_rows(spark.read.parquet(f"{tmp_path}/t")), 8)
     found.collect()
     plan = found._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
     assert "ReusedExchange" in plan and plan.count("MapInArrow") == 1
 
 
+def test_many_rounds_lose_no_near_line(spark, monkeypatch):
+    monkeypatch.setattr(linededup, "PAIRS_PER_ROW", 0)
+    monkeypatch.setattr(linededup, "LEAST_SETTLED", 1 << 40)
+    lines = [f"the {a}{b}{c}{d} of a line that is long" for a in "ab" for b in "cde" for c in "fgh" for d in "ij"]
+    RNG.shuffle(lines)
+    df = spark.createDataFrame([(i if i else None, x) for i, x in enumerate(lines)], "doc_id bigint, text string")
+    want = {i if i else None: int(any(edits(x, y) <= 2 for y in lines[:i])) for i, x in enumerate(lines)}
+    assert {r["doc_id"]: r["n_near"] for r in linededup.line_report(df).collect()} == want
+
+
+def test_columns_with_names_of_helpers_stay_as_they_are(spark):
+    names = ["removed", "n_near", "_id", "_hash", "row", "own_id", "own_hash", "text_hash", "late", "first", "key", "n_words", "quality", "kept", "_votes"]
+    line = "a line that is long enough to be near another"
+    rows = [(i, t, *[f"{n}{i}" for n in names]) for i, t in enumerate([f"{line}\nyes", f"no\n{line}s", None])]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, " + ", ".join(f"`{n}` string" for n in names))
+    got = linededup.without_repeated_lines(df)
+    assert got.columns == df.columns
+    assert {tuple(r) for r in got.collect()} == {r if r[0] != 1 else (1, "no", *r[2:]) for r in rows}
+    kept = quality.only_kept(df)
+    assert kept.columns == df.columns and kept.count() == 0
+
+
 def test_equal_short_lines_are_repeats_too(spark, tmp_path):
     long = "a line that is long enough to be near another"
     texts = [f"Yes.\n{long}\n \n\nNo", f"Yes.\nNo!\n{long}\n\nNo\nNo", f"Yes\n{long}s\n \nNo"]
