@@ -18,7 +18,7 @@ from sluicebox.session import scratch_dir
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that neither fail the base rules nor look bad to the fitted votes."""
-    return quality.with_verdict(docs).filter("kept").select(*docs.columns)
+    return quality.only_kept(docs)
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
