@@ -331,7 +331,10 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, hold_out: in
     )
     # At most twice ``sample`` ids, and as many texts of bounded length, reach the driver.
     texts = docs.select("doc_id", "text").filter(F.length("text") <= SAMPLE_CHARS)
-    rows = texts.join(F.broadcast(picked), "doc_id").orderBy("doc_id", "text").limit(2 * sample).collect()
+    # Rows that repeat an id and its text are one text, so copies neither crowd out others nor weigh more.
+    distinct = texts.join(F.broadcast(picked), "doc_id").dropDuplicates(["doc_id", "text"])
+    kinds = [distinct.filter(F.col("toxic") == kind).orderBy(order, "doc_id", "text").limit(sample) for kind in (0, 1)]
+    rows = sorted(kinds[0].unionByName(kinds[1]).collect(), key=lambda r: (r["doc_id"], r["text"]))
     clean = sum(1 for r in rows if not r["toxic"])
     toxic = len(rows) - clean
     # The sample has as many toxic as clean rows where there are enough; the scale is fitted to the true shares.

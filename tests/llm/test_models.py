@@ -66,6 +66,14 @@ def test_held_out_documents_and_offsets(spark, odd):
     assert len(rows) == odd.count() and all(0 <= r["score"] < 0.5 for r in rows)
 
 
+def test_copies_of_a_labelled_row_change_nothing(spark):
+    docs, labels = labelled(spark)
+    once = toxicity.train(docs, labels, sample=60)
+    copies = docs.filter("doc_id = 1").crossJoin(spark.range(300)).select("doc_id", "text")
+    again = toxicity.train(docs.unionByName(copies), labels, sample=60)
+    assert np.array_equal(once.weights, again.weights) and np.array_equal(once.scale, again.scale)
+
+
 def test_without_labels_nothing_is_toxic(spark, odd):
     _, labels = labelled(spark, 3)
     model = toxicity.train(odd, labels.filter("false"))
