@@ -9,7 +9,7 @@ from sluicebox.plans.export import export
 from sluicebox.queries.export import EVENT_PLACES, new_log
 from sluicebox.queries.messages import EVENT_MEMBERS, json_sql
 from sluicebox.queries.registry import JOBS, TOPIC, events, query
-from sluicebox.streaming import readers
+from sluicebox.streaming import gaps, readers
 
 
 @query(
@@ -88,6 +88,32 @@ def log_between_offsets(spark: SparkSession, sf: str) -> DataFrame:
     return found.select("partition", "offset", F.col("value").cast("string").alias("value"))
 
 
+# Of each thousand offsets one message is taken out of the copy and one put in twice.
+LOST, DOUBLED = 7, 11
+
+
+@query(
+    f"""
+    with {EVENT_PLACES}
+    select part as "partition", case pos % 1000 when {LOST} then 'gap' else 'repeat' end as kind,
+           pos as first_offset, pos + 1 as end_offset, cast(1 as bigint) as messages
+    from places where pos % 1000 in ({LOST}, {DOUBLED})
+    """
+)
+def stream_gap_report(spark: SparkSession, sf: str) -> DataFrame:
+    """What a consumer of a damaged copy of an export finds missing and doubled."""
+    log = new_log(spark, "stream-gaps")
+    found = export(events(spark, sf), log, TOPIC, jobs=JOBS).offsets
+    place = F.col("offset") % 1000
+    times = F.when(place == LOST, 0).when(place == DOUBLED, 2).otherwise(1)
+    copy = log.read(spark, TOPIC).withColumn("copy", F.explode(F.array_repeat(F.lit(1), times))).drop("copy")
+    copy.write.parquet(f"{log.root}-copy")
+    stream = spark.readStream.schema(copy.schema).parquet(f"{log.root}-copy")
+    start = found.select("partition", F.col("start_offset").alias("offset"))
+    end = found.select("partition", F.col("end_offset").alias("offset"))
+    return gaps.gaps_of_what_is_there(stream, start, end, f"{log.root}-seen", f"{log.root}-checkpoint")
+
+
 def _collected(stream: DataFrame, root: str) -> DataFrame:
     messages = stream.select("partition", "offset", F.col("value").cast("string").alias("value"))
     return readers.drain_to_table(messages, f"{root}-collected", f"{root}-checkpoint")
