@@ -31,6 +31,10 @@ from sluicebox.llm.common import BoundedCache
 SPACE = "▁"
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 CACHE_ENTRIES = 400_000
+#: Parts of up to this many characters keep their agenda as a list, longer ones as a heap.
+WORD_SYMBOLS = 48
+#: Order of a pair that is no piece.
+NEVER = float("inf")
 #: A run of U+2581 with the word behind it, or a line feed with the word behind it.
 RUNS = re.compile(f"\n[^{SPACE}]*|{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
 
@@ -95,6 +99,8 @@ class Vocabulary:
         if any(k in (USER_DEFINED, UNUSED) for k in self.kinds):
             raise ValueError("user-defined and unused pieces are not read here")
         self.ids = {p: (-scores[i], i) for i, p in enumerate(self.pieces) if self.kinds[i] == NORMAL}
+        self.order = {p: order for p, (order, _) in self.ids.items()}
+        self.names = [str(i) for i in range(len(self.pieces))]
         self.unknown = self.kinds.index(UNKNOWN)
         self.end = self.pieces.index("</s>")
         self.byte_ids = {int(p[1:-1], 16): i for i, p in enumerate(self.pieces) if self.kinds[i] == BYTE}
@@ -118,9 +124,33 @@ class Vocabulary:
 
     def merge(self, text: str) -> tuple[int, ...]:
         """Ids of ``text`` (spaces already U+2581) by the agenda of adjacent pairs."""
+        symbols = self._merge_word(text) if len(text) <= WORD_SYMBOLS else self._merge_long(text)
+        out: list[int] = []
+        for symbol in symbols:
+            if found := self.ids.get(symbol):
+                out.append(found[1])
+            else:
+                out.extend(self.byte_ids[b] for b in symbol.encode())
+        return tuple(out)
+
+    def _merge_word(self, text: str) -> list[str]:
+        """The agenda as a list in the order of the text: its least entry, the leftmost of equals, is next."""
+        order = self.order.get
+        symbols = list(text)
+        agenda = [order(text[i : i + 2], NEVER) for i in range(len(text) - 1)]
+        while agenda and (least := min(agenda)) != NEVER:
+            at = agenda.index(least)
+            del agenda[at]
+            pair = symbols[at] = symbols[at] + symbols.pop(at + 1)
+            if at < len(agenda):
+                agenda[at] = order(pair + symbols[at + 1], NEVER)
+            if at:
+                agenda[at - 1] = order(symbols[at - 1] + pair, NEVER)
+        return symbols
+
+    def _merge_long(self, text: str) -> list[str]:
+        """The agenda as a heap by score, then place; stale entries are skipped."""
         ids = self.ids
-        if text in ids and len(text) == 1:
-            return (ids[text][1],)
         symbols: list[str] = list(text)
         n = len(symbols)
         before = list(range(-1, n - 1))
@@ -148,14 +178,7 @@ class Vocabulary:
                 longer = symbols[first] + pair
                 if found := ids.get(longer):
                     push(agenda, (found[0], first, left, longer))
-        out: list[int] = []
-        for symbol in symbols:
-            if symbol:
-                if found := ids.get(symbol):
-                    out.append(found[1])
-                else:
-                    out.extend(self.byte_ids[b] for b in symbol.encode())
-        return tuple(out)
+        return [symbol for symbol in symbols if symbol]
 
     def split(self, text: str) -> list[str]:
         """The parts of a whole text between which nothing can merge.
@@ -198,7 +221,7 @@ class Codec:
 
         self.vocabulary = Vocabulary(path)
         self.library = sentencepiece.SentencePieceProcessor(model_file=path)
-        self.cache: dict[str, tuple[tuple[int, ...], str]] = BoundedCache(cache_entries)
+        self.cache: dict[str, tuple[int, ...]] = BoundedCache(cache_entries)
 
     def learn(self, parts: set[str]) -> None:
         """Merge new parts and hold them against the library, in one text with a line feed between."""
@@ -209,10 +232,10 @@ class Codec:
             if part[-1] in v.closing and len(part) > 1 and part[-2].isalnum():
                 # A closing mark merges with nothing before it, so the word itself may be known.
                 start = cache.get(part[:-1])
-                ids = (start[0] if start else v.part_ids(part[:-1])) + v.merge(part[-1])
+                ids = (start or v.part_ids(part[:-1])) + v.merge(part[-1])
             else:
                 ids = v.part_ids(part)
-            cache[part] = (ids, " ".join(map(str, ids)))
+            cache[part] = ids
         given = "".join(p if p[0] == "\n" else "\n" + (p if p[0] == SPACE else SPACE + p) for p in new)
         want = self.library.encode(given.replace(SPACE, " "))
         feed = v.byte_ids[10]
@@ -220,11 +243,11 @@ class Codec:
         for part in new:
             if part[0] != "\n":
                 got.append(feed)
-            got.extend(cache[part][0])
+            got.extend(cache[part])
         if got != want:
             raise ValueError("merging differs from the library within " + repr(new)[:500])
 
-    def entries(self, text: str) -> list[tuple[tuple[int, ...], str]]:
+    def entries(self, text: str) -> list[tuple[int, ...]]:
         parts = self.vocabulary.split(text)
         found = list(map(self.cache.get, parts))
         if None in found:
@@ -235,7 +258,7 @@ class Codec:
         return found
 
     def encode(self, text: str) -> list[int]:
-        return [i for entry in self.entries(text) for i in entry[0]]
+        return list(chain.from_iterable(self.entries(text)))
 
 
 _CODECS: dict[tuple[str, int], Codec] = {}
@@ -250,11 +273,9 @@ def codec(path: str, cache_entries: int = CACHE_ENTRIES) -> Codec:
 
 def digest(coder: Codec, text: str) -> tuple[list[int], str, str, str]:
     """The ids with the end id, SHA-256 of the ids as text, the decoded text and its SHA-256."""
-    end = coder.vocabulary.end
-    known = coder.entries(text)
-    ids = list(chain.from_iterable([entry[0] for entry in known]))
-    ids.append(end)
-    said = " ".join([*(entry[1] for entry in known), str(end)])
+    ids = coder.encode(text)
+    ids.append(coder.vocabulary.end)
+    said = " ".join(map(coder.vocabulary.names.__getitem__, ids))
     decoded = coder.vocabulary.decode(ids)
     return ids, _sha(said), decoded, _sha(decoded)
 

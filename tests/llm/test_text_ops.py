@@ -48,6 +48,15 @@ def test_any_text_comes_back(text):
     assert digest(mine, text)[0] == library.encode(text, add_eos=True)
 
 
+def test_both_agendas_merge_alike():
+    vocabulary = codec(PIECES).vocabulary
+    rng = random.Random(9)
+    for _ in range(3000):
+        text = "▁" + "".join(rng.choice("aeinrsthé.#中▁1") for _ in range(rng.randint(0, 70)))
+        assert vocabulary._merge_word(text) == vocabulary._merge_long(text)
+    assert vocabulary._merge_word("") == vocabulary._merge_long("") == []
+
+
 def test_encoding_odd_rows(odd, none):
     library = sentencepiece.SentencePieceProcessor(model_file=PIECES)
     for row, source in zip(encode_documents(odd, PIECES).collect(), odd.collect(), strict=True):
