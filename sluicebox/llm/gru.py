@@ -10,10 +10,14 @@ what came before); for shape classes the second factor is (c + 0.1) / (n + 0.1
 probability too.
 
 The network is trained by truncated backpropagation with its state carried from
-window to window, on a bounded sample of training documents (``SAMPLE`` ids of
-smallest hash, up to ``SAMPLE_TOKENS`` tokens each); all counts cover all training
-documents. Every document is scored as a whole, its state carried over all its
-windows; documents run side by side in lanes.
+window to window, on every token of every training document; all counts cover
+them, too. Training goes in ``ROUNDS``: each takes a share of the documents, tasks
+learn from their part of it side by side, all from the same weights, and a sum over
+the tasks gives the mean weights that the next round starts from. A text is learned
+in pieces of ``PIECE`` tokens, the first input of each the word before it, so that a
+long one fills no lane alone; few documents are gone over several times. Every
+document is scored as a whole, its state carried over all its windows; documents
+run side by side in lanes.
 
 The counts of the most frequent words travel with the tasks, at most
 ``KNOWN_WORDS``; all other words of a document are joined with the counts by a
@@ -30,6 +34,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -44,9 +49,19 @@ VOCABULARY = 2000
 CLASSES = 32
 HIDDEN = 16
 WINDOW = 32
-LANES = 512
+LANES = 256
 KNOWN_WORDS = 400_000
-SAMPLE, SAMPLE_TOKENS, EPOCHS = 3000, 5000, 2
+#: Shares of the training documents between two means; each task learns from at least so many tokens of one.
+ROUNDS, TASK_TOKENS = 4, 500_000
+#: Training goes on for so many tokens, over the same documents again, but not more often than this.
+LEAST_TOKENS, MOST_PASSES = 4_000_000, 4
+PIECE = 2048
+#: Documents and tokens that are held at a time.
+GROUP_ROWS, GROUP_TOKENS = 4096, 2_000_000
+#: Numbers of a row of a learner's state.
+BLOCK = 4096
+#: Columns of one softmax over the classes, so its numbers stay near the processor.
+COLUMNS = 2048
 RATE, CLIP, SEED = 0.01, 5.0, 7
 HELD_OUT, MODULUS = 0, 10
 CACHE_ENTRIES = 400_000
@@ -231,11 +246,11 @@ class Coder:
 
 
 def _log_softmax(logits: np.ndarray, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """ln softmax of each row's chosen entry; also the exponentials and their sums. Overwrites ``logits``."""
-    logits -= logits.max(axis=1, keepdims=True)
-    picked = logits[np.arange(len(chosen)), chosen]
+    """ln softmax of each column's chosen entry; also the exponentials and their sums. Overwrites ``logits``."""
+    logits -= logits.max(axis=0)
+    picked = logits[chosen, np.arange(len(chosen))]
     e = np.exp(logits, out=logits)
-    total = e @ np.ones(e.shape[1], e.dtype)
+    total = e.sum(axis=0)
     return picked - np.log(total), e, total
 
 
@@ -280,81 +295,113 @@ class Network:
         return np.where(y < v, np.searchsorted(self.bounds, y, side="right") - 1, n + y - v)
 
     def forward(self, x: np.ndarray, h: np.ndarray, fresh: np.ndarray, keep: bool = False):
-        """States of a window: ``x`` (T, B) inputs, ``h`` (B, H) the state before, ``fresh`` where a text begins."""
+        """States of a window: ``x`` (T, B) inputs, ``h`` (B, H) the state before, ``fresh`` where a text begins.
+
+        Inside, a row is a feature and a column a lane, so every step runs over whole rows.
+        """
         size = self.hidden
-        given = self.w["inputs"].take(x, axis=0)
-        states = np.empty((*x.shape, size), np.float32)
+        # The logistic function by way of the hyperbolic tangent, which cannot overflow: of half the sum.
+        table = np.ascontiguousarray(self.w["inputs"].T)
+        table[: 2 * size] *= 0.5
+        gates, renew = 0.5 * self.w["gates"].T, np.ascontiguousarray(self.w["fresh"].T)
+        given = table.take(x.reshape(-1), axis=1).reshape(3 * size, *x.shape)
+        states = np.empty((size, *x.shape), table.dtype)
+        begins = fresh.any(axis=1)
+        h = np.ascontiguousarray(h.T, table.dtype)
         kept = []
         for t in range(len(x)):
-            if fresh[t].any():
-                h = np.where(fresh[t][:, None], np.float32(0), h)
-            g = h @ self.w["gates"]
-            g += given[t, :, : 2 * size]
-            # The logistic function by way of the hyperbolic tangent, which cannot overflow.
-            g *= 0.5
+            if begins[t]:
+                h = np.where(fresh[t], table.dtype.type(0), h)
+            g = gates @ h
+            g += given[: 2 * size, t]
             np.tanh(g, out=g)
             g += 1
             g *= 0.5
-            z, r = g[:, :size], g[:, size:]
-            c = (r * h) @ self.w["fresh"]
-            c += given[t, :, 2 * size :]
+            z, r = g[:size], g[size:]
+            c = renew @ (r * h)
+            c += given[2 * size :, t]
             np.tanh(c, out=c)
-            after = h + z * (c - h)
+            after = c - h
+            after *= z
+            after += h
             if keep:
                 kept.append((h, z, r, c))
-            h = states[t] = after
-        return states, h, kept
+            h = states[:, t] = after
+        return states.transpose(1, 2, 0), h.T, kept
 
     def log_probabilities(self, states: np.ndarray, y: np.ndarray, gradients: dict | None = None):
         """ln P(y) of flat ``states`` and targets; with ``gradients`` also d(-sum)/d(states)."""
-        n = len(y)
-        logits = states @ self.w["class"] + self.w["class_bias"]
-        cls = self.classes_of(y)
-        out, e, total = _log_softmax(logits, cls)
-        back = None
-        if gradients is not None:
-            d = e / total[:, None]
-            d[np.arange(n), cls] -= 1
-            gradients["class"] += states.T @ d
-            gradients["class_bias"] += d.sum(axis=0)
-            back = d @ self.w["class"].T
-        order = np.argsort(cls, kind="stable")
-        edges = np.searchsorted(cls[order], np.arange(len(self.bounds)))
+        order = np.arange(len(y))
+        logs, back = self._by_class(states.T, y, order, gradients)
+        return logs, None if back is None else back.T
+
+    def _by_class(self, states: np.ndarray, y: np.ndarray, at: np.ndarray, gradients: dict | None = None):
+        """``log_probabilities`` of the columns ``at`` of ``states``, in whose order the answers are; zero elsewhere."""
+        classes = self.classes_of(np.arange(self.n_outputs)).astype(np.uint16)
+        cls = classes[y[at]]
+        by_class = np.argsort(cls, kind="stable")
+        at, cls = at[by_class], cls[by_class]
+        s, y = states.take(at, axis=1), y[at]
+        back = np.empty_like(s) if gradients is not None else None
+        logs = np.empty(len(at), s.dtype)
+        edges = np.searchsorted(cls, np.arange(len(self.bounds)))
+        for a in range(0, len(at), COLUMNS):
+            b = min(a + COLUMNS, len(at))
+            logits = self.w["class"].T @ s[:, a:b]
+            logits += self.w["class_bias"][:, None]
+            logs[a:b], e, total = _log_softmax(logits, cls[a:b])
+            if gradients is not None:
+                e /= total
+                e[cls[a:b], np.arange(b - a)] -= 1
+                gradients["class"] += s[:, a:b] @ e.T
+                gradients["class_bias"] += e.sum(axis=1)
+                back[:, a:b] = self.w["class"] @ e
         for k in range(len(self.bounds) - 1):
-            a, b = self.bounds[k], self.bounds[k + 1]
-            rows = order[edges[k] : edges[k + 1]]
-            if not len(rows) or b - a < 2:
+            low, high = self.bounds[k], self.bounds[k + 1]
+            a, b = edges[k], edges[k + 1]
+            if a == b or high - low < 2:
                 continue
-            logits = states[rows] @ self.w["word"][:, a:b] + self.w["word_bias"][a:b]
-            own = y[rows] - a
+            own = y[a:b] - low
+            logits = self.w["word"][:, low:high].T @ s[:, a:b]
+            logits += self.w["word_bias"][low:high, None]
             inside, e, total = _log_softmax(logits, own)
-            out[rows] += inside
+            logs[a:b] += inside
             if gradients is not None:
-                d = e / total[:, None]
-                d[np.arange(len(rows)), own] -= 1
-                gradients["word"][:, a:b] += states[rows].T @ d
-                gradients["word_bias"][a:b] += d.sum(axis=0)
-                back[rows] += d @ self.w["word"][:, a:b].T
-        return out, back
+                e /= total
+                e[own, np.arange(b - a)] -= 1
+                gradients["word"][:, low:high] += s[:, a:b] @ e.T
+                gradients["word_bias"][low:high] += e.sum(axis=1)
+                back[:, a:b] += self.w["word"][:, low:high] @ e
+        out = np.zeros(states.shape[1], s.dtype)
+        out[at] = logs
+        if back is None:
+            return out, None
+        d_states = np.zeros(states.shape, s.dtype)
+        d_states[:, at] = back
+        return out, d_states
 
     def backward(self, x, fresh, kept, d_states, gradients) -> None:
         """Adds the gradients of a window, from its end to its beginning and no further."""
         size = self.hidden
-        d_given = np.zeros((*x.shape, 3 * size), np.float32)
-        d_h = np.zeros_like(d_states[0])
+        d_after = d_states.transpose(2, 0, 1)
+        d_given = np.empty((3 * size, *x.shape), d_states.dtype)
+        before, reset = (np.empty((size, *x.shape), d_states.dtype) for _ in range(2))
+        d_h = np.zeros((size, x.shape[1]), d_states.dtype)
         for t in range(len(x) - 1, -1, -1):
             h, z, r, c = kept[t]
-            d = d_states[t] + d_h
+            d = d_after[:, t] + d_h
             d_z, d_c = d * (c - h) * z * (1 - z), d * z * (1 - c * c)
-            d_rh = d_c @ self.w["fresh"].T
-            d_r = d_rh * h * r * (1 - r)
-            d_g = np.concatenate((d_z, d_r), axis=1)
-            gradients["gates"] += h.T @ d_g
-            gradients["fresh"] += (r * h).T @ d_c
-            d_h = d * (1 - z) + d_rh * r + d_g @ self.w["gates"].T
-            d_h[fresh[t]] = 0
-            d_given[t, :, : 2 * size], d_given[t, :, 2 * size :] = d_g, d_c
-        np.add.at(gradients["inputs"], x.reshape(-1), d_given.reshape(-1, 3 * size))
+            d_rh = self.w["fresh"] @ d_c
+            d_given[:size, t], d_given[size : 2 * size, t], d_given[2 * size :, t] = d_z, d_rh * h * r * (1 - r), d_c
+            before[:, t], reset[:, t] = h, r * h
+            d_h = d * (1 - z) + d_rh * r + self.w["gates"] @ d_given[: 2 * size, t]
+            d_h[:, fresh[t]] = 0
+        flat = d_given.reshape(3 * size, -1)
+        gradients["gates"] += before.reshape(size, -1) @ flat[: 2 * size].T
+        gradients["fresh"] += reset.reshape(size, -1) @ flat[2 * size :].T
+        n = len(gradients["inputs"])
+        for k, row in enumerate(flat):
+            gradients["inputs"][:, k] += np.bincount(x.reshape(-1), weights=row, minlength=n)
 
 
 def lanes_of(texts: list[np.ndarray], lanes: int) -> list[list[int]]:
@@ -370,58 +417,80 @@ def lanes_of(texts: list[np.ndarray], lanes: int) -> list[list[int]]:
     return out
 
 
-def windows(texts: list[np.ndarray], start: int, lanes: int = LANES, window: int = WINDOW):
-    """``inputs, targets, fresh, owner`` of each window (T, lanes still busy); a text's first input is ``start``."""
+def windows(texts: list[np.ndarray], start: int | np.ndarray, lanes: int = LANES, window: int = WINDOW):
+    """``inputs, targets, fresh, owner`` of each window (T, lanes still busy); a text's first input is its ``start``."""
+    start = np.broadcast_to(start, max(1, len(texts)))
     dealt = lanes_of(texts, lanes)
-    x, y, fresh, owner = [], [], [], []
-    for lane in dealt:
-        x.append(np.concatenate([np.concatenate(([start], texts[i][:-1])) for i in lane]))
-        y.append(np.concatenate([texts[i] for i in lane]))
-        first = np.zeros(len(y[-1]), bool)
-        first[np.cumsum([0] + [len(texts[i]) for i in lane[:-1]])] = True
-        fresh.append(first)
-        owner.append(np.repeat(lane, [len(texts[i]) for i in lane]))
-    order = sorted(range(len(dealt)), key=lambda k: -len(y[k]))
-    longest = max((len(v) for v in y), default=0)
+    dealt.sort(key=lambda lane: -sum(len(texts[i]) for i in lane))
+    sizes = np.array([sum(len(texts[i]) for i in lane) for lane in dealt], np.int64)
+    longest = int(sizes[0]) if len(sizes) else 0
+    # The row before the first stands for what came before.
+    y = np.full((longest + 1, len(dealt)), -1, np.int32)
+    owner = np.full((longest + 1, len(dealt)), -1, np.int32)
+    for k, lane in enumerate(dealt):
+        y[1 : sizes[k] + 1, k] = np.concatenate([texts[i] for i in lane])
+        owner[1 : sizes[k] + 1, k] = np.repeat(lane, [len(texts[i]) for i in lane])
     for at in range(0, longest, window):
-        busy = [k for k in order if len(y[k]) > at]
-        steps = min(window, longest - at)
-
-        def cut(rows, blank, busy=busy, at=at, steps=steps):
-            out = np.full((len(busy), steps), blank)
-            for row, k in enumerate(busy):
-                piece = rows[k][at : at + steps]
-                out[row, : len(piece)] = piece
-            return out.T
-
-        yield cut(x, start), cut(y, -1), cut(fresh, False), cut(owner, -1)
-
-
-def fit(texts: list[np.ndarray], network: Network, epochs: int = EPOCHS) -> Network:
-    """Adam on the summed loss of each window, gradients cut at its borders, states carried over them."""
-    m = {k: np.zeros_like(v) for k, v in network.w.items()}
-    s = {k: np.zeros_like(v) for k, v in network.w.items()}
-    step = 0
-    start = network.n_outputs
-    for _ in range(epochs):
+        busy = int(np.count_nonzero(sizes > at))
+        now, before = slice(at + 1, at + window + 1), slice(at, min(at + window, longest))
+        fresh = (owner[now, :busy] != owner[before, :busy]) & (owner[now, :busy] >= 0)
+        x = np.where(fresh | (y[now, :busy] < 0), start[owner[now, :busy]], y[before, :busy])
+        yield x, y[now, :busy], fresh, owner[now, :busy]
+
+
+@dataclass
+class Learner:
+    """A network with the running means of Adam; the means of several learners are one, too."""
+
+    network: Network
+    m: dict[str, np.ndarray]
+    s: dict[str, np.ndarray]
+    step: int = 0
+
+    @staticmethod
+    def new(network: Network) -> Learner:
+        zero = {k: np.zeros_like(v) for k, v in network.w.items()}
+        return Learner(network, zero, {k: v.copy() for k, v in zero.items()})
+
+    def state(self) -> np.ndarray:
+        """All numbers of the learner in a row."""
+        parts = [d[k].reshape(-1) for d in (self.network.w, self.m, self.s) for k in sorted(d)]
+        return np.concatenate([*parts, [self.step]]).astype(np.float32)
+
+    def with_state(self, state: np.ndarray) -> Learner:
+        at, out = 0, []
+        for d in (self.network.w, self.m, self.s):
+            out.append({})
+            for k in sorted(d):
+                out[-1][k] = state[at : at + d[k].size].reshape(d[k].shape).astype(np.float32)
+                at += d[k].size
+        w, m, s = out
+        return Learner(Network(w, self.network.bounds, self.network.n_outputs), m, s, round(float(state[at])))
+
+    def learn(self, texts: list[np.ndarray], starts: int | np.ndarray, lanes: int = LANES) -> None:
+        """Adam on the mean loss of each window, gradients cut at its borders, states carried over them."""
+        network = self.network
         h = np.zeros((0, network.hidden), np.float32)
-        for x, y, fresh, _ in windows(texts, start, lanes=64):
+        for x, y, fresh, _ in windows(texts, starts, lanes):
             h = h[: x.shape[1]] if len(h) >= x.shape[1] else np.zeros((x.shape[1], network.hidden), np.float32)
             states, h, kept = network.forward(x, h, fresh, keep=True)
             gradients = {k: np.zeros_like(v) for k, v in network.w.items()}
-            real = y >= 0
-            _, back = network.log_probabilities(states[real], y[real], gradients)
-            d_states = np.zeros_like(states)
-            d_states[real] = back
-            network.backward(x, fresh, kept, d_states, gradients)
-            step += 1
+            real = np.flatnonzero(y.reshape(-1) >= 0)
+            flat = states.transpose(2, 0, 1).reshape(network.hidden, -1)
+            _, back = network._by_class(flat, y.reshape(-1), real, gradients)
+            network.backward(x, fresh, kept, back.reshape(-1, *x.shape).transpose(1, 2, 0), gradients)
+            self.step += 1
             for k, g in gradients.items():
-                g /= real.sum()
+                g /= len(real)
                 np.clip(g, -CLIP, CLIP, out=g)
-                m[k] += 0.1 * (g - m[k])
-                s[k] += 0.001 * (g * g - s[k])
-                network.w[k] -= RATE * (m[k] / (1 - 0.9**step)) / (np.sqrt(s[k] / (1 - 0.999**step)) + 1e-8)
-    return network
+                self.m[k] += 0.1 * (g - self.m[k])
+                self.s[k] += 0.001 * (g * g - self.s[k])
+                up = np.sqrt(self.s[k])
+                up *= (1 - 0.999**self.step) ** -0.5
+                up += 1e-8
+                np.divide(self.m[k], up, out=up)
+                up *= RATE / (1 - 0.9**self.step)
+                network.w[k] -= up
 
 
 def score_texts(texts: list[np.ndarray], network: Network) -> np.ndarray:
@@ -431,40 +500,84 @@ def score_texts(texts: list[np.ndarray], network: Network) -> np.ndarray:
     for x, y, fresh, owner in windows(texts, network.n_outputs):
         h = h[: x.shape[1]] if len(h) >= x.shape[1] else np.zeros((x.shape[1], network.hidden), np.float32)
         states, h, _ = network.forward(x, h, fresh)
-        real = y >= 0
-        logs, _ = network.log_probabilities(states[real], y[real])
-        out += np.bincount(owner[real], weights=logs, minlength=len(texts))
+        real = np.flatnonzero(y.reshape(-1) >= 0)
+        flat = states.transpose(2, 0, 1).reshape(network.hidden, -1)
+        logs, _ = network._by_class(flat, y.reshape(-1), real)
+        out += np.bincount(owner.reshape(-1)[real], weights=logs[real], minlength=len(texts))
     return out / math.log(10)
 
 
-def train(docs: DataFrame, counts: Counts, sample: int = SAMPLE) -> Network:
-    """A network fitted on at most ``sample`` training documents of bounded length."""
-    network = Network.new(counts.vocabulary, np.maximum(counts.shape_tokens, 0))
-    ids = docs.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
+def pieces(texts: list[np.ndarray], start: int) -> tuple[list[np.ndarray], np.ndarray]:
+    """The texts in parts of ``PIECE`` tokens, and what stands before each part."""
+    cut = [(t, a) for t in texts for a in range(0, len(t), PIECE)]
+    return [t[a : a + PIECE] for t, a in cut], np.array([t[a - 1] if a else start for t, a in cut], np.int32)
+
+
+def grouped(batches, column: int) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
+    """Slices of the batches with bounded numbers of rows and tokens, and their outputs."""
+    for batch in batches:
+        texts = [np.frombuffer(o, np.uint16) for o in batch.column(column).to_pylist()]
+        first = size = 0
+        for i, text in enumerate(texts):
+            if i > first and (i - first >= GROUP_ROWS or size + len(text) > GROUP_TOKENS):
+                yield batch.slice(first, i - first), texts[first:i]
+                first, size = i, 0
+            size += len(text)
+        if first < len(texts):
+            yield batch.slice(first), texts[first:]
+
+
+def train(coded: DataFrame, counts: Counts, rounds: int = ROUNDS) -> Network:
+    """A network fitted on all rows of ``coded`` (``row, outputs``), the mean of its learners after each round."""
+    learner = Learner.new(Network.new(counts.vocabulary, np.maximum(counts.shape_tokens, 0)))
+    passes = int(np.clip(-(-LEAST_TOKENS // max(1, counts.total)), 1, MOST_PASSES)) if counts.total else 0
+    tasks = max(1, counts.total // (rounds * TASK_TOKENS))
+    for _ in range(passes):
+        for part in range(rounds):
+            learner = _round(coded.filter(F.pmod("row", F.lit(rounds)) == part), learner, tasks)
+    return learner.network
+
+
+def _round(coded: DataFrame, learner: Learner, tasks: int) -> Learner:
+    """The mean of what the tasks' learners know after their rows, by the tokens each has seen."""
 
     def run(batches):
-        coder = Coder(counts)
-        for batch in batches:
-            rows = []
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                words = tokens(text)
-                if len(words) <= SAMPLE_TOKENS:
-                    rows.append((doc_id, coder.coded(words)[0].tobytes()))
-            if rows:
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary())],
-                    names=["doc_id", "outputs"],
-                )
+        own = learner.with_state(learner.state())
+        seen, last = 0, None
+        for some, texts in grouped(batches, 1):
+            last = some.column(0)[0].as_py()
+            own.learn(*pieces(texts, own.network.n_outputs))
+            seen += sum(map(len, texts))
+        if seen:
+            state = own.state()
+            cut = range(0, len(state), BLOCK)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(range(len(cut)), pa.int32()),
+                    pa.array([last] * len(cut), pa.int64()),
+                    pa.array([seen] * len(cut), pa.int64()),
+                    pa.array([state[a : a + BLOCK].tobytes() for a in cut], pa.binary()),
+                ],
+                names=["block", "learner", "tokens", "numbers"],
+            )
 
-    picked = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").join(
-        F.broadcast(ids.select(F.col("doc_id").cast("bigint").alias("doc_id"))), "doc_id", "left_semi"
-    )
-    rows = picked.mapInArrow(run, "doc_id bigint, outputs binary").limit(2 * sample).collect()
-    rows.sort(key=lambda r: (r["doc_id"], bytes(r["outputs"])))
-    # Copies teach nothing new, and one text in very many copies must not fill the sample.
-    texts = [np.frombuffer(o, np.int32).astype(np.int64) for o in dict.fromkeys(bytes(r["outputs"]) for r in rows)]
-    order = np.random.default_rng(SEED).permutation(len(texts))
-    return fit([texts[i] for i in order], network)
+    def mean(rows: pa.Table) -> pa.Table:
+        # In the order of the learners, so the sum is the same each time.
+        total = None
+        rows = rows.sort_by("learner")
+        tokens = rows.column("tokens").to_pylist()
+        for n, numbers in zip(tokens, rows.column("numbers"), strict=True):
+            share = np.frombuffer(numbers.as_py(), np.float32) * (n / sum(tokens))
+            total = share if total is None else total + share
+        return pa.table({"block": rows.column("block")[:1], "numbers": [total.astype(np.float32).tobytes()]})
+
+    learned = coded.select("row", "outputs").coalesce(tasks)
+    learned = learned.mapInArrow(run, "block int, learner bigint, tokens bigint, numbers binary")
+    blocks = learned.groupBy("block").applyInArrow(mean, "block int, numbers binary").collect()
+    if not blocks:
+        return learner
+    blocks.sort(key=lambda r: r["block"])
+    return learner.with_state(np.frombuffer(b"".join(r["numbers"] for r in blocks), np.float32))
 
 
 def score_documents(docs: DataFrame) -> DataFrame:
@@ -474,7 +587,6 @@ def score_documents(docs: DataFrame) -> DataFrame:
     training = picked.filter(~held)
     counted = written(count_words(training), "word-counts")
     counts = known_counts(counted)
-    network = train(training.filter("doc_id is not null"), counts)
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches):
@@ -487,7 +599,8 @@ def score_documents(docs: DataFrame) -> DataFrame:
                 texts, rest = [], []
                 for text in some.column(1).to_pylist():
                     outputs, unknown, base, inside = coder.coded(tokens(text))
-                    texts.append(outputs)
+                    # Few thousand outputs, whatever the input.
+                    texts.append(outputs.astype(np.uint16).tobytes())
                     where = np.flatnonzero(unknown)
                     rare = Counter(zip(unknown[where].tolist(), (outputs[where] - coder.size).tolist(), strict=True))
                     rest.append(
@@ -499,7 +612,6 @@ def score_documents(docs: DataFrame) -> DataFrame:
                             [{"h": h, "shape": s, "n": n} for (h, s), n in rare.items()],
                         )
                     )
-                scores = score_texts(texts, network)
                 n_tokens, known, base, inside, rare = zip(*rest, strict=True)
                 n = len(rest)
                 yield pa.RecordBatch.from_arrays(
@@ -509,20 +621,27 @@ def score_documents(docs: DataFrame) -> DataFrame:
                         pa.array(n_tokens, pa.int64()),
                         pa.array(known, pa.int64()),
                         pa.array(base, pa.float64()),
-                        pa.array(scores + np.array(inside), pa.float64()),
+                        pa.array(inside, pa.float64()),
+                        pa.array(texts, pa.binary()),
                         pa.array(rare, rare_type),
                     ],
-                    names=["row", "doc_id", "n_tokens", "known", "base", "own", "rare"],
+                    names=["row", "doc_id", "n_tokens", "known", "base", "inside", "outputs", "rare"],
                 )
                 seq += n
 
-    schema = (
-        f"row bigint, doc_id {kind}, n_tokens bigint, known bigint, base double, own double, "
-        "rare array<struct<h:bigint,shape:int,n:bigint>>"
-    )
+    schema = f"row bigint, doc_id {kind}, n_tokens bigint, known bigint, base double, inside double, outputs binary"
     # Written once, so the row numbers stay what they are.
-    scored = written(picked.mapInArrow(run, schema), "lm-scores")
-    rare = scored.select("row", F.explode("rare").alias("x")).select("row", "x.h", "x.shape", "x.n")
+    coded = picked.mapInArrow(run, f"{schema}, rare array<struct<h:bigint,shape:int,n:bigint>>")
+    coded = written(coded, "lm-tokens")
+    network = train(coded.filter(~held), counts)
+
+    def score(batches):
+        for some, texts in grouped(batches, 6):
+            own = score_texts(texts, network) + some.column(5).to_numpy()
+            yield pa.RecordBatch.from_arrays([*some.columns[:5], pa.array(own)], names=[*some.schema.names[:5], "own"])
+
+    scored = coded.drop("rare").mapInArrow(score, schema.replace("inside double, outputs binary", "own double"))
+    rare = coded.select("row", F.explode("rare").alias("x")).select("row", "x.h", "x.shape", "x.n")
     c = F.coalesce(F.col("c"), F.lit(0))
     total = counts.total + 0.1 * (counts.distinct + 1)
     inside = F.array(*[F.lit(float(t + 0.1 * (v + 1))) for t, v in zip(counts.shape_tokens, counts.shape_words, strict=True)])
@@ -536,7 +655,7 @@ def score_documents(docs: DataFrame) -> DataFrame:
             F.sum(F.col("n") * F.log10((c + 0.1) / F.get(inside, F.col("shape")))).alias("more_own"),
         )
     )
-    out = scored.drop("rare").join(later, "row", "left")
+    out = scored.join(later, "row", "left")
     zero = F.lit(0.0)
     # The end counts as known once it has been seen in training.
     unseen_end = F.lit(0 if counts.total else 1)

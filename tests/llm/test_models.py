@@ -145,6 +145,30 @@ def test_scores_against_brute_force_counts(spark, monkeypatch):
         assert mine["score"] < 0
 
 
+def test_the_model_learns_from_every_training_document(spark, monkeypatch):
+    # A habit that stands only in the late part of long texts and in many more texts than any sample holds.
+    monkeypatch.setattr(gru, "PIECE", 64)
+    seen = []
+    real = gru.train
+    monkeypatch.setattr(gru, "train", lambda coded, counts: seen.append((coded.agg({"n_tokens": "sum"}).first()[0], counts)) or real(coded, counts))
+    rows = [(i, "ab cd " * 3) for i in range(3500)] + [(9000 + i, "ab cd " * 60 + "ef gh " * 3000) for i in range(12)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)
+    scores = {r["doc_id"]: r["score"] / r["n_tokens"] for r in gru.score_documents(df).collect()}
+    ((tokens, counts),) = seen
+    assert tokens == counts.total == sum(len(gru.tokens(t)) for d, t in rows if zlib.crc32(str(d).encode()) % 10)
+    assert all(scores[9000 + i] > -0.1 for i in range(12))
+
+
+def test_pieces_hold_every_token_once_behind_what_stands_before():
+    texts = [np.arange(5 * gru.PIECE + 3), np.array([7])]
+    parts, before = gru.pieces(texts, 99)
+    assert np.array_equal(np.concatenate(parts), np.concatenate(texts))
+    assert before.tolist() == [99, *[k * gru.PIECE - 1 for k in range(1, 6)], 99]
+    got = [(int(a), int(b)) for x, y, _, _ in gru.windows(parts, before, lanes=2) for a, b in zip(x[y >= 0], y[y >= 0], strict=True)]
+    want = [(b - 1 if b else 99, b) for b in range(5 * gru.PIECE + 3)] + [(99, 7)]
+    assert sorted(got) == sorted(want)
+
+
 def test_language_model_of_odd_rows(odd, none):
     assert gru.score_documents(odd).count() == odd.count()
     assert gru.score_documents(none).count() == 0
