@@ -6,7 +6,8 @@ substitutions of code points turn one into the other. A line is cut into
 unchanged in the longer, at a place that their lengths narrow down. Each distinct
 line is filed under its segments with its length, and probes the lengths up to
 ``distance`` shorter with the substrings that can matter (multi-match aware
-selection). Matches are told apart first by the parity of their characters (an
+selection). Lines that these segments leave open meet by two of ``distance + 2``
+segments, which near lines have in common, too. Matches are told apart first by the parity of their characters (an
 edit changes at most two of 64 parities), then by banded bit-parallel edit
 distance on what is left between common ends.
 
@@ -45,7 +46,7 @@ BROADCAST_IDS = 1_000_000
 #: Lines of one side that a task compares at most with as many of the other, for one segment.
 CELL_LINES = 2048
 #: Lengths of lines whose cuts a worker remembers.
-CACHED_LENGTHS = 4096
+CACHED_LENGTHS, CACHED_FINE_LENGTHS = 4096, 512
 #: Rounds against the earliest open line of a segment go on while the open pairs are more than
 #: this many per row, and while a round settles at least one of so many open lines.
 PAIRS_PER_ROW, LEAST_SETTLED = 8, 16
@@ -115,6 +116,33 @@ def are_filed(length: int, distance: int, least_chars: int) -> np.ndarray:
     return np.array([filed for filed, *_ in cuts(length, distance, least_chars)])
 
 
+@lru_cache(maxsize=CACHED_FINE_LENGTHS)
+def fine_cuts(length: int, distance: int, least_chars: int) -> tuple[tuple[bool, int, int, int, int, int], ...]:
+    """``filed, seed, from, to, from, to`` of pairs of substrings, as ``cuts`` has single ones.
+
+    Of ``distance + 2`` segments of the shorter line ``distance`` edits leave two
+    unchanged. The shifts of these two and the difference of the lengths show how
+    many edits stand before, between and behind them at least.
+    """
+    parts = distance + 2
+    pairs = [(i, j) for i in range(parts) for j in range(i + 1, parts)]
+    out = {}
+    for other in range(max(least_chars, length - distance), length + 1):
+        more = length - other
+        cut = segments(other, distance + 1)
+        for n, (i, j) in enumerate(pairs):
+            seed = other * len(pairs) + n
+            for a in range(-distance, distance + 1):
+                for b in range(-distance, distance + 1):
+                    if abs(a) + abs(b - a) + abs(more - b) > distance:
+                        continue
+                    ends = [e for (start, size), shift in ((cut[i], a), (cut[j], b)) for e in (start + shift, start + shift + size)]
+                    if ends[0] >= 0 and ends[2] >= 0 and ends[1] <= length and ends[3] <= length:
+                        place = (seed, *[4 * e for e in ends])
+                        out[place] = out.get(place, False) or more == a == b == 0
+    return tuple((filed, *place) for place, filed in sorted(out.items()))
+
+
 def parity(line: str) -> int:
     """A bit for each of 64 character classes: whether the class occurs an odd number of times."""
     codes = np.frombuffer(line.encode("utf-32-le", "replace"), np.uint32) & 63
@@ -379,6 +407,29 @@ def _texts(docs: DataFrame, wanted: DataFrame, firsts: DataFrame, least_chars: i
     return written(lines.join(firsts, ["h1", "h2"]), "candidate-lines")
 
 
+def fine_rows(lines: DataFrame, distance: int, least_chars: int) -> DataFrame:
+    """As ``segment_rows``, of ``lines`` (``h1, line, first``) by two segments at a time."""
+
+    def make():
+        from xxhash import xxh3_64_intdigest as digest
+
+        def each(row):
+            line, doc = row["line"], NO_ID if row["doc"] is None else row["doc"]
+            codes, odd = line.encode("utf-32-le", "replace"), parity(line)
+            for filed, seed, a, b, c, d in fine_cuts(len(line), distance, least_chars):
+                yield _signed(digest(codes[a:b] + codes[c:d], seed)), filed, row["h1"], odd, doc
+
+        return each
+
+    slim = lines.select("h1", "line", F.col("first.doc_id").alias("doc"))
+    return map_rows(slim, make, "key bigint, filed boolean, id bigint, odd bigint, doc bigint", BATCH_ROWS)
+
+
+def _open(rest: DataFrame, late: DataFrame) -> DataFrame:
+    ids = rest.select("id").distinct()
+    return written(ids.join(late.select(F.col("h1").alias("id")), "id", "left_anti"), "line-open")
+
+
 def _late(pairs: DataFrame, lines: DataFrame, distance: int) -> DataFrame:
     """``h1, h2``: the later line of each of ``pairs`` that is at most ``distance`` edits long."""
 
@@ -407,7 +458,9 @@ def late_lines(
 
     A line only has to know whether there is one. So it is compared with the
     earliest line of each of its keys first, which is one pair per row and settles
-    most of a group of near lines; further rounds do so among the lines that are
+    most of a group of near lines. Lines that are open still meet by two of
+    ``distance + 2`` segments from there on, so that a passage that many lines share
+    makes no pairs of them all. Further rounds do so among the lines that are
     open still, while that settles many. The last round asks for the open lines
     alone, against all earlier lines of their keys, open or not: nothing is lost.
     """
@@ -417,12 +470,22 @@ def late_lines(
     rest = shared.filter("NOT only")
     wanted = pairs.select(F.col("a").alias("h1")).union(pairs.select("b")).union(rest.select("id")).distinct()
     lines = _texts(docs, wanted, firsts, least_chars)
-    late = written(_late(pairs, lines, distance), "line-late")
-    every, asked, before = late, shared, None
+    every = written(_late(pairs, lines, distance), "line-late")
+    open_lines = _open(rest, every)
+    if open_lines.isEmpty():
+        return every
+    # Lines that have but one segment in common part here: the open ones and those of their keys go on.
+    keys = rest.join(open_lines, "id").select("key").distinct()
+    ids = rest.join(keys, "key", "left_semi").select(F.col("id").alias("h1")).distinct()
+    fine = fine_rows(lines.join(ids, "h1", "left_semi"), distance, least_chars)
+    shared = written(shared_keys(fine, tasks), "line-keys")
+    late = written(_late(with_first(shared, distance), lines, distance), "line-late")
+    every = every.union(late).distinct()
+    rest = shared.filter("NOT only")
+    asked, before = shared, None
     rows = rest.count()
     while True:
-        open_lines = rest.select("id").distinct().join(every.select(F.col("h1").alias("id")), "id", "left_anti")
-        open_lines = written(open_lines, "line-open")
+        open_lines = _open(rest, every)
         n_open = open_lines.count()
         if n_open == 0:
             return every

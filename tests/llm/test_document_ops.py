@@ -234,6 +234,42 @@ def test_columns_with_names_of_helpers_stay_as_they_are(spark):
     assert kept.columns == df.columns and kept.count() == 0
 
 
+def test_two_segments_of_near_lines_meet():
+    rng = random.Random(11)
+    for _ in range(3000):
+        distance = rng.randint(1, 3)
+        a = "".join(rng.choice("abc") for _ in range(rng.randint(8, 40)))
+        b = list(a)
+        for _ in range(distance):
+            at = rng.randrange(len(b))
+            b[at : at + 1] = rng.choice([[], [rng.choice("abc")], [rng.choice("abc"), b[at]], ["x", b[at]]])
+        short, long = sorted((a, "".join(b)), key=len)
+
+        def keys(line, distance=distance):
+            return [(f, seed, line[p // 4 : q // 4], line[r // 4 : s // 4]) for f, seed, p, q, r, s in linededup.fine_cuts(len(line), distance, 4)]
+
+        filed = {k[1:] for k in keys(short) if k[0]}
+        assert len(filed) == (distance + 2) * (distance + 1) // 2
+        assert any(k[1:] in filed for k in keys(long))
+
+
+def test_a_passage_that_many_lines_share_makes_few_pairs(spark, monkeypatch, tmp_path):
+    rng = random.Random(12)
+    made = []
+    own = linededup._late
+    monkeypatch.setattr(linededup, "_late", lambda pairs, *rest: made.append(pairs.count()) or own(pairs, *rest))
+    passage = "the same words stand at the end of each"
+    heads = {"".join(rng.choice("ab") for _ in range(70)) for _ in range(400)}
+    lines = [f"{h} {passage}" for h in sorted(heads)]
+    near = [line[:5] + "q" + line[5:] for line in lines[::40]]
+    rows = [(i, line) for i, line in enumerate([*lines, *near])]
+    path = f"{tmp_path}/t"
+    spark.createDataFrame(rows, "doc_id bigint, text string").write.parquet(path)
+    report = {r["doc_id"]: r["n_near"] for r in linededup.line_report(spark.read.parquet(path)).collect()}
+    assert {d for d, n in report.items() if n} == set(range(len(lines), len(rows)))
+    assert sum(made) < 8 * len(rows)
+
+
 def test_equal_short_lines_are_repeats_too(spark, tmp_path):
     long = "a line that is long enough to be near another"
     texts = [f"Yes.\n{long}\n \n\nNo", f"Yes.\nNo!\n{long}\n\nNo\nNo", f"Yes\n{long}s\n \nNo"]
