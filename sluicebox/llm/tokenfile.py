@@ -25,6 +25,7 @@ import os
 import struct
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -43,6 +44,10 @@ BLOCK_IDS = 1 << 20
 CACHE_ENTRIES = 800_000
 #: Marks that are never joined with the letters before them.
 CLOSING = (".", ",")
+#: Marks that may stand between words that are encoded in one text, and words of such a text.
+MARKS, JOINED = "§¶†‡¤|~^", 256
+#: Characters of the texts that are split at a time.
+GROUP_CHARS = 1 << 20
 
 
 class WordEncoder:
@@ -50,7 +55,8 @@ class WordEncoder:
 
     The vocabulary drops white space and never joins what stands on both sides
     of a space, a line feed, or a letter and the full stop or comma behind it.
-    So each such part may be encoded once and kept.
+    So each such part may be encoded once and kept, and many new ones in one text
+    with a mark between them, where the mark has an id that none of them has.
     """
 
     def __init__(self, path: str, cache_entries: int = CACHE_ENTRIES):
@@ -58,27 +64,63 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.cache: dict[str, bytes] = BoundedCache(cache_entries)
+        self.cache: BoundedCache = BoundedCache(cache_entries)
+        unknown = set(self.ids(["\U0010FFFF"])[0])
+        alone = ((c, self.ids([c])[0]) for c in MARKS)
+        self.mark, self.mark_id = next(((c, got[0]) for c, got in alone if len(got) == 1 and got[0] not in unknown), (None, None))
+
+    def ids(self, texts: list[str]) -> list[list[int]]:
+        return [got.ids for got in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def each(self, words: list[str]) -> list[bytes]:
+        """The ids of each word, as bytes."""
+        if self.mark is None:
+            return [np.array(ids, np.uint32).tobytes() for ids in self.ids(words)]
+        out: list[bytes] = []
+        parts = [words[a : a + JOINED] for a in range(0, len(words), JOINED)]
+        for part, ids in zip(parts, self.ids([f" {self.mark} ".join(part) for part in parts]), strict=True):
+            found = np.array(ids, np.uint32)
+            at = np.flatnonzero(found == self.mark_id)
+            if len(at) == len(part) - 1:
+                raw, ends = found.tobytes(), (4 * at).tolist()
+                starts = [0, *[e + 4 for e in ends]]
+                out += [raw[a:b] for a, b in zip(starts, [*ends, len(raw)], strict=True)]
+            else:
+                # One of the words holds the mark's own id.
+                out += [np.array(ids, np.uint32).tobytes() for ids in self.ids(part)]
+        return out
 
     def encode(self, text: str) -> np.ndarray:
-        parts = text.replace("\n", " ").split(" ")
-        found = list(map(self.cache.get, parts))
-        if None in found:
-            kept = dict(zip(parts, found, strict=True))
-            self.learn([p for p, ids in kept.items() if ids is None], kept)
-            found = [kept[p] for p in parts]
-        return np.frombuffer(b"".join(found), np.uint32)
-
-    def learn(self, new: list[str], kept: dict[str, bytes]) -> None:
-        """Ids of parts not met before, into ``kept`` and the cache; the library encodes what is left of them."""
+        return self.encode_all([text])[0]
+
+    def encode_all(self, texts: list[str]) -> list[np.ndarray]:
+        """The ids of each text; parts not met before are learned together for about ``GROUP_CHARS`` of text."""
+        out: list[np.ndarray] = []
+        first = size = 0
+        for i, text in enumerate(texts):
+            size += len(text)
+            if size >= GROUP_CHARS or i == len(texts) - 1:
+                split = [t.replace("\n", " ").split(" ") for t in texts[first : i + 1]]
+                self.learn(set(chain.from_iterable(split)))
+                found = self.cache.__getitem__
+                out += [np.frombuffer(b"".join(map(found, parts)), np.uint32) for parts in split]
+                first, size = i + 1, 0
+        return out
+
+    def learn(self, parts: set[str]) -> None:
+        """Ids of all parts into the cache; the library encodes what is left of those not met before."""
         cache = self.cache
-        cache.make_room(2 * len(new))
-        pieces = {p: (p[:-1], p[-1]) if p[-1:] in CLOSING and p[:-1].isalpha() else (p,) for p in new}
-        open_pieces = list(dict.fromkeys(w for words in pieces.values() for w in words if w not in cache))
-        for word, got in zip(open_pieces, self.library.encode_batch_fast(open_pieces, add_special_tokens=False), strict=True):
-            cache[word] = np.array(got.ids, np.uint32).tobytes()
-        for part, words in pieces.items():
-            kept[part] = cache[part] = b"".join([cache[w] for w in words])
+        new = [p for p in parts if p not in cache]
+        if len(cache) + 2 * len(new) > cache.limit:
+            cache.clear()
+            new = list(parts)
+        pieces = {p: (p[:-1], p[-1]) for p in new if p[-1:] in CLOSING and p[:-1].isalpha()}
+        open_pieces = [p for p in new if p not in pieces]
+        met = set(open_pieces)
+        open_pieces += [w for w in dict.fromkeys(chain.from_iterable(pieces.values())) if w not in met and w not in cache]
+        cache.update(zip(open_pieces, self.each(open_pieces), strict=True))
+        for part, (word, mark) in pieces.items():
+            cache[part] = cache[word] + cache[mark]
 
 
 _ENCODERS: dict[str, WordEncoder] = {}
@@ -159,7 +201,7 @@ def _tokenized(docs: DataFrame, tokenizer: str, end_id: int, id_column: str, tex
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 some = batch.slice(at, 256)
-                found = [np.append(code.encode(t or ""), np.uint32(end_id)) for t in some.column(1).to_pylist()]
+                found = [np.append(f, np.uint32(end_id)) for f in code.encode_all([t or "" for t in some.column(1).to_pylist()])]
                 n = len(found)
                 yield pa.RecordBatch.from_arrays(
                     [

@@ -73,6 +73,24 @@ def test_words_are_those_of_the_library():
         assert list(mine.encode(text)) == library.encode(text, add_special_tokens=False).ids
 
 
+def test_many_new_words_are_few_calls_of_the_library(monkeypatch):
+    library, mine = Tokenizer.from_file(WORDS), tokenfile.WordEncoder(WORDS)
+    assert mine.mark is not None
+    asked = []
+    own = mine.ids
+    monkeypatch.setattr(mine, "ids", lambda texts: asked.append(len(texts)) or own(texts))
+    texts = [" ".join(f"wo{i}rd{k} a{i}b." for k in range(50)) for i in range(40)]
+    got = mine.encode_all(texts)
+    assert sum(asked) < 20
+    # A word that holds the mark, too; and a cache that is cleared between and within groups.
+    texts += [f"some {mine.mark} x{mine.mark}y, {mine.mark}{mine.mark}", "", "  ", f"é{mine.mark}.\n7."]
+    got += mine.encode_all(texts[40:])
+    monkeypatch.setattr(tokenfile, "GROUP_CHARS", 500)
+    small = tokenfile.WordEncoder(WORDS, cache_entries=30)
+    for text, ids, again in zip(texts, got, small.encode_all(texts), strict=True):
+        assert ids.tolist() == again.tolist() == library.encode(text, add_special_tokens=False).ids
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.lists(st.integers(0, 2**32 - 1), max_size=40))
 def test_packing_comes_back(numbers):
