@@ -48,9 +48,11 @@ UNITS = (
 ).split()
 
 _SPACE = r"[\x20\x09-\x0D]"
-_NAMES = r"(?<=[\p{Ll}\p{N},;:]\x20)\p{Lu}\p{Ll}+"
+# The capital is looked at first: few places have one, and what stands before is dearer to see.
+_NAMES = r"(?=\p{Lu})(?<=[\p{Ll}\p{N},;:]\x20)\p{Lu}\p{Ll}+"
 _NUMBERS = r"[0-9]+(?:[.,][0-9]+)*"
-_UNITS = rf"(?i)(?<={NUMBER}\x20?)(?:{'|'.join(UNITS)})(?![\p{{L}}\p{{N}}])|(?<={NUMBER}\x20?)[%€$£°]"
+# The number before a unit is taken along, which is put back.
+_UNITS = rf"(?i)({NUMBER}\x20?)(?:(?:{'|'.join(UNITS)})(?![\p{{L}}\p{{N}}])|[%€$£°])"
 _MARKS = r"[^\p{L}\p{N}\x20\x09-\x0D‹›]+"
 
 
@@ -61,7 +63,7 @@ def _template(text: Column) -> Column:
     """
     named = F.regexp_replace(text, _NAMES, NAME)
     counted = F.regexp_replace(named, _NUMBERS, NUMBER)
-    measured = F.regexp_replace(counted, _UNITS, UNIT)
+    measured = F.regexp_replace(counted, _UNITS, f"$1{UNIT}")
     return F.split(F.lower(F.regexp_replace(measured, _MARKS, "")), _SPACE)
 
 
@@ -88,6 +90,8 @@ def windows(texts: DataFrame, window: int = WINDOW, shorter: Sequence[int] = ())
         F.filter("all", lambda w: w != "").alias("t"),
         F.when(F.exists("all", lambda w: w.contains("›")), F.filter(both, lambda w: w.isNotNull())).alias("p"),
     ).filter(F.size("t") > 0)
+    # Which words hold a placeholder, seen once for all windows.
+    made = made.withColumn("marked", F.when(F.col("p").isNotNull(), F.transform("t", lambda w: w.contains("›"))))
     # In a text shorter than a window the places behind its end are null and do not change the hash.
     each = [_windows_of(window, f"greatest(size(t) - {window}, 0)")]
     each += [_windows_of(n, f"size(t) - {n}") for n in shorter]
@@ -99,15 +103,17 @@ def _windows_of(n: int, last: str) -> Column:
     """The windows of ``n`` words from the first word to the one numbered ``last``; none if that is negative."""
     hashed = ", ".join(f"get(t, i + {k})" for k in range(n))
     own = f"slice(t, i + 1, {n})"
+    marked = " OR ".join(f"get(marked, i + {k})" for k in range(n))
     return F.expr(
         f"""transform(CASE WHEN {last} >= 0 THEN sequence(0, {last}) ELSE CAST(array() AS array<int>) END, i -> named_struct(
               'hash', xxhash64(least(size(t), {n}), {hashed}),
               'at', i,
               'n_words', least(size(t), {n}),
-              'slots', CASE WHEN p IS NOT NULL AND exists({own}, w -> contains(w, '›'))
+              'slots', CASE WHEN {marked}
                 THEN array_join(transform({own}, (w, k) ->
                   CASE WHEN contains(w, '›') THEN coalesce(get(p, i + k), '') ELSE '' END), ' ') END,
-              'plain', p IS NULL OR exists({own}, w -> NOT startswith(w, '‹') OR NOT endswith(w, '›'))))"""
+              'plain', CASE WHEN {marked} THEN exists({own}, w -> NOT startswith(w, '‹') OR NOT endswith(w, '›'))
+                ELSE true END))"""
     )
 
 
