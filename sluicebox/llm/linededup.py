@@ -314,21 +314,26 @@ def shared_keys(rows: DataFrame, tasks: int) -> DataFrame:
     ``first`` is the earliest line that is filed there; ``only`` if every pair of
     the key is a pair with it, as it is the only one filed or has one partner.
     """
-    # Dealt by key once; all that follows reads the same exchange. The filter stays above it.
-    rows = (
-        rows.repartition(tasks, "key")
-        .groupBy("key", "id")
-        .agg(F.max("filed").alias("filed"), F.max("odd").alias("odd"), F.min("doc").alias("doc"))
+    # Dealt by key once and read twice from the same exchange, so both readers want every column. Few of the
+    # keys have lines that meet: these are found by numbers alone, without a sort, and only their rows go on.
+    rows = rows.repartition(tasks, "key")
+    ends = rows.groupBy("key").agg(
+        F.min("id").alias("low"), F.max("id").alias("high"), F.max("filed").alias("any"), F.expr("count(odd, doc)").alias("n")
     )
-    by_key = rows.groupBy("key").agg(
+    several = ends.filter("n > 1 AND low < high AND any").select("key")
+    meeting = rows.join(several.hint("shuffle_hash"), "key").repartition(tasks, "key", "id")
+    meeting = meeting.groupBy("key", "id").agg(
+        F.max("filed").alias("filed"), F.max("odd").alias("odd"), F.min("doc").alias("doc")
+    )
+    by_key = meeting.groupBy("key").agg(
         F.min(F.when(F.col("filed"), F.struct("doc", "id", "odd"))).alias("e"),
         F.count(F.when(F.col("filed"), 1)).alias("n_filed"),
         F.count("*").alias("n"),
     )
-    several = by_key.filter("n > 1 AND n_filed > 0").select(
+    firsts = by_key.select(
         "key", F.col("e.id").alias("first"), F.col("e.odd").alias("first_odd"), ((F.col("n_filed") == 1) | (F.col("n") == 2)).alias("only")
     )
-    return rows.join(several, "key")
+    return meeting.join(firsts, "key")
 
 
 def _fits(a: str, b: str, distance: int) -> Column:
@@ -354,7 +359,7 @@ def open_pairs(shared: DataFrame, open_lines: DataFrame, distance: int, tasks: i
     """
     rest = shared.filter((F.col("id") != F.col("first")) & ~F.col("only"))
     others = rest.select("key", *[F.col(c).alias(f"f_{c}") for c in ("id", "odd", "doc", "filed")])
-    asking = rest.join(open_lines, "id", "left_semi")
+    asking = written(rest.join(open_lines, "id", "left_semi"), "line-asking")
     counts = (
         rest.groupBy("key").agg(F.count("*").alias("n_rows"))
         .join(asking.groupBy("key").agg(F.count("*").alias("n_open")), "key")
@@ -377,19 +382,27 @@ def open_pairs(shared: DataFrame, open_lines: DataFrame, distance: int, tasks: i
     return both.select(*_pairs(F.col("f_id"), F.col("p_id"))).distinct()
 
 
-def next_round(shared: DataFrame, open_lines: DataFrame) -> DataFrame:
-    """The open lines of ``shared``, each key with the earliest open line that was not its first before."""
-    rest = shared.filter((F.col("id") != F.col("first")) & ~F.col("only")).join(open_lines, "id", "left_semi")
-    rest = rest.drop("first", "first_odd", "only")
+def next_round(asking: DataFrame) -> DataFrame:
+    """``asking`` with ``first, first_odd`` of each key: the earliest of its open lines that was not its first before."""
+    rest = asking.filter("NOT told")
     by_key = rest.groupBy("key").agg(
         F.min(F.when(F.col("filed"), F.struct("doc", "id", "odd"))).alias("e"), F.count("*").alias("n")
     )
     several = by_key.filter("n > 1 AND e IS NOT NULL").select(
-        "key", F.col("e.id").alias("first"), F.col("e.odd").alias("first_odd"), F.lit(False).alias("only")
+        "key", F.col("e.id").alias("first"), F.col("e.odd").alias("first_odd")
     )
     return rest.join(several, "key")
 
 
+def still_open(asking: DataFrame, late: DataFrame, asked: DataFrame | None = None) -> DataFrame:
+    """The rows of ``asking`` without the lines that are ``late``; what was ``asked`` as a first is ``told``."""
+    rest = asking.join(late.select(F.col("h1").alias("id")), "id", "left_anti")
+    if asked is not None:
+        firsts = asked.filter("id = first").select("key", "id", F.lit(True).alias("now"))
+        rest = rest.join(firsts, ["key", "id"], "left").withColumn("told", F.col("told") | F.col("now").isNotNull()).drop("now")
+    return written(rest, "line-open")
+
+
 def _texts(docs: DataFrame, wanted: DataFrame, firsts: DataFrame, least_chars: int) -> DataFrame:
     """``h1, h2, line, first`` of the lines whose ``h1`` is in ``wanted``."""
     small = wanted.count() <= BROADCAST_IDS
@@ -480,24 +493,28 @@ def late_lines(
     fine = fine_rows(lines.join(ids, "h1", "left_semi"), distance, least_chars)
     shared = written(shared_keys(fine, tasks), "line-keys")
     late = written(_late(with_first(shared, distance), lines, distance), "line-late")
-    every = every.union(late).distinct()
-    rest = shared.filter("NOT only")
-    asked, before = shared, None
-    rows = rest.count()
+    every = written(every.union(late).distinct(), "line-late")
+    # The firsts have been compared with all lines of their keys. From round to round only rows of lines that
+    # are open go on, so each round reads what the one before has left, once.
+    rest = shared.filter((F.col("id") != F.col("first")) & ~F.col("only"))
+    per_key = written(rest.groupBy("key").agg(F.count("*").alias("n")), "line-counts")
+    rows = per_key.agg(F.sum("n")).first()[0] or 0
+    asking = still_open(rest.select("key", "filed", "id", "odd", "doc", F.lit(False).alias("told")), every)
+    before = None
     while True:
-        open_lines = _open(rest, every)
+        open_lines = asking.select("id").distinct()
         n_open = open_lines.count()
         if n_open == 0:
             return every
-        per_key = rest.groupBy("key").agg(F.count("*").alias("n"))
-        open_per_key = rest.join(open_lines, "id", "left_semi").groupBy("key").agg(F.count("*").alias("m"))
+        open_per_key = asking.groupBy("key").agg(F.count("*").alias("m"))
         left = per_key.join(open_per_key, "key").agg(F.sum(F.col("n").cast("double") * F.col("m"))).first()[0] or 0
         if left <= PAIRS_PER_ROW * rows or before is not None and (before - n_open) * LEAST_SETTLED < before:
             break
         before = n_open
-        asked = written(next_round(asked, open_lines), "line-keys")
+        asked = written(next_round(asking), "line-keys")
         late = written(_late(with_first(asked, distance), lines, distance), "line-late")
         every = every.union(late).distinct()
+        asking = still_open(asking, late, asked)
     last = written(open_pairs(shared, open_lines, distance, tasks, cell), "line-pairs")
     return every.union(_late(last, lines, distance)).distinct()
 

@@ -222,6 +222,32 @@ def test_many_rounds_lose_no_near_line(spark, monkeypatch):
     assert {r["doc_id"]: r["n_near"] for r in linededup.line_report(df).collect()} == want
 
 
+def test_rows_of_open_lines_are_asked_for_once(spark, monkeypatch, tmp_path):
+    ids = range(1, 301)
+    rows = [(7, True, i, 0, 1000 - i) for i in ids]
+    shared = linededup.shared_keys(spark.createDataFrame(rows, "key bigint, filed boolean, id bigint, odd bigint, doc bigint"), 4)
+    asking = spark.createDataFrame([(i,) for i in ids if i % 2], "id bigint")
+    # The rows of the open lines are at hand; nothing looks for them again on each of its ways.
+    assert "LeftSemi" not in linededup.open_pairs(shared, asking, 2, 4)._jdf.queryExecution().optimizedPlan().toString()
+    # What a round leaves is what the next one reads, without the lines that are settled.
+    rest = shared.select("key", "filed", "id", "odd", "doc", F.lit(False).alias("told"))
+    asked = linededup.next_round(rest)
+    assert {(r["id"], r["first"]) for r in asked.collect()} == {(i, 300) for i in ids}
+    late = spark.createDataFrame([(i, 0) for i in ids if i < 150], "h1 bigint, h2 bigint")
+    after = linededup.still_open(rest, late, asked)
+    assert {(r["id"], r["told"]) for r in after.collect()} == {(i, i == 300) for i in ids if i >= 150}
+    assert {(r["id"], r["first"]) for r in linededup.next_round(after).collect()} == {(i, 299) for i in ids if 150 <= i < 300}
+
+
+def test_lines_that_meet_none_are_dropped_without_a_sort(spark, tmp_path):
+    spark.createDataFrame([(i, f"line {i} of a text that is long enough") for i in range(50)], "doc_id bigint, text string").write.parquet(f"{tmp_path}/t")
+    found = linededup.shared_keys(linededup.segment_rows(spark.read.parquet(f"{tmp_path}/t")), 8)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    # What stands between the exchange of all cuts and that of the cuts that meet.
+    between = plan.split("REPARTITION_BY_NUM")[1]
+    assert "ShuffledHashJoin" in between and "Sort" not in between
+
+
 def test_columns_with_names_of_helpers_stay_as_they_are(spark):
     names = ["removed", "n_near", "_id", "_hash", "row", "own_id", "own_hash", "text_hash", "late", "first", "key", "n_words", "quality", "kept", "_votes"]
     line = "a line that is long enough to be near another"
