@@ -36,6 +36,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import chain, pairwise, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -58,6 +59,8 @@ LEAST_TOKENS, MOST_PASSES = 4_000_000, 4
 PIECE = 2048
 #: Documents and tokens that are held at a time.
 GROUP_ROWS, GROUP_TOKENS = 4096, 2_000_000
+#: Documents whose words are looked up at a time.
+CODED_ROWS = 256
 #: Numbers of a row of a learner's state.
 BLOCK = 4096
 #: Columns of one softmax over the classes, so its numbers stay near the processor.
@@ -67,9 +70,11 @@ HELD_OUT, MODULUS = 0, 10
 CACHE_ENTRIES = 400_000
 #: The end of a text, counted and scored as a word; no word holds a space.
 END = " "
+_END = END.encode()
 
 _WORDS = re.compile(WORD)
 SHAPES = 24
+_LETTERS = tuple((k, frozenset(letters)) for k, letters in ((3, "äöüß"), (4, "ñíóáú"), (5, "éèêç")))
 
 
 def tokens(text: str | None) -> list[str]:
@@ -79,11 +84,23 @@ def tokens(text: str | None) -> list[str]:
     return words
 
 
-def word_hash(word: str) -> int:
-    import xxhash
+def byte_tokens(texts: pa.Array) -> Iterator[list[bytes]]:
+    """The ``tokens`` of each text in UTF-8; bytes are split at the space and the controls 9 to 13, and nowhere else."""
+    wide = pa.types.is_large_string(texts.type)
+    for text in texts.cast(pa.large_binary() if wide else pa.binary()).to_pylist():
+        words = text.lower().split() if text else []
+        words.append(_END)
+        yield words
+
+
+def word_hashes(words: list[bytes]) -> np.ndarray:
+    from xxhash import xxh64_intdigest
+
+    return np.array(list(map(xxh64_intdigest, words)), np.uint64).view(np.int64)
+
 
-    value = xxhash.xxh64_intdigest(word.encode("utf-8", "replace"))
-    return value - (1 << 64) if value >= 1 << 63 else value
+def word_hash(word: str) -> int:
+    return int(word_hashes([word.encode("utf-8", "replace")])[0])
 
 
 def shape(word: str) -> int:
@@ -93,13 +110,20 @@ def shape(word: str) -> int:
         kind = 0 if body.isalpha() else 1
     else:
         kind = 2
-        for k, letters in ((3, "äöüß"), (4, "ñíóáú"), (5, "éèêç")):
-            if any(c in word for c in letters):
+        for k, letters in _LETTERS:
+            if not letters.isdisjoint(word):
                 kind = k
                 break
     return kind * 4 + 2 * (word[-1] in ".,!?;:") + (len(word) > 7)
 
 
+def byte_shape(word: bytes) -> int:
+    """The ``shape`` of a word in UTF-8."""
+    if not word.isascii():
+        return shape(word.decode("utf-8", "replace"))
+    return 4 * (not word.rstrip(b".,!?;:").isalpha()) + 2 * (word[-1] in b".,!?;:") + (len(word) > 7)
+
+
 def count_words(docs: DataFrame) -> DataFrame:
     """``h, shape, c, word`` over all rows of ``docs``; ``word`` is only an example of the hash."""
 
@@ -110,16 +134,16 @@ def count_words(docs: DataFrame) -> DataFrame:
             words = list(counts)
             return pa.RecordBatch.from_arrays(
                 [
-                    pa.array([word_hash(w) for w in words], pa.int64()),
-                    pa.array([shape(w) for w in words], pa.int32()),
+                    pa.array(word_hashes(words)),
+                    pa.array(list(map(byte_shape, words)), pa.int32()),
                     pa.array(list(counts.values()), pa.int64()),
                 ],
                 names=["h", "shape", "c"],
             )
 
         for batch in batches:
-            for text in batch.column(0).to_pylist():
-                counts.update(tokens(text))
+            for words in byte_tokens(batch.column(0)):
+                counts.update(words)
                 if len(counts) >= 1_000_000:
                     yield rows()
                     counts.clear()
@@ -195,7 +219,7 @@ class Coder:
         self.counts = counts
         self.size = len(counts.vocabulary)
         self.limit = limit
-        self.place: dict[str, int] = {}
+        self.place: dict[bytes, int] = {}
         self.clear(1024)
 
     def clear(self, room: int) -> None:
@@ -203,33 +227,44 @@ class Coder:
         self.outputs, self.hashes = np.zeros(room, np.int32), np.zeros(room, np.int64)
         self.base, self.inside = np.zeros(room), np.zeros(room)
 
-    def look(self, word: str) -> tuple[int, int, float, float]:
-        """Output number, the hash of a word not known here (else 0), base score and score inside the shape."""
+    def look(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Output numbers, the hashes of words not known here (else 0), base scores and scores inside the shape."""
         k = self.counts
-        if word == END:
-            return 0, 0, k.base(int(k.vocabulary[0]) if k.total else 0), 0.0
-        h = word_hash(word)
-        at = int(np.searchsorted(k.hashes, h))
-        if at < len(k.hashes) and k.hashes[at] == h:
-            c, rank = int(k.counts[at]), int(k.rank[at])
-            if rank > 0:
-                return rank, 0, k.base(c), 0.0
-            kind = shape(word)
-            return self.size + kind, 0, k.base(c), k.in_shape(c, kind)
-        return self.size + shape(word), h or 1, 0.0, 0.0
-
-    def coded(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        h = word_hashes(words)
+        at = np.searchsorted(k.hashes, h)
+        known = np.zeros(len(words), bool)
+        inner = at < len(k.hashes)
+        known[inner] = k.hashes[at[inner]] == h[inner]
+        c, rank = np.zeros(len(words), np.int64), np.full(len(words), -1, np.int64)
+        c[known], rank[known] = k.counts[at[known]], k.rank[at[known]]
+        end = np.array([w == _END for w in words], bool)
+        if k.total:
+            c[end] = k.vocabulary[0]
+        rank[end], known[end] = 0, True
+        kinds = np.zeros(len(words), np.int64)
+        others = np.flatnonzero((rank <= 0) & ~end)
+        kinds[others] = [byte_shape(words[i]) for i in others.tolist()]
+        outputs = rank.copy()
+        outputs[others] = self.size + kinds[others]
+        base = np.where(known, np.log10((c + 0.1) / (k.total + 0.1 * (k.distinct + 1))), 0.0)
+        some = others[known[others]]
+        inside = np.zeros(len(words))
+        inside[some] = np.log10((c[some] + 0.1) / (k.shape_tokens[kinds[some]] + 0.1 * (k.shape_words[kinds[some]] + 1)))
+        return outputs, np.where(known, 0, np.where(h == 0, 1, h)), base, inside
+
+    def coded(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Outputs, hashes, base scores and scores inside the shape of ``words``."""
         at = self._places(words)
         return self.outputs[at], self.hashes[at], self.base[at], self.inside[at]
 
-    def _places(self, words: list[str]) -> np.ndarray:
-        found = list(map(self.place.get, words))
-        if None in found:
-            new = {w for w, f in zip(words, found, strict=True) if f is None}
+    def _places(self, words: list[bytes]) -> np.ndarray:
+        found = np.fromiter(map(self.place.get, words, repeat(-1)), np.int64, len(words))
+        missing = np.flatnonzero(found < 0)
+        if len(missing):
+            new = {words[i] for i in missing.tolist()}
             if len(self.place) + len(new) > self.limit:
                 self.clear(len(self.outputs))
-                new = set(words)
+                new, missing = set(words), np.arange(len(words))
             need = len(self.place) + len(new)
             if need > len(self.outputs):
                 room = max(need, 2 * len(self.outputs))
@@ -238,11 +273,12 @@ class Coder:
                     grown = np.zeros(room, old.dtype)
                     grown[: len(old)] = old
                     setattr(self, name, grown)
-            for w in new:
-                at = self.place[w] = len(self.place)
-                self.outputs[at], self.hashes[at], self.base[at], self.inside[at] = self.look(w)
-            found = list(map(self.place.get, words))
-        return np.array(found, np.int64)
+            first, fresh = len(self.place), list(new)
+            self.place.update(zip(fresh, range(first, need), strict=True))
+            own = slice(first, need)
+            self.outputs[own], self.hashes[own], self.base[own], self.inside[own] = self.look(fresh)
+            found[missing] = [self.place[words[i]] for i in missing.tolist()]
+        return found
 
 
 def _log_softmax(logits: np.ndarray, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -580,6 +616,22 @@ def _round(coded: DataFrame, learner: Learner, tasks: int) -> Learner:
     return learner.with_state(np.frombuffer(b"".join(r["numbers"] for r in blocks), np.float32))
 
 
+def _rare(unknown: np.ndarray, kinds: np.ndarray, edges: np.ndarray) -> tuple[pa.StructArray, np.ndarray, np.ndarray]:
+    """``h, shape, n`` of the words of each text that are not known, the texts' edges in them, and their tokens."""
+    where = np.flatnonzero(unknown)
+    owner = np.searchsorted(edges, where, side="right") - 1
+    h, kind = unknown[where], kinds[where].astype(np.int64)
+    order = np.lexsort((kind, h, owner))
+    h, kind, own = h[order], kind[order], owner[order]
+    new = np.ones(len(h), bool)
+    new[1:] = (h[1:] != h[:-1]) | (kind[1:] != kind[:-1]) | (own[1:] != own[:-1])
+    firsts = np.flatnonzero(new)
+    n = np.diff(np.append(firsts, len(h)))
+    found = [pa.array(h[firsts]), pa.array(kind[firsts].astype(np.int32)), pa.array(n.astype(np.int64))]
+    rare = pa.StructArray.from_arrays(found, names=["h", "shape", "n"])
+    return rare, np.searchsorted(own[firsts], np.arange(len(edges))).astype(np.int32), np.bincount(owner, minlength=len(edges) - 1)
+
+
 def score_documents(docs: DataFrame) -> DataFrame:
     """``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score`` of each row."""
     held = remainder_of_crc32("doc_id", MODULUS) == HELD_OUT
@@ -592,38 +644,27 @@ def score_documents(docs: DataFrame) -> DataFrame:
     def run(batches):
         coder = Coder(counts)
         part, seq = TaskContext.get().partitionId(), 0
-        rare_type = pa.list_(pa.struct([("h", pa.int64()), ("shape", pa.int32()), ("n", pa.int64())]))
         for batch in batches:
-            for at in range(0, batch.num_rows, 2048):
-                some = batch.slice(at, 2048)
-                texts, rest = [], []
-                for text in some.column(1).to_pylist():
-                    outputs, unknown, base, inside = coder.coded(tokens(text))
-                    # Few thousand outputs, whatever the input.
-                    texts.append(outputs.astype(np.uint16).tobytes())
-                    where = np.flatnonzero(unknown)
-                    rare = Counter(zip(unknown[where].tolist(), (outputs[where] - coder.size).tolist(), strict=True))
-                    rest.append(
-                        (
-                            len(outputs),
-                            len(outputs) - len(where),
-                            float(base.sum()),
-                            float(inside.sum()),
-                            [{"h": h, "shape": s, "n": n} for (h, s), n in rare.items()],
-                        )
-                    )
-                n_tokens, known, base, inside, rare = zip(*rest, strict=True)
-                n = len(rest)
+            for at in range(0, batch.num_rows, CODED_ROWS):
+                some = batch.slice(at, CODED_ROWS)
+                words = list(byte_tokens(some.column(1)))
+                n = len(words)
+                edges = np.concatenate(([0], np.cumsum([len(w) for w in words])))
+                outputs, unknown, base, inside = coder.coded(list(chain.from_iterable(words)))
+                # Few thousand outputs, whatever the input.
+                raw = outputs.astype(np.uint16).tobytes()
+                cut = list(pairwise(edges.tolist()))
+                rare, rare_edges, n_unknown = _rare(unknown, outputs - coder.size, edges)
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(np.arange(seq, seq + n) + (part << 40), pa.int64()),
                         some.column(0),
-                        pa.array(n_tokens, pa.int64()),
-                        pa.array(known, pa.int64()),
-                        pa.array(base, pa.float64()),
-                        pa.array(inside, pa.float64()),
-                        pa.array(texts, pa.binary()),
-                        pa.array(rare, rare_type),
+                        pa.array(np.diff(edges)),
+                        pa.array(np.diff(edges) - n_unknown),
+                        pa.array([float(base[a:b].sum()) for a, b in cut], pa.float64()),
+                        pa.array([float(inside[a:b].sum()) for a, b in cut], pa.float64()),
+                        pa.array([raw[2 * a : 2 * b] for a, b in cut], pa.binary()),
+                        pa.ListArray.from_arrays(pa.array(rare_edges, pa.int32()), rare),
                     ],
                     names=["row", "doc_id", "n_tokens", "known", "base", "inside", "outputs", "rare"],
                 )

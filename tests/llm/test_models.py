@@ -8,6 +8,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 
 from sluicebox.llm import gru, toxicity
 
@@ -172,3 +173,33 @@ def test_pieces_hold_every_token_once_behind_what_stands_before():
 def test_language_model_of_odd_rows(odd, none):
     assert gru.score_documents(odd).count() == odd.count()
     assert gru.score_documents(none).count() == 0
+
+
+def test_words_are_looked_up_together(monkeypatch):
+    texts = [" ", "", None, "A b\x1cc\xa0d\x85e", "ÄÖ ñandú. élan, x!!! ... 123 toolongaword", "b\tb\nb\x0bB\x0cb\rb " * 40]
+    found = list(gru.byte_tokens(pa.array(texts)))
+    assert [[w.decode() for w in words] for words in found] == [gru.tokens(t) for t in texts]
+    words = list(dict.fromkeys(w for t in found for w in t))
+    assert [gru.byte_shape(w) for w in words] == [gru.shape(w.decode()) for w in words]
+    assert gru.word_hashes(words).tolist() == [gru.word_hash(w.decode()) for w in words]
+    hashes = np.sort(gru.word_hashes(words[::2]))
+    rank = np.where(np.arange(len(hashes)) < 3, np.arange(len(hashes)) + 1, -1)
+    counts = gru.Counts(90, 30, hashes, np.arange(len(hashes)) + 2, rank, np.full(24, 9), np.full(24, 3), np.array([6, 5, 4, 3]))
+    alone, small, calls = gru.Coder(counts), gru.Coder(counts, 5), []
+    own = gru.Coder.look
+    monkeypatch.setattr(gru.Coder, "look", lambda self, new: calls.append(len(new)) or own(self, new))
+    every = [w for t in found for w in t]
+    together = gru.Coder(counts).coded(every)
+    # All new words of a group of texts in one call, each once.
+    assert calls == [len(words)]
+    for coder in (alone, small):
+        one = [coder.coded([w]) for w in every]
+        for k in range(4):
+            assert together[k].tolist() == [o[k][0] for o in one]
+    assert (together[1] != 0).any() and (together[0] < 4).any() and together[0][0] == 0
+    edges = np.concatenate(([0], np.cumsum([len(t) for t in found])))
+    rare, cut, n = gru._rare(together[1], together[0] - 4, edges)
+    for i, (a, b) in enumerate(zip(edges, edges[1:], strict=False)):
+        want = Counter((int(h), int(o) - 4) for h, o in zip(together[1][a:b], together[0][a:b], strict=True) if h)
+        assert {(r["h"], r["shape"]): r["n"] for r in rare.to_pylist()[cut[i] : cut[i + 1]]} == want
+        assert n[i] == sum(want.values())
