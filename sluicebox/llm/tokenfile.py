@@ -21,14 +21,16 @@ table gives no files and an empty result. Other columns are not read.
 
 from __future__ import annotations
 
+import codecs
+import json
 import os
 import struct
 import zlib
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -42,21 +44,61 @@ HEAD = struct.Struct("<4sIQQ")
 NO_ID = -(2**63)
 BLOCK_IDS = 1 << 20
 CACHE_ENTRIES = 800_000
-#: Marks that are never joined with the letters before them.
-CLOSING = (".", ",")
 #: Marks that may stand between words that are encoded in one text, and words of such a text.
 MARKS, JOINED = "§¶†‡¤|~^", 256
 #: Characters of the texts that are split at a time.
-GROUP_CHARS = 1 << 20
+GROUP_CHARS = 1 << 21
+#: Letters of Latin-1, and marks of ASCII without the apostrophe, which may begin a part of its own.
+LETTERS = "".join(c for c in map(chr, [*range(65, 91), *range(97, 123), *range(0xC0, 0x100)]) if c not in "×÷")
+SIGNS = "".join(c for c in map(chr, range(33, 127)) if not c.isalnum() and c != "'")
+#: What a vocabulary does before it merges, if letters and signs need no more than small letters for capitals.
+PLAIN_NORMALIZER = {
+    "type": "Sequence",
+    "normalizers": [
+        {"type": "NFC"},
+        {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "},
+        {"type": "Lowercase"},
+    ],
+}
+PLAIN_SPLIT = {
+    "type": "Sequence",
+    "pretokenizers": [
+        {
+            "type": "Split",
+            "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"},
+            "behavior": "Removed",
+            "invert": True,
+        },
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ],
+}
+
+
+def _byte_letters() -> str:
+    """The letter of each byte in byte-level vocabularies."""
+    seen = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    others = iter(range(256, 512))
+    return "".join(chr(b if b in seen or b == 32 else next(others) + (b > 32)) for b in range(256))
+
+
+def _gathered(numbers: np.ndarray, length: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Runs ``which`` of ``numbers``, whose runs have the given lengths, and where each begins, with the end."""
+    n = length[which]
+    edges = np.concatenate(([0], np.cumsum(n)))
+    shift = (np.cumsum(length) - length)[which] - edges[:-1]
+    return numbers[np.repeat(shift, n) + np.arange(edges[-1])], edges
 
 
 class WordEncoder:
     """Ids of whole texts by a ``tokenizers`` file, word by word through a bounded cache.
 
     The vocabulary drops white space and never joins what stands on both sides
-    of a space, a line feed, or a letter and the full stop or comma behind it.
-    So each such part may be encoded once and kept, and many new ones in one text
-    with a mark between them, where the mark has an id that none of them has.
+    of a space or a line feed, so each such part may be encoded once and kept, and
+    many new ones in one text with a mark between them, where the mark has an id
+    that none of them has. Where a part is letters with signs behind them, and the
+    file says what these need before their letters are merged, both are kept apart,
+    and the library merges the small letters with its other steps left out; the id
+    that ends a word tells them apart.
     """
 
     def __init__(self, path: str, cache_entries: int = CACHE_ENTRIES):
@@ -68,6 +110,17 @@ class WordEncoder:
         unknown = set(self.ids(["\U0010FFFF"])[0])
         alone = ((c, self.ids([c])[0]) for c in MARKS)
         self.mark, self.mark_id = next(((c, got[0]) for c, got in alone if len(got) == 1 and got[0] not in unknown), (None, None))
+        self.merger = None
+        form = json.loads(self.library.to_str())
+        model = form["model"]
+        ending = model.get("end_of_word_suffix")
+        known = form["normalizer"] == PLAIN_NORMALIZER and form["pre_tokenizer"] == PLAIN_SPLIT
+        if known and model["type"] == "BPE" and ending and form["post_processor"] is None:
+            split = {"type": "CharDelimiterSplit", "delimiter": " "}
+            self.merger = Tokenizer.from_str(json.dumps(form | {"normalizer": None, "pre_tokenizer": split, "added_tokens": []}))
+            self.ends = np.zeros(max(model["vocab"].values()) + 1, bool)
+            self.ends[[i for token, i in model["vocab"].items() if token.endswith(ending)]] = True
+            self.spelling = _byte_letters()
 
     def ids(self, texts: list[str]) -> list[list[int]]:
         return [got.ids for got in self.library.encode_batch_fast(texts, add_special_tokens=False)]
@@ -90,37 +143,81 @@ class WordEncoder:
                 out += [np.array(ids, np.uint32).tobytes() for ids in self.ids(part)]
         return out
 
+    def merged(self, words: list[str]) -> list[bytes]:
+        """As ``each``, of words of small Latin-1 letters."""
+        out: list[bytes] = []
+        for a in range(0, len(words), JOINED):
+            part = words[a : a + JOINED]
+            text = codecs.charmap_decode(" ".join(part).encode(), "strict", self.spelling)[0]
+            got = self.merger.encode_batch_fast([text], add_special_tokens=False)
+            found = np.array(got[0].ids, np.uint32)
+            ends = (4 * np.flatnonzero(self.ends[found]) + 4).tolist()
+            if len(ends) == len(part):
+                raw = found.tobytes()
+                out += [raw[a:b] for a, b in zip([0, *ends], ends, strict=False)]
+            else:
+                # A letter is not in the vocabulary.
+                out += self.each(part)
+        return out
+
     def encode(self, text: str) -> np.ndarray:
         return self.encode_all([text])[0]
 
     def encode_all(self, texts: list[str]) -> list[np.ndarray]:
-        """The ids of each text; parts not met before are learned together for about ``GROUP_CHARS`` of text."""
+        """The ids of each text."""
         out: list[np.ndarray] = []
-        first = size = 0
-        for i, text in enumerate(texts):
-            size += len(text)
-            if size >= GROUP_CHARS or i == len(texts) - 1:
-                split = [t.replace("\n", " ").split(" ") for t in texts[first : i + 1]]
-                self.learn(set(chain.from_iterable(split)))
-                found = self.cache.__getitem__
-                out += [np.frombuffer(b"".join(map(found, parts)), np.uint32) for parts in split]
-                first, size = i + 1, 0
+        for ids, counts in self.encode_column(pa.array(texts, pa.string())):
+            out += np.split(ids, np.cumsum(counts)[:-1])
         return out
 
-    def learn(self, parts: set[str]) -> None:
-        """Ids of all parts into the cache; the library encodes what is left of those not met before."""
+    def encode_column(self, texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """All ids, and how many each text has, of about ``GROUP_CHARS`` of texts after the other.
+
+        Each distinct part of such a group is looked up once.
+        """
+        sizes = np.cumsum(pc.utf8_length(texts).to_numpy(zero_copy_only=False), dtype=np.int64)
+        first = 0
+        while first < len(texts):
+            before = sizes[first - 1] if first else 0
+            behind = max(first + 1, int(np.searchsorted(sizes, before + GROUP_CHARS, "right")))
+            group = pc.split_pattern(pc.replace_substring(texts.slice(first, behind - first), "\n", " "), " ")
+            parts = group.flatten().dictionary_encode()
+            ids, edges = _gathered(*self.known(parts.dictionary), parts.indices.to_numpy())
+            at = edges[group.offsets.to_numpy()]
+            yield ids, np.diff(at)
+            first = behind
+
+    def known(self, parts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the parts one after the other, and how many each has."""
+        if self.merger is None:
+            return self.looked_up(parts, parts.slice(0, 0))
+        behind = pc.utf8_ltrim(parts, LETTERS)
+        plain = pc.equal(pc.utf8_ltrim(behind, SIGNS), "")
+        words = pc.if_else(plain, pc.utf8_lower(pc.utf8_rtrim(parts, SIGNS)), parts).dictionary_encode()
+        signs = pc.if_else(plain, behind, "").dictionary_encode()
+        ids, length = self.looked_up(words.dictionary, signs.dictionary)
+        both = np.stack([words.indices.to_numpy(), signs.indices.to_numpy() + len(words.dictionary)], axis=1)
+        ids, edges = _gathered(ids, length, both.reshape(-1))
+        return ids, np.diff(edges[::2])
+
+    def looked_up(self, words: pa.Array, signs: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of words and signs (each once) by the cache; the library encodes those not met before."""
+        names = [*words.to_numpy(zero_copy_only=False), *signs.to_numpy(zero_copy_only=False)]
         cache = self.cache
-        new = [p for p in parts if p not in cache]
-        if len(cache) + 2 * len(new) > cache.limit:
-            cache.clear()
-            new = list(parts)
-        pieces = {p: (p[:-1], p[-1]) for p in new if p[-1:] in CLOSING and p[:-1].isalpha()}
-        open_pieces = [p for p in new if p not in pieces]
-        met = set(open_pieces)
-        open_pieces += [w for w in dict.fromkeys(chain.from_iterable(pieces.values())) if w not in met and w not in cache]
-        cache.update(zip(open_pieces, self.each(open_pieces), strict=True))
-        for part, (word, mark) in pieces.items():
-            cache[part] = cache[word] + cache[mark]
+        found = list(map(cache.get, names))
+        new = [i for i, ids in enumerate(found) if ids is None]
+        # These are at hand already, so a cache that starts anew loses none of them.
+        cache.make_room(len(new))
+        plain = pc.equal(pc.utf8_ltrim(words, LETTERS), "").to_pylist() if self.merger else []
+        for encode, some in (
+            (self.merged, [i for i in new if i < len(plain) and plain[i] and names[i]]),
+            (self.each, [i for i in new if i >= len(plain) or not plain[i] or not names[i]]),
+        ):
+            asked = [names[i] for i in some]
+            for i, name, ids in zip(some, asked, encode(asked), strict=True):
+                found[i] = cache[name] = ids
+        length = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        return np.frombuffer(b"".join(found), np.uint32), length
 
 
 _ENCODERS: dict[str, WordEncoder] = {}
@@ -199,21 +296,25 @@ def _tokenized(docs: DataFrame, tokenizer: str, end_id: int, id_column: str, tex
         code = encoder(tokenizer)
         part, seq = TaskContext.get().partitionId(), 0
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                some = batch.slice(at, 256)
-                found = [np.append(f, np.uint32(end_id)) for f in code.encode_all([t or "" for t in some.column(1).to_pylist()])]
-                n = len(found)
+            doc_ids, at = batch.column(0).cast(pa.int64()), 0
+            for ids, counts in code.encode_column(batch.column(1).fill_null("")):
+                n = len(counts)
+                edges = np.concatenate(([0], np.cumsum(counts)))
+                ids = np.insert(ids, edges[1:], end_id)
+                wide = "<u2" if ids.max() < 65536 else "<u4"
+                data = ids.astype(wide).tobytes()
+                places = pa.array((edges + np.arange(n + 1)) * np.dtype(wide).itemsize, pa.int32())
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array([part] * n, pa.int32()),
-                        pa.array(range(seq, seq + n), pa.int64()),
-                        some.column(0).cast(pa.int64()),
-                        pa.array([len(f) for f in found], pa.int64()),
-                        pa.array([f.astype("<u2" if f.max() < 65536 else "<u4").tobytes() for f in found], pa.binary()),
+                        pa.array(np.full(n, part, np.int32)),
+                        pa.array(np.arange(seq, seq + n)),
+                        doc_ids.slice(at, n),
+                        pa.array(counts + 1),
+                        pa.Array.from_buffers(pa.binary(), n, [None, places.buffers()[1], pa.py_buffer(data)]),
                     ],
                     names=["part", "seq", "doc_id", "n", "ids"],
                 )
-                seq += n
+                at, seq = at + n, seq + n
 
     picked = docs.select(F.col(id_column).alias("doc_id"), F.col(text_column).alias("text"))
     # The hash only orders rows that share a doc_id, and lets such a mass be dealt to several ranges.

@@ -91,6 +91,26 @@ def test_many_new_words_are_few_calls_of_the_library(monkeypatch):
         assert ids.tolist() == again.tolist() == library.encode(text, add_special_tokens=False).ids
 
 
+def test_letters_are_merged_without_the_other_steps_of_the_library(monkeypatch):
+    library, mine = Tokenizer.from_file(WORDS), tokenfile.WordEncoder(WORDS)
+    asked = []
+    own = mine.ids
+    monkeypatch.setattr(mine, "ids", lambda texts: asked.extend(texts) or own(texts))
+    texts = [" ".join(f"{a}{b}{c}" for a in ("Straße", "ÀÿÐ", "Íllñ", "xyz") for b in ("que", "Öb", "") for c in ("", ".", "&&&", "_|"))]
+    odd = ["don't we'll 'tis it's. ..'s a'", "ªbc µm 1a a1, ×y Ÿa İI ΣΑΣ K\u212a e\u0301, <\u0338 <|endoftext|> a<|endoftext|>", "a\tb\u00a0c\x1cd \u2028"]
+    got = mine.encode_all(texts)
+    # Only the signs go through all of the library.
+    assert not any(c.isalpha() for c in "".join(asked)) and len("".join(asked)) < 40
+    got += mine.encode_all(odd) + mine.encode_all(texts)
+    for text, ids in zip(texts + odd + texts, got, strict=True):
+        assert ids.tolist() == library.encode(text, add_special_tokens=False).ids
+    # Without known steps every part goes through the library.
+    mine = tokenfile.WordEncoder(WORDS)
+    mine.merger = None
+    for text, ids in zip(texts + odd, mine.encode_all(texts + odd), strict=True):
+        assert ids.tolist() == library.encode(text, add_special_tokens=False).ids
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.lists(st.integers(0, 2**32 - 1), max_size=40))
 def test_packing_comes_back(numbers):
