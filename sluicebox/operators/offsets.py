@@ -63,7 +63,9 @@ def with_offsets(
     if reason is not None:
         placed = placed.filter(good).drop(reason)
     dealt = placed.repartition(index.tasks(df), "partition", BUCKET)
-    numbered = dealt.join(F.broadcast(base), ["partition", BUCKET]).withColumn(
+    # Every chunk has a base. An inner join would have the rows' own places checked for nulls before the
+    # shuffle, which writes the search for them out once more, in a method too long for the JVM to compile.
+    numbered = dealt.join(F.broadcast(base), ["partition", BUCKET], "left").withColumn(
         out, F.col("_base") + F.row_number().over(within) - 1
     )
     if reason is not None:

@@ -64,3 +64,21 @@ def test_unknown_partition_is_an_error(spark):
     df = spark.createDataFrame([(1, 0), (2, 5)], "k int, partition int")
     with pytest.raises(ValueError, match="partition 5"):
         offsets.with_offsets(df, build_index(df, ["k"]), offsets.offsets_frame(spark, {0: 0}))
+
+
+def test_the_search_for_a_place_is_written_out_once(spark):
+    from sluicebox.operators.keyindex import build_index
+    from sluicebox.operators.split import TimePlan, assign_jobs
+
+    df = spark.range(40_000).selectExpr(
+        "timestampadd(MINUTE, id, timestamp_ntz'2024-01-01') AS ts", *[f"id * {i} AS c{i}" for i in range(1, 12)]
+    )
+    index = build_index(df, ["ts"], buckets=360)
+    cuts = tuple(p[0] for p in index.points[6::7])
+    jobs = assign_jobs(df, TimePlan("ts", cuts, None, None, 40_000, 1, True), 4)
+    starts = offsets.offsets_frame(spark, dict.fromkeys(range(4), 0))
+    placed, _ = offsets.with_offsets(jobs, index, starts)
+    plan = placed._jdf.queryExecution().optimizedPlan()
+    # The search is not written out once more to look for nulls.
+    assert not any("pmod" in line for line in plan.toString().split("\n") if "Filter" in line)
+    assert placed.count() == 40_000 and placed.select("partition", "offset").distinct().count() == 40_000
